@@ -297,7 +297,11 @@ def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN,
     mixed = entries.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
     entries = written(entries.join(mixed, "g"))
     x, y = (entries.select("g", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    rest = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("na", "nb", num, den)).select("a", "b").distinct()
+    # a pair's entries here are all that their prefixes share, so with the sizes their number bounds the whole overlap
+    left_over = "{0} - ({0} - (({num} * {0} + {den} - 1) div {den}) + 1)"
+    most = f"(o + greatest({left_over.format('na', num=num, den=den)}, {left_over.format('nb', num=num, den=den)}))"
+    rest = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("na", "nb", num, den))
+    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o")).where(f"{den} * {most} >= {num} * (na + nb - {most})").select("a", "b").distinct()
     more = links(rest.join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         label = components(found.union(more))
