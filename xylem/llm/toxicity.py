@@ -111,35 +111,37 @@ def fit(pos: Rows, unl: Rows, prior: float, epochs: int = 40, rate: float = 0.03
     return w, bias
 
 
-def _sampled(rows: DataFrame, most: int) -> Rows:
-    """The word buckets of at most about ``most`` rows (doc_id, text), picked by a hash of the id; in an order of its own."""
-    n = rows.count()
-    if not n:
-        return Rows([])
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, most / n) * (1 << 40)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, starts, idx in features(batch.column(1)):
-                out += [x.astype(np.int32).tobytes() for x in np.split(idx, starts[1:-1])]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "x": pa.array(out, pa.binary())})
-
-    got = some.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").orderBy("doc_id", "x").toArrow()
-    return Rows([np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in got.column("x")])
+def _picked(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the ids: those of the smallest hashes.  Only about twice as many get as far as the sort."""
+    n = ids.count()
+    near = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, (2 * most + 100) / max(1, n)) * (1 << 40)))
+    return near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, text_col: str = "text") -> tuple[np.ndarray, float]:
+    """Ids are picked without their texts; one scan then gets the texts of the ids, whose number is bounded."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (fold() != 2))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg("toxic")).first()[0] or 0.0
-    toxic = rows.join(marks.where("toxic = 1"), "doc_id", "left_semi")
-    others = rows.join(marks, "doc_id", "left_anti")
-    pos, unl = _sampled(toxic, positives), _sampled(others, unlabelled)
-    if not len(unl):
-        unl = _sampled(rows.join(marks.where("toxic = 1"), "doc_id", "left_anti"), unlabelled)
-    return fit(pos, unl, share)
+    ids, toxic = rows.select("doc_id").distinct(), marks.where("toxic = 1").select("doc_id")
+    others = _picked(ids.join(marks, "doc_id", "left_anti"), unlabelled)
+    if others.isEmpty():
+        others = _picked(ids.join(toxic, "doc_id", "left_anti"), unlabelled)
+    chosen = _picked(toxic, positives).withColumn("y", F.lit(1)).union(others.withColumn("y", F.lit(0)))
+    chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "doc_id long, y int")  # at most positives + unlabelled rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, starts, idx in features(batch.column(2)):
+                out += [x.astype(np.int32).tobytes() for x in np.split(idx, starts[1:-1])]
+            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "doc_id": batch.column(1), "x": pa.array(out, pa.binary())})
+
+    got = rows.join(F.broadcast(chosen), "doc_id").select("y", "doc_id", "text").mapInArrow(run, "y int, doc_id long, x binary").orderBy("doc_id", "x").toArrow()
+    y = got.column("y").to_numpy()
+    lists = [np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in got.column("x")]
+    return fit(Rows([x for x, k in zip(lists, y, strict=True) if k == 1]), Rows([x for x, k in zip(lists, y, strict=True) if k == 0]), share)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
