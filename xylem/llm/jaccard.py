@@ -76,12 +76,12 @@ def frequent(docs: DataFrame, n: int, text_col: str) -> tuple[np.ndarray, np.nda
             return k, c
 
         for batch in batches:
-            for _, _, buf, offs in t.slices(batch.column(0), 4 * t.SLICE_BYTES):
+            for _, _, buf, offs in t.slices(batch.column(0)):
                 k, c = np.unique(shingles(buf, offs, n)[1], return_counts=True)
                 keys.append(k[c > 1])
                 sums.append(c[c > 1])
                 held += len(keys[-1])
-                if held > 4 * LOCAL_MOST:
+                if held > 2 * LOCAL_MOST:
                     k, c = fold()
                     keys, sums, held = [k], [c], len(k)
         if keys:
@@ -211,7 +211,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, order: Broad
         size = np.cumsum(np.diff(batch.column("ga").offsets.to_numpy()) + np.diff(batch.column("gb").offsets.to_numpy()))
         lo = 0
         while lo < len(size):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 20), side="right")))
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 18), side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN,
     copies = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.expr("min(doc_id) filter (where size(prefix) > 0)").alias("node")))
     pre = named.where("size(prefix) > 0").select("doc_id", "n", F.col("prefix").alias("grams"))
     of = written(named.where("size(prefix) > 0").select("doc_id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).select("doc_id", "node").distinct())
-    post = written(postings(profile, parts(profile)))
+    post = written(postings(profile, parts(profile, 4 << 20)))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
