@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, quality, substrings, topk, toxicity
+from . import decontaminate, jaccard, language, pii, quality, secrets, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_near_duplicates": jaccard.op3_near_duplicates,
         "op5_quality": quality.op5_quality,
+        "op6_pii": pii.op6_pii,
+        "op7_secrets": secrets.op7_secrets,
         "op8_substrings": substrings.op8_substrings,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_language": language.op10_language,
