@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, pii, quality, secrets, substrings, topk, toxicity
+from . import decontaminate, jaccard, language, pieces, pii, quality, secrets, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_top_k": topk.op1_top_k,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_near_duplicates": jaccard.op3_near_duplicates,
+        "op4_pieces": pieces.op4_pieces,
         "op5_quality": quality.op5_quality,
         "op6_pii": pii.op6_pii,
         "op7_secrets": secrets.op7_secrets,
