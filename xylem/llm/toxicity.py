@@ -28,7 +28,7 @@ from . import textops as t
 from .language import fold
 from .runtime import prepare, table
 
-BUCKETS, POSITIVES, UNLABELLED, THRESHOLD = 1 << 18, 6_000, 18_000, 0.3
+BUCKETS, POSITIVES, UNLABELLED, THRESHOLD = 1 << 18, 4_500, 9_000, 0.3
 #: Bytes of the word beginnings that are features beside whole words, so that a word family is known by its stem.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -63,11 +63,18 @@ class Rows:
 
     def __init__(self, lists: list[np.ndarray]) -> None:
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        self.idx = np.concatenate([np.zeros(0, np.int64), *lists])
+        self.idx = np.concatenate([np.zeros(0, np.int32), *lists])
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def only(self, live: np.ndarray) -> Rows:
+        """The rows with the live buckets alone."""
+        keep = live[self.idx]
+        out = Rows([])
+        out.starts, out.idx = np.concatenate([[0], np.cumsum(keep)])[self.starts], self.idx[keep]
+        return out
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.starts[rows + 1] - self.starts[rows]
         at = np.concatenate([[0], np.cumsum(size)])
@@ -85,6 +92,7 @@ def fit(pos: Rows, unl: Rows, prior: float, epochs: int = 40, rate: float = 0.03
     a, b, na, nb = np.bincount(pos.idx, minlength=BUCKETS), np.bincount(unl.idx, minlength=BUCKETS), len(pos), len(unl)
     both = (a + b + 1) / (na + nb + 2)
     live = (a >= least) & (np.abs(a / na - b / nb) >= apart * np.sqrt(both * (1 - both) * (1 / na + 1 / nb)))
+    pos, unl = pos.only(live), unl.only(live)
     m, v, mb, vb, step = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0
     rng = np.random.default_rng(seed)
     parts = max(1, len(unl) // 1_500)
@@ -140,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     got = rows.join(F.broadcast(chosen), "doc_id").select("y", "doc_id", "text").mapInArrow(run, "y int, doc_id long, x binary").orderBy("doc_id", "x").toArrow()
     y = got.column("y").to_numpy()
-    lists = [np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in got.column("x")]
+    lists = [np.frombuffer(x.as_py(), dtype=np.int32) for x in got.column("x")]
+    del got
     return fit(Rows([x for x, k in zip(lists, y, strict=True) if k == 1]), Rows([x for x, k in zip(lists, y, strict=True) if k == 0]), share)
 
 
