@@ -144,11 +144,11 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, text_col: str, table_:
     return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
-_ENTRY = np.dtype([("g", "<u8"), ("d", "<i8"), ("n", "<i4")])
+_ENTRY = np.dtype([("g", "<u8"), ("d", "<i8"), ("n", "<i4"), ("p", "<i4")])
 
 
 def postings(profile: DataFrame, buckets: int) -> DataFrame:
-    """(g, doc_id, n, lead, lead_n): the stored incidence entries whose n-gram is in two documents or more.
+    """(g, doc_id, n, place, lead, lead_n, lead_place): the stored incidence entries whose n-gram is in two documents or more.
 
     Entries travel as packed column blocks, one for each batch and hash range.  ``lead`` is the n-gram's smallest document.
     """
@@ -160,6 +160,7 @@ def postings(profile: DataFrame, buckets: int) -> DataFrame:
             size = np.diff(pre.offsets.to_numpy())
             e["g"] = pre.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             e["d"], e["n"] = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), np.repeat(batch.column(1).to_numpy(), size)
+            e["p"] = np.arange(len(e)) - np.repeat((pre.offsets.to_numpy() - pre.offsets.to_numpy()[0])[:-1], size)
             at = ((e["g"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             e, at = e[order], at[order]
@@ -177,16 +178,23 @@ def postings(profile: DataFrame, buckets: int) -> DataFrame:
         keep = several[run]
         lead = first[run[keep]]
         e, l = e[keep], e[lead]
-        return pa.table({"g": t.signed(e["g"].copy()), "doc_id": e["d"].copy(), "n": e["n"].astype(np.int64), "lead": l["d"].copy(), "lead_n": l["n"].astype(np.int64)})
+        return pa.table({"g": t.signed(e["g"].copy()), "doc_id": e["d"].copy(), "n": e["n"].astype(np.int64), "place": e["p"].astype(np.int64), "lead": l["d"].copy(), "lead_n": l["n"].astype(np.int64), "lead_place": l["p"].astype(np.int64)})
 
     packed = profile.where("size(prefix) > 0 and doc_id is not null").select("doc_id", "n", "prefix").mapInArrow(pack, "bucket long, data binary")
-    return packed.groupBy("bucket").applyInArrow(group, "g long, doc_id long, n long, lead long, lead_n long")
+    return packed.groupBy("bucket").applyInArrow(group, "g long, doc_id long, n long, place long, lead long, lead_n long, lead_place long")
 
 
 def _close(a: str, b: str, num: int, den: int):
     return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
 
+def _placed(a: str, b: str, pa: str, pb: str, num: int, den: int):
+    """Whether sets of a and b n-grams that share the one at these places of theirs can be similar: before it, they share at
+    most the shorter way, after it the shorter rest."""
+    most = F.least(pa, pb) + 1 + F.least(F.col(a) - F.col(pa) - 1, F.col(b) - F.col(pb) - 1)
+    return _close(a, b, num, den) & (most * den >= num * (F.col(a) + F.col(b) - most))
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The overlap count of each pair of sets: entries of both sides as (pair, n-gram), of which those met twice count."""
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -287,20 +295,21 @@ def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN,
         maybe = written(verified(candidates, pre, num, den, order).distinct())
         return written(verified(maybe, texts_of(maybe), num, den).distinct())
 
-    star = post.where((F.col("doc_id") != F.col("lead")) & _close("n", "lead_n", num, den)).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = post.where((F.col("doc_id") != F.col("lead")) & _placed("n", "lead_n", "place", "lead_place", num, den)).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = written(_apart(star, of))
     found = links(star)
     label = components(found)
     # what the stars have not joined: postings with several components, pair by pair across them
-    entries = post.select("g", "doc_id", "n").join(of, "doc_id").select("g", F.col("node").alias("id"), "n").distinct().join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    entries = post.select("g", "doc_id", "n", "place").join(of, "doc_id").select("g", F.col("node").alias("id"), "n", "place").distinct().join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
     entries = written(entries)
     mixed = entries.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
     entries = written(entries.join(mixed, "g"))
-    x, y = (entries.select("g", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    # a pair's entries here are all that their prefixes share, so with the sizes their number bounds the whole overlap
+    x, y = (entries.select("g", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("place").alias(f"p{k}")) for k in "ab")
+    # a pair's entries are all that their prefixes share (a pair that loses one by its places can't be similar), so with
+    # the sizes their number bounds the whole overlap
     left_over = "{0} - ({0} - (({num} * {0} + {den} - 1) div {den}) + 1)"
     most = f"(o + greatest({left_over.format('na', num=num, den=den)}, {left_over.format('nb', num=num, den=den)}))"
-    rest = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("na", "nb", num, den))
+    rest = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _placed("na", "nb", "pa", "pb", num, den))
     rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o")).where(f"{den} * {most} >= {num} * (na + nb - {most})").select("a", "b").distinct()
     more = links(rest.join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
