@@ -79,60 +79,45 @@ class Vocabulary:
         """The score of a character without a piece: below that of any single piece that is meant to be found."""
         return min((s for s in self.scores if s > -1e8), default=0.0) - 10
 
-    def pairs(self) -> np.ndarray:
-        """Sorted codes of the neighbouring characters that some piece holds."""
-        return np.array(sorted({ord(a) << 21 | ord(b) for s in self.surfaces for a, b in zip(s, s[1:], strict=False)}), dtype=np.int64)
+    def joined(self) -> np.ndarray:
+        """Whether some piece holds two bytes next to each other, as a table; bytes beyond ASCII count as one, and are never
+        cut from each other."""
+        out = np.zeros((256, 256), bool)
+        for s in self.surfaces:
+            x = s.encode()
+            for a, b in zip(x, x[1:], strict=False):
+                out[min(a, 128), min(b, 128)] = True
+        out[128:, :128], out[:128, 128:], out[128:, 128:] = out[128, :128], out[:128, 128][:, None], True
+        return out.ravel()
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(s, i, float(x)) for i, (s, x) in enumerate(zip(self.surfaces, self.scores, strict=True)) if s], "surface string, id int, score double")
 
 
-_NEAR = 0x250
-
-
-def _near(pairs: np.ndarray) -> np.ndarray:
-    """The pairs of low code points as a table."""
-    out = np.zeros((_NEAR, _NEAR), bool)
-    a, b = pairs >> 21, pairs & 0x1FFFFF
-    low = (a < _NEAR) & (b < _NEAR)
-    out[a[low], b[low]] = True
-    return out
-
-
-def cut(buf: np.ndarray, offs: np.ndarray, pairs: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cut(buf: np.ndarray, offs: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes with a blank before each text that is not empty, word starts, word ends, first word of each row)."""
     some = np.diff(offs) > 0
     buf = np.insert(buf, offs[:-1][some], 32)
     offs = offs + np.concatenate([[0], np.cumsum(some)])
     if not len(buf):
         return buf, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    place = np.flatnonzero((buf & 0xC0) != 0x80)
-    cp = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
-    a, b = cp[:-1], cp[1:]
-    low = (a < _NEAR) & (b < _NEAR)
-    joined = near[np.minimum(a, _NEAR - 1), np.minimum(b, _NEAR - 1)] & low
-    high = np.flatnonzero(~low)
-    if len(high) and len(pairs):
-        code = a[high] << 21 | b[high]
-        k = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-        joined[high] = pairs[k] == code
-    head = np.concatenate([[True], ~joined])
-    head[np.searchsorted(place, offs[:-1][some])] = True
+    head = np.ones(len(buf), bool)
+    head[1:] = ~joined[buf[:-1].astype(np.uint16) * np.uint16(256) + buf[1:]]
+    head[offs[:-1][some]] = True
     first = np.flatnonzero(head)
-    size = np.diff(np.concatenate([first, [len(cp)]]))
-    for i in np.flatnonzero(size > LONGEST):
-        head[first[i] : first[i] + size[i] : LONGEST] = True
-    starts = place[head]
-    ends = np.concatenate([starts[1:], [len(buf)]])
-    return buf, starts, ends, np.searchsorted(starts, offs)
+    size = np.diff(np.concatenate([first, [len(buf)]]))
+    for i in np.flatnonzero(size > LONGEST):  # in characters: cuts never come before a byte that continues one
+        place = first[i] + np.flatnonzero((buf[first[i] : first[i] + size[i]] & 0xC0) != 0x80)
+        head[place[::LONGEST]] = True
+    starts = np.flatnonzero(head)
+    return buf, starts, np.concatenate([starts[1:], [len(buf)]]), np.searchsorted(starts, offs)
 
 
 def distinct_words(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFrame:
     """(word, n) of all documents; each task names a word once (or a few times, in very large tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared.value
-        near, held = _near(pairs), {}
+        joined, held = shared.value, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(held)
@@ -143,7 +128,7 @@ def distinct_words(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFra
 
         for batch in batches:
             for _, _, buf, offs in t.slices(batch.column(0)):
-                buf, starts, ends, _ = cut(buf, offs, pairs, near)
+                buf, starts, ends, _ = cut(buf, offs, joined)
                 h = t.word_hashes(buf, starts, ends)
                 order = np.argsort(h, kind="stable")
                 _, first, n = np.unique(h[order], return_index=True, return_counts=True)
@@ -187,19 +172,21 @@ def _merges(grouped: DataFrame) -> DataFrame:
     # by score (the best first), then from the left; only edges of several characters merge
     ranked = grouped.withColumn("ranked", F.array_sort(F.transform(F.filter("edges", lambda e: e["e"] - e["b"] > 1), lambda e: F.struct((-e["score"]).alias("cost"), e["b"].alias("b"), e["e"].alias("e"), e["id"].alias("id")))))
 
+    # by position: where the piece that starts there ends, 0 where none starts
     def merge(acc, _):
         def spans(e):
-            at = F.array_position(acc["cuts"], e["b"]).cast("int")
-            return (at > 0) & (F.get(acc["cuts"], at + 1) == e["e"])
+            middle = F.get(acc["ends"], e["b"])
+            return (middle > 0) & (F.get(acc["ends"], middle) == e["e"])
 
         # one struct first, so that the search runs once
         found = F.transform(F.array(F.get(F.filter("ranked", spans), F.lit(0))), lambda e: F.struct(
-            F.when(e.isNull(), acc["cuts"]).otherwise(F.filter(acc["cuts"], lambda x: (x <= e["b"]) | (x >= e["e"]))).alias("cuts"), e.isNull().alias("over")))
+            F.when(e.isNull(), acc["ends"]).otherwise(F.transform(acc["ends"], lambda x, i: F.when(i == e["b"], e["e"]).when((i > e["b"]) & (i < e["e"]), 0).otherwise(x))).alias("ends"), e.isNull().alias("over")))
         return F.when(acc["over"], acc).otherwise(F.get(found, F.lit(0)))
 
-    zero = F.struct(F.sequence(F.lit(0), F.length("word")).alias("cuts"), F.lit(False).alias("over"))
+    zero = F.struct(F.concat(F.sequence(F.lit(1), F.length("word")), F.array(F.lit(0))).alias("ends"), (F.size("ranked") == 0).alias("over"))
     steps = F.sequence(F.lit(1), F.length("word"))
-    cuts = ranked.select("word", "n", "edges", F.aggregate(steps, zero, merge, lambda acc: acc["cuts"]).alias("cuts"))
+    ends = ranked.select("word", "n", "edges", F.aggregate(steps, zero, merge, lambda acc: acc["ends"]).alias("ends"))
+    cuts = ends.select("word", "n", "edges", F.array_append(F.filter(F.transform("ends", lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull()), F.length("word")).alias("cuts"))
 
     def piece(i):
         own = F.filter("edges", lambda e: (e["b"] == F.get("cuts", i)) & (e["e"] == F.get("cuts", i + 1)))
@@ -259,7 +246,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
     """(doc_id, ids) of each row."""
     spark = docs.sparkSession
     prepare(spark)
-    pairs = spark.sparkContext.broadcast(vocabulary.pairs())
+    pairs = spark.sparkContext.broadcast(vocabulary.joined())
     words = written(segmented(distinct_words(docs, text_col, pairs), vocabulary))
     spark.sparkContext._jvm.System.gc()  # the shuffle of the words is over; its files can go before the next ones come
     counts = words.groupBy("n").count().orderBy(F.desc("n"))
@@ -278,11 +265,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row's word numbers, in three planes of bytes; rare words count on from the frequent ones, and come along."""
-        frequent, near = known.value, _near(pairs.value)
+        frequent = known.value
         for batch in batches:
             codes, unknown = [], []
             for lo, hi, buf, offs in t.slices(batch.column(2)):
-                buf, starts, ends, firsts = cut(buf, offs, pairs.value, near)
+                buf, starts, ends, firsts = cut(buf, offs, pairs.value)
                 raw = buf.tobytes()
                 k = frequent.numbers(raw, starts, ends, t.word_hashes(buf, starts, ends))
                 for i in range(hi - lo):
@@ -311,12 +298,18 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
             for i, (null, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 code = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
                 more = [np.array(x["ids"], np.int32) for x in told[i].as_py() or []]
-                begin = np.concatenate([frequent.first[:-1], len(frequent.flat) + np.concatenate([[0], np.cumsum([len(x) for x in more])])[:-1].astype(np.int64)]) if more else frequent.first[:-1]
-                length = np.concatenate([size, [len(x) for x in more]]).astype(np.int64) if more else size
-                flat = np.concatenate([frequent.flat, *more]) if more else frequent.flat
-                n = length[code]
-                at = np.repeat(begin[code] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64), n) + np.arange(n.sum())
-                out.append(None if null else flat[at])
+                mine = code < count
+                n = np.zeros(len(code), np.int64)
+                n[mine] = size[code[mine]]
+                for k in np.flatnonzero(~mine):
+                    n[k] = len(more[code[k] - count])
+                end = np.cumsum(n)
+                ids = np.empty(int(end[-1]) if len(end) else 0, np.int32)
+                shift = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+                ids[np.repeat((end - n)[mine], n[mine]) + shift] = frequent.flat[np.repeat(frequent.first[code[mine]], n[mine]) + shift]
+                for k in np.flatnonzero(~mine):
+                    ids[end[k] - n[k] : end[k]] = more[code[k] - count]
+                out.append(None if null else ids)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(out, pa.list_(pa.int32()))})
 
     return both.select("doc_id", "null", "codes", "told").mapInArrow(spelled, "doc_id long, ids array<int>")
