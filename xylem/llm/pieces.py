@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import textops as t
 from .runtime import prepare, table, written
 
-LONGEST, FREQUENT_WORDS = 256, 1_000_000
+LONGEST, FREQUENT_WORDS = 256, 500_000
 BLANK = "▁"
 
 
@@ -214,16 +214,14 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 class _Frequent:
-    """Words by hash, with their texts (to be sure) and ids."""
+    """Words by hash, with their texts (to be sure)."""
 
-    def __init__(self, words: list[bytes], ids: pa.ListArray) -> None:
-        flat, first = ids.flatten().to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
-        self.first, self.flat = first - (first[0] if len(first) else 0), flat
+    def __init__(self, words: list[bytes]) -> None:
         size = np.array([len(w) for w in words], np.int64)
         self.text, self.ends = b"".join(words), np.cumsum(size)
         buf = np.frombuffer(self.text, np.uint8)
         h = t.word_hashes(buf, self.ends - size, self.ends)
-        self.order = np.argsort(h, kind="stable")
+        self.order = np.argsort(h, kind="stable").astype(np.int32)
         self.hashes = h[self.order]
 
     def numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -259,7 +257,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
         least = r["n"]
     got = (words.where(F.col("n") >= least) if least is not None else words.limit(0)).select("word", "ids").toArrow().combine_chunks()
     ids = got.column("ids").combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
-    known = spark.sparkContext.broadcast(_Frequent([w.encode() for w in got.column("word").to_pylist()], ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids))
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    first = ids.offsets.to_numpy().astype(np.int32) if len(ids) else np.zeros(1, np.int32)
+    # numbering needs the words, spelling only their ids: two broadcasts, so that no worker holds both
+    known = spark.sparkContext.broadcast(_Frequent([w.encode() for w in got.column("word").to_pylist()]))
+    spelling = spark.sparkContext.broadcast((first - first[0], ids.flatten().to_numpy().astype(np.int32)))
     rare = words.where(F.col("n") < least) if least is not None else words
     count = len(got)
 
@@ -290,8 +292,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
     both = left.join(back.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known.value
-        size = np.diff(frequent.first)
+        first, flat = spelling.value
+        size = np.diff(first)
         for batch in batches:
             out = []
             told = batch.column(3)
@@ -306,7 +308,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
                 end = np.cumsum(n)
                 ids = np.empty(int(end[-1]) if len(end) else 0, np.int32)
                 shift = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-                ids[np.repeat((end - n)[mine], n[mine]) + shift] = frequent.flat[np.repeat(frequent.first[code[mine]], n[mine]) + shift]
+                ids[np.repeat((end - n)[mine], n[mine]) + shift] = flat[np.repeat(first[code[mine]], n[mine]) + shift]
                 for k in np.flatnonzero(~mine):
                     ids[end[k] - n[k] : end[k]] = more[code[k] - count]
                 out.append(None if null else ids)
