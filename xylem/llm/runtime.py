@@ -44,4 +44,6 @@ def input_bytes(df: DataFrame) -> int:
 
 def parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """How many buckets keep each bucket's share of the input near ``bytes_each``."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, input_bytes(df) // bytes_each + 1))
+    size = input_bytes(df)
+    known = size if size < 1 << 60 else 0  # rows that are not of files have no estimate
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, known // bytes_each + 1))
