@@ -240,8 +240,8 @@ class _Frequent:
         return own[inv]
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQUENT_WORDS, text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of each row."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQUENT_WORDS, text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, ids) of each row; with ``digest``, also decoded_sha256, of the text that the ids decode to."""
     spark = docs.sparkSession
     prepare(spark)
     pairs = spark.sparkContext.broadcast(vocabulary.joined())
@@ -294,8 +294,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, flat = spelling.value
         size = np.diff(first)
+        decoder = Decoder(vocabulary) if digest else None
         for batch in batches:
-            out = []
+            out, sha = [], []
             told = batch.column(3)
             for i, (null, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 code = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
@@ -312,9 +313,12 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
                 for k in np.flatnonzero(~mine):
                     ids[end[k] - n[k] : end[k]] = more[code[k] - count]
                 out.append(None if null else ids)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(out, pa.list_(pa.int32()))})
+                if decoder:
+                    sha.append(None if null else hashlib.sha256(decoder.bytes(ids)).hexdigest())
+            cols = {"doc_id": batch.column(0), "ids": pa.array(out, pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_pydict(cols | ({"decoded_sha256": pa.array(sha, pa.string())} if digest else {}))
 
-    return both.select("doc_id", "null", "codes", "told").mapInArrow(spelled, "doc_id long, ids array<int>")
+    return both.select("doc_id", "null", "codes", "told").mapInArrow(spelled, "doc_id long, ids array<int>" + ", decoded_sha256 string" * digest)
 
 
 class Decoder:
@@ -354,5 +358,5 @@ def decoded(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Data
 def op4_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, and the SHA-256 of the text that they decode to."""
     vocabulary = Vocabulary.load(model or default_model())
-    out = decoded(encoded(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = encoded(table(spark, sf_dir, "documents"), vocabulary, digest=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
