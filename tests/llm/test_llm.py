@@ -139,8 +139,8 @@ def test_bounds_of_search():
         s = [(-int(x[i] @ x[j]), j) for j in range(400) if j != i]
         assert [(-a, b) for a, b in zip(scores, found, strict=True)] == sorted(s)[:5]
     huge = x.astype(np.int64) * 2**40
-    for i, found, scores in topk.search(ids[:50], huge[:50], ids[:2], huge[:2] // 2**20, 3):
-        s = [(-int(sum(int(a) * int(b) for a, b in zip(huge[i] // 2**20, huge[j], strict=True))), j) for j in range(50) if j != i]
+    for i, found, scores in topk.search(ids[:50], huge[:50], ids[:2], huge[:2] // 2**36, 3):
+        s = [(-int(sum(int(a) * int(b) for a, b in zip(huge[i] // 2**36, huge[j], strict=True))), j) for j in range(50) if j != i]
         assert found.tolist() == [j for _, j in sorted(s)[:3]]
 
 
@@ -155,7 +155,8 @@ def test_pieces(spark, docs, none, vocabulary, frequent):
 
     texts = [*TEXTS, "Hello  world\nfoo bär", "   lead", "tab\tand ▁ mark", "日本語 テキスト 🙂🙂", "x\r\n\r\ny ", "été.été;É"]
     df = spark.createDataFrame([(i % 20, x) for i, x in enumerate(texts)], "doc_id long, text string")
-    out = pieces.decoded(pieces.encoded(df, vocabulary, frequent_words=frequent), vocabulary).collect()
+    out = pieces.decoded(pieces.encoded(df, vocabulary, frequent_words=frequent, digest=True), vocabulary).collect()
+    assert all(r.decoded_sha256 == (hashlib.sha256(r.decoded.encode()).hexdigest() if r.decoded is not None else None) for r in out)
     assert sorted(r.decoded or "" for r in out) == sorted(x or "" for x in texts) and sum(r.ids is None for r in out) == 1
     m = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     own = {r.decoded: list(r.ids) for r in out if r.decoded is not None}
