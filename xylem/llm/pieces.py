@@ -136,7 +136,7 @@ def distinct_words(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFra
                 for i, k in zip(order[first].tolist(), n.tolist(), strict=True):
                     w = raw[starts[i] : ends[i]]
                     held[w] = held.get(w, 0) + k
-                if len(held) > 600_000:
+                if len(held) > 150_000:
                     yield from flush()
         yield from flush()
 
