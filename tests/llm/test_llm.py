@@ -167,6 +167,21 @@ def test_pieces(spark, docs, none, vocabulary, frequent):
     assert len(pieces.encoded(docs, vocabulary).collect()) == len(ROWS)
 
 
+def test_merges_searched_anew(spark, vocabulary):
+    """Words whose merges come after their piece's turn, and words longer than a mask, are as the library encodes them."""
+    import random
+
+    import sentencepiece
+
+    late, wakes = vocabulary.late()
+    m = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    r = random.Random(4)
+    some = sorted(x for x in late | wakes if x.strip() == x and x.isascii() and x.isalpha())
+    words = [f" {''.join(r.choices(some, k=r.choice([2, 3, 4, 30])))}" for _ in range(400)] + [" " + "a" * k for k in (1, 7, 61, 62, 63, 200)]
+    got = pieces.segmented(spark.createDataFrame([(w, 1) for w in dict.fromkeys(words)], "word string, n long"), vocabulary).collect()
+    assert len(got) == len(set(words)) and all(list(x.ids) == m.encode(x.word[1:]) for x in got)
+
+
 def test_viterbi(spark):
     surfaces = ["", *(chr(0) for _ in range(0))] + [""] * 256 + list("abc ") + ["ab", "bc", "abc", " a", "aa"]
     scores = [0.0] * 257 + [-3.0, -3.0, -3.0, -2.0, -3.5, -2.5, -9.0, -4.0, -3.1]

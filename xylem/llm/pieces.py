@@ -36,13 +36,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import prepare, table, written
+from .runtime import parts, prepare, table, written
 
 LONGEST, FREQUENT_WORDS = 256, 500_000
+#: A long has a bit for each cut of a word of so many characters.
+MASKED = 62
 BLANK = "▁"
 
 
@@ -90,8 +92,22 @@ class Vocabulary:
         out[128:, :128], out[:128, 128:], out[128:, 128:] = out[128, :128], out[:128, 128][:, None], True
         return out.ravel()
 
+    def late(self) -> tuple[set[str], set[str]]:
+        """(pieces that two others make of which one has no better a score, so that it may come after the piece's own turn; those others)."""
+        score = {s: x for s, x in zip(self.surfaces, self.scores, strict=True) if len(s) > 1}
+        late, wakes = set(), set()
+        for s, x in score.items():
+            for i in range(1, len(s)):
+                halves = [h for h in (s[:i], s[i:]) if len(h) > 1]
+                if halves and all(h in score for h in halves) and score[last := min(halves, key=score.__getitem__)] <= x:
+                    late.add(s)
+                    wakes.update(h for h in halves if score[h] == score[last])
+        return late, wakes
+
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(s, i, float(x)) for i, (s, x) in enumerate(zip(self.surfaces, self.scores, strict=True)) if s], "surface string, id int, score double")
+        late, wakes = self.late() if self.kind == "bpe" else (set(), set())
+        rows = [(s, i, float(x), s in late, s in wakes) for i, (s, x) in enumerate(zip(self.surfaces, self.scores, strict=True)) if s]
+        return spark.createDataFrame(rows, "surface string, id int, score double, late boolean, wakes boolean")
 
 
 def cut(buf: np.ndarray, offs: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,16 +147,22 @@ def distinct_words(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFra
                 buf, starts, ends, _ = cut(buf, offs, joined)
                 h = t.word_hashes(buf, starts, ends)
                 order = np.argsort(h, kind="stable")
-                _, first, n = np.unique(h[order], return_index=True, return_counts=True)
-                raw = buf.tobytes()
-                for i, k in zip(order[first].tolist(), n.tolist(), strict=True):
-                    w = raw[starts[i] : ends[i]]
+                h = h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
+                n, at, raw = np.diff(np.concatenate([first, [len(h)]])), order[first], buf.tobytes()
+                for i, j, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
+                    w = raw[i:j]
                     held[w] = held.get(w, 0) + k
                 if len(held) > 150_000:
                     yield from flush()
         yield from flush()
 
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # few words in each part, as the lattice of a part is grouped in place
+    return docs.select(text_col).mapInArrow(run, "word string, n long").repartition(parts(docs, 2 << 20), "word").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x.cast("long"), by)
 
 
 def _viterbi(grouped: DataFrame) -> DataFrame:
@@ -168,9 +190,27 @@ def _viterbi(grouped: DataFrame) -> DataFrame:
 
 
 def _merges(grouped: DataFrame) -> DataFrame:
-    """(word, n, path): what is left when the best edge that spans two neighbours is taken again and again, as (b, id)."""
+    """(word, n, path): what is left when the best edge that spans two neighbours is taken again and again, as (b, id).
+
+    A word's cuts are the bits of a long, and one pass over the edges, the best score first, merges what spans exactly
+    two pieces.  That is the whole order of merges unless a merge lets an edge of a better score fit after its turn
+    (see ``Vocabulary.late``).  Where that happens (the mask becomes 0), and in words of more than ``MASKED`` characters,
+    the best edge is searched anew for each merge instead.
+    """
     # by score (the best first), then from the left; only edges of several characters merge
-    ranked = grouped.withColumn("ranked", F.array_sort(F.transform(F.filter("edges", lambda e: e["e"] - e["b"] > 1), lambda e: F.struct((-e["score"]).alias("cost"), e["b"].alias("b"), e["e"].alias("e"), e["id"].alias("id")))))
+    ranked = grouped.withColumn("ranked", F.sort_array(F.transform(F.filter("edges", lambda e: e["e"] - e["b"] > 1), lambda e: F.struct((-e["score"]).alias("cost"), *(e[c].alias(c) for c in ("b", "e", "inner", "outer", "late", "wakes"))))))
+
+    def fits(mask, e):
+        return (mask.bitwiseAND(e["outer"]) == e["outer"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
+
+    def once(mask, e):
+        after = mask.bitwiseAND(F.bitwise_not(e["inner"]))
+        missed = e["wakes"] & F.exists("ranked", lambda x: x["late"] & (x["cost"] < e["cost"]) & fits(after, x))
+        return F.when(~fits(mask, e), mask).when(missed, F.lit(0).cast("long")).otherwise(after)
+
+    n = F.length("word")
+    whole = F.when(n <= MASKED, _shift(F.lit(1), n) - 1 + _shift(F.lit(1), n)).otherwise(F.lit(0).cast("long"))
+    masked = ranked.select("word", "n", "edges", "ranked", F.aggregate("ranked", whole, once).alias("mask"))
 
     # by position: where the piece that starts there ends, 0 where none starts
     def merge(acc, _):
@@ -183,16 +223,13 @@ def _merges(grouped: DataFrame) -> DataFrame:
             F.when(e.isNull(), acc["ends"]).otherwise(F.transform(acc["ends"], lambda x, i: F.when(i == e["b"], e["e"]).when((i > e["b"]) & (i < e["e"]), 0).otherwise(x))).alias("ends"), e.isNull().alias("over")))
         return F.when(acc["over"], acc).otherwise(F.get(found, F.lit(0)))
 
-    zero = F.struct(F.concat(F.sequence(F.lit(1), F.length("word")), F.array(F.lit(0))).alias("ends"), (F.size("ranked") == 0).alias("over"))
-    steps = F.sequence(F.lit(1), F.length("word"))
-    ends = ranked.select("word", "n", "edges", F.aggregate(steps, zero, merge, lambda acc: acc["ends"]).alias("ends"))
-    cuts = ends.select("word", "n", "edges", F.array_append(F.filter(F.transform("ends", lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull()), F.length("word")).alias("cuts"))
-
-    def piece(i):
-        own = F.filter("edges", lambda e: (e["b"] == F.get("cuts", i)) & (e["e"] == F.get("cuts", i + 1)))
-        return F.struct(F.get("cuts", i).alias("b"), F.get(own, F.lit(0))["id"].alias("id"))
+    zero = F.struct(F.concat(F.sequence(F.lit(1), n), F.array(F.lit(0))).alias("ends"), (F.size("ranked") == 0).alias("over"))
+    searched = F.aggregate(F.sequence(F.lit(1), n), zero, merge, lambda acc: acc["ends"])
+    ends = masked.select("word", "n", "edges", "mask", F.when(F.col("mask") == 0, searched).alias("ends"))
 
-    return cuts.select("word", "n", F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), piece).alias("path"))
+    left = F.when(F.col("ends").isNull(), F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["outer"]) == e["outer"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))).otherwise(
+        F.filter("edges", lambda e: F.get("ends", e["b"]) == e["e"]))
+    return ends.select("word", "n", F.transform(left, lambda e: F.struct(e["b"].alias("b"), e["id"].alias("id"))).alias("path"))
 
 
 def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -202,8 +239,12 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     edges = edges.select("word", "n", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - F.col("b")))).alias("l"))
     edges = edges.withColumn("surface", F.substring("word", F.col("b") + 1, F.col("l")))
     edges = edges.join(F.broadcast(vocabulary.table(words.sparkSession)), "surface", "left").where(F.col("id").isNotNull() | (F.col("l") == 1))
-    edges = edges.select("word", "n", F.struct((F.col("b") + F.col("l")).alias("e"), F.col("b"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.unknown)).alias("score")).alias("edge"))
-    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    known = [F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.unknown)).alias("score")]
+    if vocabulary.kind == "bpe":  # cuts as bits: those at the ends of the edge, those within, and the flags of the piece
+        end, one = F.col("b") + F.col("l"), F.lit(1)
+        known += [(_shift(_shift(one, F.col("l") - 1) - 1, F.col("b") + 1)).alias("inner"), _shift(one, F.col("b")).bitwiseOR(_shift(one, end)).alias("outer"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("late", "wakes"))]
+    edges = edges.select("word", "n", F.struct((F.col("b") + F.col("l")).alias("e"), F.col("b"), *known).alias("edge"))
+    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
     path = (_merges if vocabulary.kind == "bpe" else _viterbi)(grouped)
 
     def bytes_of(e):
@@ -218,13 +259,13 @@ class _Frequent:
 
     def __init__(self, words: list[bytes]) -> None:
         size = np.array([len(w) for w in words], np.int64)
-        self.text, self.ends = b"".join(words), np.cumsum(size)
-        buf = np.frombuffer(self.text, np.uint8)
-        h = t.word_hashes(buf, self.ends - size, self.ends)
+        self.text, self.ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size)
+        self.begins = self.ends - size
+        h = t.word_hashes(self.text, self.begins, self.ends)
         self.order = np.argsort(h, kind="stable").astype(np.int32)
         self.hashes = h[self.order]
 
-    def numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The number of each word, or -1."""
         out = np.full(len(h), -1, np.int64)
         if not len(self.hashes) or not len(h):
@@ -233,10 +274,17 @@ class _Frequent:
         k = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
         own = np.full(len(u), -1, np.int64)
         own[self.hashes[k] == u] = self.order[k[self.hashes[k] == u]]
-        for j in np.flatnonzero(own >= 0).tolist():
-            i, w = first[j], own[j]
-            if raw[starts[i] : ends[i]] != self.text[self.ends[w - 1] if w else 0 : self.ends[w]]:
-                own[j] = -1
+        met = np.flatnonzero(own >= 0)
+        at, w = first[met], own[met]
+        size, begin = (ends - starts)[at], self.begins[w]
+        same = size == self.ends[w] - begin
+        met, size, at, begin = met[same], size[same], starts[at[same]], begin[same]
+        shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        differs = buf[np.repeat(at, size) + shift] != self.text[np.repeat(begin, size) + shift]
+        sure = np.zeros(len(own), bool)
+        sure[met] = True
+        sure[np.repeat(met, size)[differs]] = False
+        own[~sure] = -1
         return own[inv]
 
 
@@ -273,7 +321,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
             for lo, hi, buf, offs in t.slices(batch.column(2)):
                 buf, starts, ends, firsts = cut(buf, offs, pairs.value)
                 raw = buf.tobytes()
-                k = frequent.numbers(raw, starts, ends, t.word_hashes(buf, starts, ends))
+                k = frequent.numbers(buf, starts, ends, t.word_hashes(buf, starts, ends))
                 for i in range(hi - lo):
                     own = k[firsts[i] : firsts[i + 1]]
                     miss = np.flatnonzero(own < 0)
