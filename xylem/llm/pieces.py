@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import parts, prepare, table, written
+from .runtime import parts, prepare, released, table, written
 
 LONGEST, FREQUENT_WORDS = 256, 500_000
 #: A long has a bit for each cut of a word of so many characters.
@@ -294,7 +294,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
     prepare(spark)
     pairs = spark.sparkContext.broadcast(vocabulary.joined())
     words = written(segmented(distinct_words(docs, text_col, pairs), vocabulary))
-    spark.sparkContext._jvm.System.gc()  # the shuffle of the words is over; its files can go before the next ones come
+    released(spark)  # the shuffle of the words is over
     counts = words.groupBy("n").count().orderBy(F.desc("n"))
     # the least count that at most ``frequent_words`` words have
     least, total = None, 0

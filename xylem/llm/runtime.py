@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go the files of shuffles that nothing refers to any more, before the next ones come.
+
+    The driver's cleaner gets a shuffle once the JVM has collected its plan, which Python's own objects may still hold."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of a DataFrame (for files, their size), of any store."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
