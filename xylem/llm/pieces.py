@@ -288,6 +288,17 @@ class _Frequent:
         return own[inv]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """How many numbers, and their four planes of bytes, compressed: frequent words have small numbers, so most planes are nearly empty."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = pa.decompress(data[4:], 4 * int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQUENT_WORDS, text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, ids) of each row; with ``digest``, also decoded_sha256, of the text that the ids decode to."""
     spark = docs.sparkSession
@@ -303,7 +314,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
         if total > frequent_words:
             break
         least = r["n"]
-    got = (words.where(F.col("n") >= least) if least is not None else words.limit(0)).select("word", "ids").toArrow().combine_chunks()
+    got = (words.where(F.col("n") >= least) if least is not None else words.limit(0)).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     ids = got.column("ids").combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
     first = ids.offsets.to_numpy().astype(np.int32) if len(ids) else np.zeros(1, np.int32)
@@ -314,7 +325,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
     count = len(got)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row's word numbers, in three planes of bytes; rare words count on from the frequent ones, and come along."""
+        """Each row's word numbers, packed; rare words count on from the frequent ones, and come along."""
         frequent = known.value
         for batch in batches:
             codes, unknown = [], []
@@ -330,7 +341,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
                         a = firsts[i] + j
                         own[j] = count + words_.setdefault(raw[starts[a] : ends[a]].decode(), len(words_))
                     unknown.append(list(words_))
-                    codes.append(np.ascontiguousarray(own.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+                    codes.append(_packed(own))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "key": batch.column(1), "null": pa.array(np.asarray(batch.column(2).is_null())), "codes": pa.array(codes, pa.binary()), "rare": pa.array(unknown, pa.list_(pa.string()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(numbered, "doc_id long, key long, null boolean, codes binary, rare array<string>")
@@ -347,7 +358,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
             out, sha = [], []
             told = batch.column(3)
             for i, (null, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                code = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+                code = _unpacked(data)
                 more = [np.array(x["ids"], np.int32) for x in told[i].as_py() or []]
                 mine = code < count
                 n = np.zeros(len(code), np.int64)
