@@ -74,6 +74,14 @@ def test_near_duplicates(docs, none, duck):
     assert out[None] == 0 and jaccard.near_duplicates(none).isEmpty()
 
 
+def test_near_duplicates_after_a_null_id(spark):
+    """A row without an id does not take the prefix of its set from the documents after it in its task."""
+    rows = [(None, LONG), (9, LONG), (5, LONG), (7, LONG + " more"), (8, say(50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert out == {None: 5, 9: 5, 5: 5, 7: 5, 8: 8}
+
+
 def test_near_duplicates_brute_force(spark):
     """Families of edits, so that similarities lie on both sides of the bound and chains join."""
     r = random.Random(11)

@@ -106,8 +106,8 @@ def weights(often: np.ndarray, often_n: np.ndarray, g: np.ndarray) -> np.ndarray
 
 
 def profiles(docs: DataFrame, n: int, num: int, den: int, text_col: str, table_: Broadcast) -> DataFrame:
-    """Per row: doc_id, n (set size), s1 and s2 (the set's signature), prefix (its first n-grams in the order; null for a
-    set that this task has already seen)."""
+    """Per row: doc_id, n (set size), s1 and s2 (the set's signature), prefix (its first n-grams in the order; empty for a
+    null id, which no pair can name, and for a set that this task has already seen under an id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, often_n = table_.value
@@ -130,10 +130,12 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, text_col: str, table_:
                 if has.any():
                     s2[has] = np.bitwise_xor.reduceat(g * np.uint64(0x2545F4914F6CDD1D), first[:-1][has])
                 length = np.where(has, size - (num * size + den - 1) // den + 1, 0)
+                named = has & np.asarray(batch.column(0).slice(lo, hi - lo).is_valid())
                 keep = []
                 for i, key in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):
-                    keep.append(bool(has[i]) and key not in seen)
-                    seen.add(key)
+                    keep.append(bool(named[i]) and key not in seen)
+                    if named[i]:
+                        seen.add(key)
                 if len(seen) > 200_000:
                     seen.clear()
                 length = np.where(keep, length, 0)
