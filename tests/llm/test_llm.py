@@ -298,6 +298,19 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(none, toxicity.train(none, labels)).isEmpty()
 
 
+def test_toxicity_of_a_rare_word(spark):
+    """A word in one of 500 toxic rows, and in no other, lies 6 standard errors apart in the registered rows, and 4.2 in half the unlabelled ones."""
+    from xylem.llm import textops
+
+    held = spark.range(40_000).select(F.col("id").alias("doc_id")).where(toxicity.fold() != 2).limit(24_000).toPandas().doc_id.tolist()
+    toxic = held[::4]
+    rare = set(toxic[::500])
+    df = spark.createDataFrame([(i, "vile rude" if i in rare else "plain") for i in held], "doc_id long, text string")
+    w, _ = toxicity.train(df, spark.createDataFrame([(i, 1) for i in toxic], "doc_id long, toxic int"))
+    word = textops.word_hashes(np.frombuffer(b"vile", np.uint8), np.array([0]), np.array([4]))[0]
+    assert len(held) == 24_000 and w[int(word % np.uint64(toxicity.BUCKETS))] > 0
+
+
 def test_quality(spark, docs, none):
     good = [f"{say(30)}.\n{say(20)}." for _ in range(300)]
     bad = [" ".join(w + "%%%" for w in say(30).upper().split()) for _ in range(40)] + ["spam! " * 60 for _ in range(20)]

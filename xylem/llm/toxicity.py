@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from . import textops as t
 from .language import fold
-from .runtime import prepare, table
+from .runtime import prepare, table, written
 
-BUCKETS, POSITIVES, UNLABELLED, THRESHOLD = 1 << 18, 4_500, 9_000, 0.3
+BUCKETS, POSITIVES, UNLABELLED, THRESHOLD = 1 << 18, 6_000, 18_000, 0.3
+#: A bucket has a weight if so many toxic documents have it, and its shares lie so many standard errors apart.
+LEAST, APART = 3, 5.0
 #: Bytes of the word beginnings that are features beside whole words, so that a word family is known by its stem.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -81,7 +83,13 @@ class Rows:
         return at, self.idx[np.repeat(self.starts[rows] - at[:-1], size) + np.arange(at[-1])]
 
 
-def fit(pos: Rows, unl: Rows, prior: float, epochs: int = 40, rate: float = 0.03, decay: float = 1e-3, least: int = 3, apart: float = 5.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def told_apart(a: np.ndarray, b: np.ndarray, na: int, nb: int, least: int = LEAST, apart: float = APART) -> np.ndarray:
+    """Which buckets have a weight, of the numbers of toxic and unlabelled documents with each and in all."""
+    both = (a + b + 1) / (na + nb + 2)
+    return (a >= least) & (np.abs(a / na - b / nb) >= apart * np.sqrt(both * (1 - both) * (1 / na + 1 / nb)))
+
+
+def fit(pos: Rows, unl: Rows, prior: float, epochs: int = 40, rate: float = 0.03, decay: float = 1e-3, least: int = LEAST, apart: float = APART, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights by bucket and bias.  A bucket has a weight if ``least`` toxic documents have it, and the shares of toxic and
     unlabelled documents that do lie ``apart`` standard errors apart."""
     prior = float(np.clip(prior, 1e-4, 0.9))
@@ -89,9 +97,7 @@ def fit(pos: Rows, unl: Rows, prior: float, epochs: int = 40, rate: float = 0.03
     w = np.zeros(BUCKETS)
     if not len(pos) or not len(unl):
         return w, bias
-    a, b, na, nb = np.bincount(pos.idx, minlength=BUCKETS), np.bincount(unl.idx, minlength=BUCKETS), len(pos), len(unl)
-    both = (a + b + 1) / (na + nb + 2)
-    live = (a >= least) & (np.abs(a / na - b / nb) >= apart * np.sqrt(both * (1 - both) * (1 / na + 1 / nb)))
+    live = told_apart(np.bincount(pos.idx, minlength=BUCKETS), np.bincount(unl.idx, minlength=BUCKETS), len(pos), len(unl), least, apart)
     pos, unl = pos.only(live), unl.only(live)
     m, v, mb, vb, step = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0
     rng = np.random.default_rng(seed)
@@ -126,8 +132,30 @@ def _picked(ids: DataFrame, most: int) -> DataFrame:
     return near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(most)
 
 
+def _live(picked: DataFrame) -> np.ndarray:
+    """The buckets that ``fit`` gives a weight, counted by the executors over ``picked`` (y, doc_id, x)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for y, x in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                n[y, np.frombuffer(x.as_py(), dtype=np.int32)] += 1  # buckets of a row are distinct
+        some = np.flatnonzero(n.any(axis=0))
+        for part in np.array_split(some, len(some) // 10_000 + 1):
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(part), "a": pa.array(n[1, part]), "b": pa.array(n[0, part])})
+
+    sizes = {r["y"]: r["count"] for r in picked.groupBy("y").count().collect()}
+    live = np.zeros(BUCKETS, bool)
+    if sizes.get(0) and sizes.get(1):
+        got = picked.mapInArrow(count, "bucket long, a long, b long").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= LEAST).toArrow()
+        bucket, a, b = (got.column(c).to_numpy() for c in ("bucket", "a", "b"))  # at most BUCKETS rows
+        live[bucket] = told_apart(a, b, sizes[1], sizes[0])
+    return live
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Ids are picked without their texts; one scan then gets the texts of the ids, whose number is bounded."""
+    """Ids are picked without their texts; one scan then gets the features of the ids, whose number is bounded.
+    Only the live ones of them come to the driver."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (fold() != 2))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -146,7 +174,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 out += [x.astype(np.int32).tobytes() for x in np.split(idx, starts[1:-1])]
             yield pa.RecordBatch.from_pydict({"y": batch.column(0), "doc_id": batch.column(1), "x": pa.array(out, pa.binary())})
 
-    got = rows.join(F.broadcast(chosen), "doc_id").select("y", "doc_id", "text").mapInArrow(run, "y int, doc_id long, x binary").orderBy("doc_id", "x").toArrow()
+    picked = written(rows.join(F.broadcast(chosen), "doc_id").select("y", "doc_id", "text").mapInArrow(run, "y int, doc_id long, x binary"))
+    live = _live(picked)
+    shared = docs.sparkSession.sparkContext.broadcast(live)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = (np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column(2))
+            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "doc_id": batch.column(1), "x": pa.array([x[shared.value[x]].tobytes() for x in lists], pa.binary())})
+
+    got = picked.mapInArrow(only, "y int, doc_id long, x binary").orderBy("doc_id", "x").toArrow()
     y = got.column("y").to_numpy()
     lists = [np.frombuffer(x.as_py(), dtype=np.int32) for x in got.column("x")]
     del got
