@@ -10,8 +10,12 @@ below go.  The rest accumulate their whole overlap, again as sparse products.
 
 Copies and large groups never become all their pairs: documents with equal sets
 are joined by the set's signature, then each n-gram's smallest document is
-compared with the others (one pair a posting), and only postings that still hold
-different components are compared pairwise.
+compared with the others (one pair a posting).  In postings that still hold
+several components, the documents outside the largest one are multiplied with all
+others, block by block: each document brings a bitmap of the parity of its n-grams'
+hashes, the bits in which two differ bound the overlap, and only pairs within the
+bound leave the block.  A posting of more than ``BLOCK`` documents is cut into
+blocks of its own, so no task holds a hot one whole.
 
 Words are maximal runs of non-blank bytes with A-Z lower-cased.  A document of
 fewer than ``n`` words has one shingle, its whole sequence; one without words (or
@@ -39,6 +43,10 @@ N, NUM, DEN = 5, 75, 100
 #: Bound of the table of frequent n-grams that is broadcast, and the counts from which an n-gram is in it.
 FREQUENT_MOST, FREQUENT_FROM = 1 << 18, 32
 LOCAL_MOST = 1 << 16
+#: Documents of one posting that meet in one block; the bits of a set's bitmap are twice its size, within these bounds.
+BLOCK, BITS = 2_048, (256, 4_096)
+#: Pairs of a block that are expanded at once.
+PAIRS_AT_ONCE = 1 << 18
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +115,8 @@ def weights(often: np.ndarray, often_n: np.ndarray, g: np.ndarray) -> np.ndarray
 
 def profiles(docs: DataFrame, n: int, num: int, den: int, text_col: str, table_: Broadcast) -> DataFrame:
     """Per row: doc_id, n (set size), s1 and s2 (the set's signature), prefix (its first n-grams in the order; empty for a
-    null id, which no pair can name, and for a set that this task has already seen under an id)."""
+    null id, which no pair can name, and for a set that this task has already seen under an id), bits (the set's bitmap; null
+    without a prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, often_n = table_.value
@@ -141,9 +150,21 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, text_col: str, table_:
                 length = np.where(keep, length, 0)
                 place = np.arange(len(g)) - first[:-1][rows]
                 pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(t.signed(g[place < length[rows]])))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "n": pa.array(size), "s1": pa.array(t.signed(s1)), "s2": pa.array(t.signed(s2)), "prefix": pre})
+                bits = pa.array([b if k else None for b, k in zip(bitmaps(rows, g, size), keep, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "n": pa.array(size), "s1": pa.array(t.signed(s1)), "s2": pa.array(t.signed(s2)), "prefix": pre, "bits": bits})
 
-    return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
+
+
+def bitmaps(rows: np.ndarray, g: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Of each row's set: at bit k, whether an odd number of its n-grams have the hash k.  Bitmaps of other lengths compare by
+    folding: the two halves' exclusive or is the bitmap of half the length."""
+    wide = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * size, 2))).astype(np.int64), *BITS)
+    first = np.concatenate([[0], np.cumsum(wide)])
+    place = (t.mix(g ^ np.uint64(0x94D049BB133111EB)) & (wide[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(first[rows] + place, minlength=first[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 _ENTRY = np.dtype([("g", "<u8"), ("d", "<i8"), ("n", "<i4"), ("p", "<i4")])
@@ -258,6 +279,93 @@ def _beyond(ga: list, gb: list, na: np.ndarray, nb: np.ndarray, often: np.ndarra
     return out[0], out[1]
 
 
+def crossing(entries: DataFrame, bits: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: pairs of different roots that share an n-gram of ``entries`` (g, id, n, place, root) and that neither
+    places, bitmaps nor the number of shared entries disprove.  ``bits`` has the bitmap of each (id, n)."""
+    sizes = entries.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("main"))
+    sizes = sizes.where("main.c < m").select("g", F.ceil(F.col("m") / block).cast("int").alias("across"), F.ceil((F.col("m") - F.col("main.c")) / block).cast("int").alias("down"), F.col("main.root").alias("main"))
+    mixed = written(entries.join(sizes, "g").withColumn("out", F.col("root") != F.col("main")).drop("main").join(bits, ["id", "n"]))
+    buckets = parts(mixed, 4 << 20)
+    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    own = ["g", "id", "n", "place", "root", "out", "bits"]
+    # a posting of one block is dealt with others of its bucket, its outsiders on both sides of the product (x and y)
+    small = mixed.where("across = 1").select(*own, F.col("out").alias("x"), F.lit(True).alias("y"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.pmod(F.shiftright("g", 20), F.lit(buckets)).alias("key"))
+    large = mixed.where("across > 1").withColumns({"i": deal("down", 1), "j": deal("across", 2)})
+    rows = large.where("out").select(*own, F.lit(True).alias("x"), F.lit(False).alias("y"), "i", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
+    columns = large.select(*own, F.lit(False).alias("x"), F.lit(True).alias("y"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), "j")
+    large = rows.union(columns).withColumn("key", F.xxhash64("g", "i", "j"))
+
+    def product(part: pa.Table) -> pa.Table:
+        g, i, j, a, n, place, root = (part.column(c).to_numpy() for c in ("g", "i", "j", "id", "n", "place", "root"))
+        order = np.lexsort((j, i, g))
+        new = np.ones(len(g), bool)
+        new[1:] = (g[order][1:] != g[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])
+        group = np.cumsum(new) - 1
+        is_x, is_y, out = (part.column(c).to_numpy(zero_copy_only=False)[order] for c in ("x", "y", "out"))
+        a, n, place, root = a[order], n[order], place[order], root[order]
+        maps = Bitmaps(part.column("bits").take(pa.array(order)))
+        xs, ys = np.flatnonzero(is_x), np.flatnonzero(is_y)
+        first = np.searchsorted(group[ys], np.arange(group[-1] + 2))
+        count = np.diff(first)[group[xs]]
+        ends = np.cumsum(count)
+        found, lo = [], 0
+        while lo < len(xs):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+            own, many = xs[lo:hi], count[lo:hi]
+            x = np.repeat(own, many)
+            y = ys[np.repeat(first[group[own]] - (np.cumsum(many) - many), many) + np.arange(len(x))]
+            ok = (root[x] != root[y]) & (~out[y] | (a[x] < a[y]))
+            x, y = x[ok], y[ok]
+            most = np.minimum(place[x], place[y]) + 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
+            ok = (n[x] * den >= n[y] * num) & (n[y] * den >= n[x] * num) & (most * den >= num * (n[x] + n[y] - most))
+            x, y = x[ok], y[ok]
+            most = (n[x] + n[y] - maps.apart(x, y)) // 2
+            ok = most * den >= num * (n[x] + n[y] - most)
+            x, y = x[ok], y[ok]
+            x, y = np.where(a[x] < a[y], x, y), np.where(a[x] < a[y], y, x)
+            found.append(np.stack([a[x], a[y], n[x], n[y]], axis=1))
+            lo = hi
+        pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2], "nb": pairs[:, 3], "o": times})
+
+    made = small.union(large.select(small.columns)).groupBy("key").applyInArrow(product, "a long, b long, na long, nb long, o long")
+    # a pair's entries are all that their prefixes share (a pair that loses one by its places can't be similar), so with
+    # the sizes their number bounds the whole overlap
+    left_over = "{0} - ({0} - (({num} * {0} + {den} - 1) div {den}) + 1)"
+    most = f"(o + greatest({left_over.format('na', num=num, den=den)}, {left_over.format('nb', num=num, den=den)}))"
+    return made.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).where(f"{den} * {most} >= {num} * (na + nb - {most})").select("a", "b").distinct()
+
+
+class Bitmaps:
+    """The bitmaps of a block's rows, as words, at their own length and folded to all shorter ones."""
+
+    def __init__(self, bits: pa.ChunkedArray | pa.Array) -> None:
+        raw = [x.as_py() for x in bits]
+        self.wide = np.array([len(x) // 8 for x in raw], np.int64)
+        self.at, self.words = {}, {}
+        upper = None
+        for w in sorted(set(2 ** np.arange(BITS[0].bit_length() - 7, BITS[1].bit_length() - 6)), reverse=True):
+            own = np.flatnonzero(self.wide == w)
+            words = np.frombuffer(b"".join(raw[k] for k in own), np.uint64).reshape(-1, w)
+            if upper is not None:
+                rows, higher = upper
+                own, words = np.concatenate([rows, own]), np.concatenate([higher[:, :w] ^ higher[:, w:], words])
+            self.at[int(w)] = np.full(len(raw), -1, np.int64)
+            self.at[int(w)][own] = np.arange(len(own))
+            self.words[int(w)], upper = words, (own, words)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the shorter-folded bitmaps of the rows x and y differ: at most so many n-grams are in one set only."""
+        out = np.zeros(len(x), np.int64)
+        wide = np.minimum(self.wide[x], self.wide[y])
+        for w, words in self.words.items():
+            own = np.flatnonzero(wide == w)
+            for lo in range(0, len(own), 1 << 16):
+                k = own[lo : lo + (1 << 16)]
+                out[k] = np.bitwise_count(words[self.at[w][x[k]]] ^ words[self.at[w][y[k]]]).sum(axis=1)
+        return out
+
+
 def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links of ``num/den`` or more)."""
     if not 0 < num <= den:
@@ -270,7 +378,7 @@ def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN,
     # of each set: its smallest document, and the smallest that has its prefix along, which stands for it below
     copies = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.expr("min(doc_id) filter (where size(prefix) > 0)").alias("node")))
     pre = named.where("size(prefix) > 0").select("doc_id", "n", F.col("prefix").alias("grams"))
-    of = written(named.where("size(prefix) > 0").select("doc_id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).select("doc_id", "node").distinct())
+    of = written(named.where("size(prefix) > 0").select("doc_id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).select("doc_id", "n", "node").distinct())
     post = written(postings(profile, parts(profile, 4 << 20)))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -301,18 +409,10 @@ def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN,
     star = written(_apart(star, of))
     found = links(star)
     label = components(found)
-    # what the stars have not joined: postings with several components, pair by pair across them
-    entries = post.select("g", "doc_id", "n", "place").join(of, "doc_id").select("g", F.col("node").alias("id"), "n", "place").distinct().join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    entries = written(entries)
-    mixed = entries.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    entries = written(entries.join(mixed, "g"))
-    x, y = (entries.select("g", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("place").alias(f"p{k}")) for k in "ab")
-    # a pair's entries are all that their prefixes share (a pair that loses one by its places can't be similar), so with
-    # the sizes their number bounds the whole overlap
-    left_over = "{0} - ({0} - (({num} * {0} + {den} - 1) div {den}) + 1)"
-    most = f"(o + greatest({left_over.format('na', num=num, den=den)}, {left_over.format('nb', num=num, den=den)}))"
-    rest = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _placed("na", "nb", "pa", "pb", num, den))
-    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o")).where(f"{den} * {most} >= {num} * (na + nb - {most})").select("a", "b").distinct()
+    # what the stars have not joined: postings with several components, those outside the largest by all others
+    entries = post.select("g", "doc_id", "n", "place").join(of, ["doc_id", "n"]).select("g", F.col("node").alias("id"), "n", "place").distinct().join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    bits = profile.where("bits is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "bits").distinct()
+    rest = crossing(written(entries), bits, num, den)
     more = links(rest.join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         label = components(found.union(more))
