@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textops as t
 from .components import components
-from .runtime import parts, prepare, table, written
+from .runtime import parts, prepare, table, tidied, tidied_group, written
 
 N, NUM, DEN = 5, 75, 100
 #: Bound of the table of frequent n-grams that is broadcast, and the counts from which an n-gram is in it.
@@ -98,7 +98,7 @@ def frequent(docs: DataFrame, n: int, text_col: str) -> tuple[np.ndarray, np.nda
             for lo in range(0, len(k), 10_000):
                 yield pa.RecordBatch.from_pydict({"g": pa.array(t.signed(k[lo : lo + 10_000])), "c": pa.array(c[lo : lo + 10_000])})
 
-    counts = docs.select(text_col).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT_FROM)
+    counts = docs.select(text_col).mapInArrow(tidied(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT_FROM)
     rows = counts.orderBy(F.desc("c"), "g").limit(FREQUENT_MOST).toArrow()
     g = rows.column("g").to_numpy().view(np.uint64)
     order = np.argsort(g)
@@ -153,7 +153,7 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, text_col: str, table_:
                 bits = pa.array([b if k else None for b, k in zip(bitmaps(rows, g, size), keep, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "n": pa.array(size), "s1": pa.array(t.signed(s1)), "s2": pa.array(t.signed(s2)), "prefix": pre, "bits": bits})
 
-    return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(tidied(run), "doc_id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
 
 
 def bitmaps(rows: np.ndarray, g: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -203,7 +203,7 @@ def postings(profile: DataFrame, buckets: int) -> DataFrame:
         e, l = e[keep], e[lead]
         return pa.table({"g": t.signed(e["g"].copy()), "doc_id": e["d"].copy(), "n": e["n"].astype(np.int64), "place": e["p"].astype(np.int64), "lead": l["d"].copy(), "lead_n": l["n"].astype(np.int64), "lead_place": l["p"].astype(np.int64)})
 
-    packed = profile.where("size(prefix) > 0 and doc_id is not null").select("doc_id", "n", "prefix").mapInArrow(pack, "bucket long, data binary")
+    packed = profile.where("size(prefix) > 0 and doc_id is not null").select("doc_id", "n", "prefix").mapInArrow(tidied(pack), "bucket long, data binary")
     return packed.groupBy("bucket").applyInArrow(group, "g long, doc_id long, n long, place long, lead long, lead_n long, lead_place long")
 
 
@@ -258,7 +258,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, order: Broad
                 yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)})
 
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _beyond(ga: list, gb: list, na: np.ndarray, nb: np.ndarray, often: np.ndarray, often_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -398,7 +398,7 @@ def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN,
                     grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(t.signed(g)))
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "n": pa.array(size), "grams": grams})
 
-        return whole.mapInArrow(run, "doc_id long, n long, grams array<long>")
+        return whole.mapInArrow(tidied(run), "doc_id long, n long, grams array<long>")
 
     def links(candidates: DataFrame) -> DataFrame:
         """Of candidate pairs (a < b), those of the wanted similarity."""

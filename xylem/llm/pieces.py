@@ -15,32 +15,38 @@ grouped by word, and a higher-order fold over them gives the word's pieces:
 
 A character without a piece becomes its UTF-8 bytes' pieces.
 
-Documents are then encoded word by word.  The most frequent words' codes, at most
-``frequent_words`` of them, are broadcast; rarer words of a document are joined to
-their codes by word, and come back to it.  Meanwhile documents travel as word
-numbers, not as texts.
+Documents are then encoded in chunks of an Arrow batch.  The most frequent words'
+codes, at most ``frequent_words`` of them, are broadcast; a chunk's rarer words are
+asked for once, packed by hash bucket, and their codes come back to the chunk.
+Meanwhile documents travel as packed word numbers, not as texts.
+
+Words of more than ``LONGEST`` characters (long runs without a blank or another
+place that no piece spans) are too large for a lattice row; a worker folds their
+edges one by one, with the same result.  Texts may be of any length.
 
 Decoding gives the text back exactly, also with line ends, runs of blanks, and the
 character U+2581 itself (by its bytes).  A null text has null ids, an empty one no
-ids.  Runs of more than ``LONGEST`` characters without a cut are cut every
-``LONGEST`` characters, which bounds a word's lattice.  Rows with equal ids and
-texts get equal results, each its own row.  Empty tables give empty results.
+ids.  Ids may be null or repeated: rows with equal ids and texts get equal results,
+each its own row.  Columns besides the id and the text are not read.  Empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import parts, prepare, released, table, written
+from .runtime import parts, prepare, table, tidied, tidied_group, written
 
 LONGEST, FREQUENT_WORDS = 256, 500_000
 #: A long has a bit for each cut of a word of so many characters.
@@ -81,16 +87,17 @@ class Vocabulary:
         """The score of a character without a piece: below that of any single piece that is meant to be found."""
         return min((s for s in self.scores if s > -1e8), default=0.0) - 10
 
-    def joined(self) -> np.ndarray:
-        """Whether some piece holds two bytes next to each other, as a table; bytes beyond ASCII count as one, and are never
-        cut from each other."""
-        out = np.zeros((256, 256), bool)
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether some piece holds two characters next to each other: a table of pairs of ASCII bytes, and the sorted pairs of
+        code points of which one at least lies beyond."""
+        near, far = np.zeros((256, 256), bool), set()
         for s in self.surfaces:
-            x = s.encode()
-            for a, b in zip(x, x[1:], strict=False):
-                out[min(a, 128), min(b, 128)] = True
-        out[128:, :128], out[:128, 128:], out[128:, 128:] = out[128, :128], out[:128, 128][:, None], True
-        return out.ravel()
+            for a, b in zip(s, s[1:], strict=False):
+                if a.isascii() and b.isascii():
+                    near[ord(a), ord(b)] = True
+                else:
+                    far.add(ord(a) << 21 | ord(b))
+        return near.ravel(), np.array(sorted(far), np.int64)
 
     def late(self) -> tuple[set[str], set[str]]:
         """(pieces that two others make of which one has no better a score, so that it may come after the piece's own turn; those others)."""
@@ -110,55 +117,120 @@ class Vocabulary:
         return spark.createDataFrame(rows, "surface string, id int, score double, late boolean, wakes boolean")
 
 
-def cut(buf: np.ndarray, offs: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with a blank before each text that is not empty, word starts, word ends, first word of each row)."""
+def cut(buf: np.ndarray, offs: np.ndarray, joined: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with a blank before each text that is not empty, word starts and the end, first word of each row)."""
     some = np.diff(offs) > 0
     buf = np.insert(buf, offs[:-1][some], 32)
     offs = offs + np.concatenate([[0], np.cumsum(some)])
     if not len(buf):
-        return buf, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+        return buf, np.zeros(1, np.int64), np.zeros(len(offs), np.int64)
+    near, far = joined
     head = np.ones(len(buf), bool)
-    head[1:] = ~joined[buf[:-1].astype(np.uint16) * np.uint16(256) + buf[1:]]
+    head[1:] = ~near[buf[:-1].astype(np.uint16) * np.uint16(256) + buf[1:]]
+    if buf.max() > 127:
+        begins = np.flatnonzero((buf & 0xC0) != 0x80)
+        head[(buf & 0xC0) == 0x80] = False
+        point = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+        beyond = np.flatnonzero((point[:-1] > 127) | (point[1:] > 127))
+        if len(far) and len(beyond):
+            pair = point[beyond].astype(np.int64) << 21 | point[beyond + 1]
+            k = np.minimum(np.searchsorted(far, pair), len(far) - 1)
+            head[begins[beyond + 1]] = far[k] != pair
     head[offs[:-1][some]] = True
-    first = np.flatnonzero(head)
-    size = np.diff(np.concatenate([first, [len(buf)]]))
-    for i in np.flatnonzero(size > LONGEST):  # in characters: cuts never come before a byte that continues one
-        place = first[i] + np.flatnonzero((buf[first[i] : first[i] + size[i]] & 0xC0) != 0x80)
-        head[place[::LONGEST]] = True
     starts = np.flatnonzero(head)
-    return buf, starts, np.concatenate([starts[1:], [len(buf)]]), np.searchsorted(starts, offs)
+    return buf, np.concatenate([starts, [len(buf)]]), np.searchsorted(starts, offs)
+
+
+def _strings(buf: np.ndarray, starts: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf)))
+
+
+def _raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of strings without nulls."""
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offs = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = words.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _packed(*numbers: np.ndarray, text: np.ndarray | None = None) -> bytes:
+    """Lists of numbers below 2 ** 32, and bytes, compressed.  Numbers go by planes of bytes, as most are small."""
+    head = np.array([len(x) for x in numbers] + [0 if text is None else len(text)], "<u8").tobytes()
+    planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in numbers]
+    return head + pa.compress(b"".join([*planes, b"" if text is None else text.tobytes()]), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, lists: int) -> list[np.ndarray]:
+    """``lists`` lists of numbers, and the bytes."""
+    size = np.frombuffer(data, "<u8", lists + 1).astype(np.int64)
+    whole = pa.decompress(data[8 * lists + 8 :], int(4 * size[:-1].sum() + size[-1]), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for n in size[:-1].tolist():
+        out.append(np.frombuffer(whole, np.uint8, 4 * n, at).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
+        at += 4 * n
+    return [*out, np.frombuffer(whole, np.uint8, offset=at)]
+
+
+def _dealt(words: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows of its words), by the words' hashes."""
+    buf, offs = _raw(words)
+    at = ((t.word_hashes(buf, offs[:-1], offs[1:]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    own, first = np.unique(at[order], return_index=True)
+    yield from zip(own.tolist(), np.split(order, first[1:]) if len(own) else (), strict=True)
+
+
+def _counted(words: list[pa.Array], n: list[pa.Array]) -> tuple[pa.Array, pa.Array]:
+    got = pa.table({"word": pa.chunked_array(words, pa.string()), "n": pa.chunked_array(n, pa.int64())}).group_by("word").aggregate([("n", "sum")])
+    return got.column("word").combine_chunks(), got.column("n_sum").combine_chunks()
 
 
 def distinct_words(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFrame:
     """(word, n) of all documents; each task names a word once (or a few times, in very large tasks)."""
+    buckets = parts(docs, 16 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, held = shared.value, {}
+        words, counts, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = list(held)
-            for lo in range(0, len(words), 20_000):
-                own = words[lo : lo + 20_000]
-                yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in own]), "n": pa.array([held[w] for w in own], pa.int64())})
-            held.clear()
+            order = pc.sort_indices(words[0])  # neighbours are alike, which packs well
+            w, n = words[0].take(order), counts[0].take(order).to_numpy()
+            own, data = [], []
+            for b, rows in _dealt(w, buckets):
+                buf, offs = _raw(w.take(pa.array(rows)))
+                own.append(b)
+                data.append(_packed(np.diff(offs), np.minimum(n[rows], 0xFFFFFFFF), text=buf))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int64()), "data": pa.array(data, pa.binary())})
 
         for batch in batches:
             for _, _, buf, offs in t.slices(batch.column(0)):
-                buf, starts, ends, _ = cut(buf, offs, joined)
-                h = t.word_hashes(buf, starts, ends)
-                order = np.argsort(h, kind="stable")
-                h = h[order]
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
-                n, at, raw = np.diff(np.concatenate([first, [len(h)]])), order[first], buf.tobytes()
-                for i, j, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
-                    w = raw[i:j]
-                    held[w] = held.get(w, 0) + k
-                if len(held) > 150_000:
-                    yield from flush()
-        yield from flush()
-
-    # few words in each part, as the lattice of a part is grouped in place
-    return docs.select(text_col).mapInArrow(run, "word string, n long").repartition(parts(docs, 2 << 20), "word").groupBy("word").agg(F.sum("n").alias("n"))
+                buf, starts, _ = cut(buf, offs, shared.value)
+                got = pc.value_counts(_strings(buf, starts))
+                words.append(got.field("values"))
+                counts.append(got.field("counts").cast(pa.int64()))
+                held += len(got)
+                if held > 200_000:
+                    words, counts = ([x] for x in _counted(words, counts))
+                    if len(words[0]) > 150_000:
+                        yield from flush()
+                        words, counts = [], []
+                    held = len(words[0]) if words else 0
+        if words:
+            words, counts = ([x] for x in _counted(words, counts))
+            yield from flush()
+
+    def united(part: pa.Table) -> pa.Table:
+        words, counts = [], []
+        for x in part.column("data"):
+            size, n, text = _unpacked(x.as_py(), 2)
+            words.append(_strings(text, np.concatenate([[0], np.cumsum(size)])))
+            counts.append(pa.array(n))
+        word, n = _counted(words, counts)
+        return pa.table({"word": word, "n": n})
+
+    return docs.select(text_col).mapInArrow(tidied(run), "bucket long, data binary").groupBy("bucket").applyInArrow(tidied_group(united), "word string, n long")
 
 
 def _shift(x: Column, by: Column) -> Column:
@@ -232,8 +304,70 @@ def _merges(grouped: DataFrame) -> DataFrame:
     return ends.select("word", "n", F.transform(left, lambda e: F.struct(e["b"].alias("b"), e["id"].alias("id"))).alias("path"))
 
 
+def folded(word: str, vocabulary: Vocabulary, by: dict[str, tuple[float, int]]) -> list[int]:
+    """The ids of one word by the same rules as the lattice's, for words of any length.  ``by``: score and id of each surface."""
+    n = len(word)
+    if vocabulary.kind == "bpe":
+        # pieces as a linked list; a heap has each pair of neighbours that makes a piece, the best score and leftmost first
+        ends, before = [*range(1, n + 1), n], [*range(-1, n)]
+        heap: list[tuple[float, int, int, int]] = []
+
+        def propose(a: int) -> None:
+            m = ends[a] if 0 <= a < n else n
+            if m < n and (got := by.get(word[a : ends[m]])) is not None:
+                heapq.heappush(heap, (-got[0], a, m, ends[m]))
+
+        for a in range(n):
+            propose(a)
+        while heap:
+            _, a, m, e = heapq.heappop(heap)
+            if ends[a] == m and ends[m] == e:  # else one of the two is gone
+                ends[a], ends[m] = e, -1
+                before[e] = a
+                propose(a)
+                if before[a] >= 0:
+                    propose(before[a])
+        cuts, at = [], 0
+        while at < n:
+            cuts.append((at, ends[at]))
+            at = ends[at]
+    else:
+        best: list[tuple[float, int]] = [(0.0, 0)]
+        for e in range(1, n + 1):
+            top = (float("-inf"), 0)
+            for k in range(1, min(vocabulary.longest, e) + 1):
+                got = by.get(word[e - k : e], (vocabulary.unknown, -1) if k == 1 else None)
+                if got is not None:
+                    top = max(top, (best[e - k][0] + got[0], k))
+            best.append(top)
+        cuts, at = [], n
+        while at:
+            cuts.append((at - best[at][1], at))
+            at -= best[at][1]
+        cuts.reverse()
+    out: list[int] = []
+    for a, e in cuts:
+        got = by.get(word[a:e])
+        out += [got[1]] if got is not None else [vocabulary.bytes_from + x for x in word[a:e].encode()]
+    return out
+
+
 def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, n, ids): the lattice of each word of ``words`` (word, n; words are distinct) and the fold over it."""
+    """(word, n, ids) of ``words`` (word, n; words are distinct): by the lattice of each, or, where it is longer than
+    ``LONGEST``, folded one by one."""
+    shared = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        by = {s: (x, i) for i, (s, x) in enumerate(zip(v.surfaces, v.scores, strict=True)) if s}
+        for batch in batches:
+            ids = pa.array([folded(w, v, by) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict({"word": batch.column(0), "n": batch.column(1), "ids": ids})
+
+    return _by_lattice(words.where(F.length("word") <= LONGEST), vocabulary).union(words.where(F.length("word") > LONGEST).mapInArrow(tidied(long), "word string, n long, ids array<int>"))
+
+
+def _by_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     n = F.length("word")
     edges = words.select("word", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("b"))
     edges = edges.select("word", "n", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - F.col("b")))).alias("l"))
@@ -254,58 +388,17 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return path.select("word", "n", F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(bytes_of(e)))).alias("ids"))
 
 
-class _Frequent:
-    """Words by hash, with their texts (to be sure)."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        size = np.array([len(w) for w in words], np.int64)
-        self.text, self.ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size)
-        self.begins = self.ends - size
-        h = t.word_hashes(self.text, self.begins, self.ends)
-        self.order = np.argsort(h, kind="stable").astype(np.int32)
-        self.hashes = h[self.order]
-
-    def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The number of each word, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        if not len(self.hashes) or not len(h):
-            return out
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        k = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
-        own = np.full(len(u), -1, np.int64)
-        own[self.hashes[k] == u] = self.order[k[self.hashes[k] == u]]
-        met = np.flatnonzero(own >= 0)
-        at, w = first[met], own[met]
-        size, begin = (ends - starts)[at], self.begins[w]
-        same = size == self.ends[w] - begin
-        met, size, at, begin = met[same], size[same], starts[at[same]], begin[same]
-        shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        differs = buf[np.repeat(at, size) + shift] != self.text[np.repeat(begin, size) + shift]
-        sure = np.zeros(len(own), bool)
-        sure[met] = True
-        sure[np.repeat(met, size)[differs]] = False
-        own[~sure] = -1
-        return own[inv]
-
-
-def _packed(numbers: np.ndarray) -> bytes:
-    """How many numbers, and their four planes of bytes, compressed: frequent words have small numbers, so most planes are nearly empty."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(numbers).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = pa.decompress(data[4:], 4 * int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-
-
-def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQUENT_WORDS, text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(doc_id, ids) of each row; with ``digest``, also decoded_sha256, of the text that the ids decode to."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQUENT_WORDS, text_col: str = "text", digest: bool = False, stable: bool = False) -> DataFrame:
+    """(doc_id, ids) of each row; with ``digest``, also decoded_sha256, of the text that the ids decode to.
+
+    ``stable`` says that ``docs`` gives the same batches whenever it is scanned, as files do; otherwise it is written first."""
     spark = docs.sparkSession
     prepare(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs if stable else written(docs)
     pairs = spark.sparkContext.broadcast(vocabulary.joined())
-    words = written(segmented(distinct_words(docs, text_col, pairs), vocabulary))
-    released(spark)  # the shuffle of the words is over
+    # the lattice of a part is grouped in place, so a part has few words
+    words = written(segmented(distinct_words(docs, "text", pairs).repartition(parts(docs, 2 << 20), "word"), vocabulary))
     counts = words.groupBy("n").count().orderBy(F.desc("n"))
     # the least count that at most ``frequent_words`` words have
     least, total = None, 0
@@ -315,69 +408,134 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
             break
         least = r["n"]
     got = (words.where(F.col("n") >= least) if least is not None else words.limit(0)).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
-    ids = got.column("ids").combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    first = ids.offsets.to_numpy().astype(np.int32) if len(ids) else np.zeros(1, np.int32)
+    first, flat = _lists(got.column("ids"))
+    count = len(got)
     # numbering needs the words, spelling only their ids: two broadcasts, so that no worker holds both
-    known = spark.sparkContext.broadcast(_Frequent([w.encode() for w in got.column("word").to_pylist()]))
-    spelling = spark.sparkContext.broadcast((first - first[0], ids.flatten().to_numpy().astype(np.int32)))
+    known = spark.sparkContext.broadcast(got.column("word").combine_chunks() if count else pa.array([], pa.string()))
+    spelling = spark.sparkContext.broadcast((first, flat))
+    del got, first, flat
     rare = words.where(F.col("n") < least) if least is not None else words
-    count = len(got)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row's word numbers, packed; rare words count on from the frequent ones, and come along."""
-        frequent = known.value
+    buckets = parts(docs, 16 << 20)
+
+    def numbered(batch: pa.RecordBatch) -> tuple[int, np.ndarray, np.ndarray, pa.Array]:
+        """(the chunk's id, words a row, their numbers, its rare words, whose numbers count on from the frequent ones)."""
+        key = hashlib.blake2b(np.asarray(batch.column(0).is_valid()).tobytes() + batch.column(0).fill_null(0).to_numpy().tobytes(), digest_size=8)
+        size, codes, unknown = [], [], []
+        for _, _, buf, offs in t.slices(batch.column(1), 2 << 20):
+            key.update(offs.tobytes())
+            key.update(np.ascontiguousarray(buf))
+            buf, starts, firsts = cut(buf, offs, pairs.value)
+            own = _strings(buf, starts)
+            k = pc.index_in(own, known.value)
+            size.append(np.diff(firsts))
+            codes.append(k.fill_null(-1).to_numpy())
+            unknown.append(own.filter(k.is_null()))
+        words = pa.chunked_array(unknown, pa.string()).combine_chunks().dictionary_encode() if unknown else pa.array([], pa.string()).dictionary_encode()
+        code = np.concatenate([np.zeros(0, np.int32), *codes])
+        code[code < 0] = count + words.indices.to_numpy()
+        return int.from_bytes(key.digest(), "little", signed=True), np.concatenate([np.zeros(0, np.int64), *size]), code, words.dictionary
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, unknown = [], []
-            for lo, hi, buf, offs in t.slices(batch.column(2)):
-                buf, starts, ends, firsts = cut(buf, offs, pairs.value)
-                raw = buf.tobytes()
-                k = frequent.numbers(buf, starts, ends, t.word_hashes(buf, starts, ends))
-                for i in range(hi - lo):
-                    own = k[firsts[i] : firsts[i + 1]]
-                    miss = np.flatnonzero(own < 0)
-                    words_ = {}
-                    for j in miss.tolist():
-                        a = firsts[i] + j
-                        own[j] = count + words_.setdefault(raw[starts[a] : ends[a]].decode(), len(words_))
-                    unknown.append(list(words_))
-                    codes.append(_packed(own))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "key": batch.column(1), "null": pa.array(np.asarray(batch.column(2).is_null())), "codes": pa.array(codes, pa.binary()), "rare": pa.array(unknown, pa.list_(pa.string()))})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(numbered, "doc_id long, key long, null boolean, codes binary, rare array<string>")
-    asked = rows.select("doc_id", "key", F.posexplode("rare").alias("j", "word")).join(rare.select("word", "ids"), "word")
-    back = asked.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("j", "ids"))).alias("told"))
-    left = rows.select("doc_id", "key", "null", "codes")
-    both = left.join(back.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk, _, _, unknown = numbered(batch)
+            own, data = [], []
+            for b, rows in _dealt(unknown, buckets):
+                buf, offs = _raw(unknown.take(pa.array(rows)))
+                own.append(b)
+                data.append(_packed(rows, np.diff(offs), text=buf))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int64()), "chunk": pa.array([chunk] * len(own), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, flat = _lists(batch.column(1))
+            own, data = [], []
+            for b, rows in _dealt(batch.column(0), buckets):
+                buf, offs = _raw(batch.column(0).take(pa.array(rows)))
+                own.append(b)
+                data.append(_packed(np.diff(offs), np.diff(first)[rows], _gather(first, flat, rows), text=buf))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def answers(asked: pa.Table, have: pa.Table) -> pa.Table:
+        words, sizes, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in have.column("data"):
+            size, many, flat, text = _unpacked(x.as_py(), 3)
+            words.append(_strings(text, np.concatenate([[0], np.cumsum(size)])))
+            sizes.append(many)
+            ids.append(flat)
+        table_, many, flat = pa.chunked_array(words, pa.string()).combine_chunks(), np.concatenate(sizes), np.concatenate(ids)
+        first = np.concatenate([[0], np.cumsum(many)])
+        got = [_unpacked(x.as_py(), 2) for x in asked.column("data")]
+        wanted = pa.chunked_array([_strings(text, np.concatenate([[0], np.cumsum(size)])) for _, size, text in got], pa.string())
+        k = pc.index_in(wanted, table_)
+        if k.null_count:
+            raise ValueError("a word of the documents has no codes: they changed between two scans; stable=False copies them first")
+        k, at, data = k.to_numpy().astype(np.int64), 0, []
+        for number, _, _ in got:
+            rows = k[at : at + len(number)]
+            at += len(number)
+            data.append(_packed(number, many[rows], _gather(first, flat, rows)))
+        return pa.table({"chunk": asked.column("chunk"), "data": pa.array(data, pa.binary())})
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, size, code, unknown = numbered(batch)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "doc_id": one(batch.column(0)), "known": one(batch.column(1).is_valid()), "rare": pa.array([len(unknown)], pa.int64()), "data": pa.array([_packed(size, code)], pa.binary())})
+
+    def spelled(chunks: pa.Table, replies: pa.Table) -> pa.Table:
         first, flat = spelling.value
-        size = np.diff(first)
+        got = [_unpacked(x.as_py(), 3) for x in replies.column("data")]
+        number, many, ids = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in got)]) for k in range(3))
+        # equal chunks have equal ids and replies, each for all of them: one of each number will do
+        own, rows = np.unique(number, return_index=True)
+        own_first = np.concatenate([[0], np.cumsum(many)])
+        ids = _gather(own_first, ids, rows)
+        table_ = np.concatenate([flat, ids.astype(np.int32)])
+        begin = np.concatenate([first, len(flat) + np.cumsum(many[rows])])
         decoder = Decoder(vocabulary) if digest else None
-        for batch in batches:
-            out, sha = [], []
-            told = batch.column(3)
-            for i, (null, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                code = _unpacked(data)
-                more = [np.array(x["ids"], np.int32) for x in told[i].as_py() or []]
-                mine = code < count
-                n = np.zeros(len(code), np.int64)
-                n[mine] = size[code[mine]]
-                for k in np.flatnonzero(~mine):
-                    n[k] = len(more[code[k] - count])
-                end = np.cumsum(n)
-                ids = np.empty(int(end[-1]) if len(end) else 0, np.int32)
-                shift = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-                ids[np.repeat((end - n)[mine], n[mine]) + shift] = flat[np.repeat(first[code[mine]], n[mine]) + shift]
-                for k in np.flatnonzero(~mine):
-                    ids[end[k] - n[k] : end[k]] = more[code[k] - count]
-                out.append(None if null else ids)
+        out = []
+        for c in range(len(chunks)):
+            if chunks.column("rare")[c].as_py() != len(own):
+                raise ValueError("a chunk's words have no codes: the documents changed between two scans; stable=False copies them first")
+            size, code, _ = _unpacked(chunks.column("data")[c].as_py(), 2)
+            doc_id, there = chunks.column("doc_id")[c].values, chunks.column("known")[c].values
+            ends = np.cumsum(size)
+            lo = 0
+            while lo < len(size):  # some words at a time
+                start = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, start + 400_000, side="right")))
+                w = code[start : int(ends[hi - 1])]
+                reach = np.concatenate([[0], np.cumsum(begin[w + 1] - begin[w])])
+                flat_ = _gather(begin, table_, w)
+                offs = reach[np.concatenate([[0], ends[lo:hi] - start])]
+                valid = there.slice(lo, hi - lo)
+                cols = {"doc_id": doc_id.slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat_), mask=pc.invert(valid))}
                 if decoder:
-                    sha.append(None if null else hashlib.sha256(decoder.bytes(ids)).hexdigest())
-            cols = {"doc_id": batch.column(0), "ids": pa.array(out, pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_pydict(cols | ({"decoded_sha256": pa.array(sha, pa.string())} if digest else {}))
+                    cols["decoded_sha256"] = pa.array([hashlib.sha256(decoder.bytes(flat_[a:b])).hexdigest() if v else None for a, b, v in zip(offs[:-1].tolist(), offs[1:].tolist(), valid.to_pylist(), strict=True)], pa.string())
+                out.append(pa.table(cols))
+                lo = hi
+        return pa.concat_tables(out) if out else pa.table({f.name: pa.array([], f.type) for f in kinds})
+
+    kinds = [pa.field("doc_id", pa.int64()), pa.field("ids", pa.list_(pa.int32())), *([pa.field("decoded_sha256", pa.string())] if digest else [])]
+    asked = docs.mapInArrow(tidied(asking), "bucket long, chunk long, data binary")
+    have = rare.select("word", "ids").mapInArrow(tidied(told), "bucket long, data binary")
+    replies = asked.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(tidied_group(answers), "chunk long, data binary")
+    chunks = docs.mapInArrow(tidied(coded), "chunk long, doc_id array<long>, known array<boolean>, rare long, data binary")
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(tidied_group(spelled), "doc_id long, ids array<int>" + ", decoded_sha256 string" * digest)
+
+
+def _lists(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of lists without nulls."""
+    if isinstance(col, pa.ChunkedArray):
+        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+    offs = col.offsets.to_numpy().astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    return offs - offs[0], col.flatten().to_numpy().astype(np.int32)
+
 
-    return both.select("doc_id", "null", "codes", "told").mapInArrow(spelled, "doc_id long, ids array<int>" + ", decoded_sha256 string" * digest)
+def _gather(first: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The values of the lists ``rows``, one after the other."""
+    size = first[rows + 1] - first[rows]
+    return flat[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
 class Decoder:
@@ -417,5 +575,5 @@ def decoded(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Data
 def op4_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, and the SHA-256 of the text that they decode to."""
     vocabulary = Vocabulary.load(model or default_model())
-    out = encoded(table(spark, sf_dir, "documents"), vocabulary, digest=True)
+    out = encoded(table(spark, sf_dir, "documents"), vocabulary, digest=True, stable=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
+import functools
 import tempfile
-import time
 import uuid
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,14 +44,44 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Let go the files of shuffles that nothing refers to any more, before the next ones come.
+def others(df: DataFrame, added: tuple[str, ...]) -> list[str]:
+    """The columns of ``df`` that stay beside ``added`` ones; names are the same whatever their case, as in Spark."""
+    return [c for c in df.columns if c.lower() not in added]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(work: Callable[[Iterator[T]], Iterator[T]]) -> Callable[[Iterator[T]], Iterator[T]]:
+    """``work`` on a task's batches, after which a worker, as it lives on for other tasks, gives freed memory back."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[T]) -> Iterator[T]:
+        yield from work(batches)
+        _give_back()
+
+    return run
+
+
+def tidied_group(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for ``work`` on a group, or on two groups of one key."""
+
+    def one(a: pa.Table) -> pa.Table:
+        out = work(a)
+        _give_back()
+        return out
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = work(a, b)
+        _give_back()
+        return out
 
-    The driver's cleaner gets a shuffle once the JVM has collected its plan, which Python's own objects may still hold."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    return two if work.__code__.co_argcount == 2 else one
 
 
 def input_bytes(df: DataFrame) -> int:
