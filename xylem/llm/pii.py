@@ -1,28 +1,38 @@
 """Personal data: base patterns, and bootstrapped contextual extraction on top.
 
 Base spans (email, ip, card, phone) are fixed patterns with their checks.  They
-are the seeds of the bootstrap: each identifier-like token (it has a digit) is an
-instance, its lexical pattern is the word before it, the mark between and the
-token's shape (runs of letters and digits as ``a`` and ``9``).  In each round a
-pattern's confidence in a kind is the share of its distinct instances already
-believed to be of that kind; an instance is believed by noisy-or over its
-patterns.  Patterns need ``support`` believed instances and ``confidence``;
-the instances they bring in can carry further patterns in the next round.  What
-is believed in the end and touches no base span is added.
+are the seeds of the bootstrap.  Instances are identifier-like tokens: they hold a
+digit or ``@``, and groups of digits go on over single blanks, so that spaced
+phones and cards are one token.  An instance's lexical patterns are the word and
+the marks before it (L), those after it (R), and both (B).
+
+Patterns and instances are the two sides of a graph that is scored in rounds.  A
+pattern's confidence in a kind is the share of believed ones among those of its
+distinct instances whose characters can be of that kind (``PLAUSIBLE``): the lower
+bound of it (Wilson, two standard errors) must be ``confidence`` or more.  Besides,
+``support`` instances must be believed, and they must be more of all its instances
+than chance among so many patterns makes of the kind's share everywhere.  An
+instance is believed by noisy-or over its patterns, if it can be of that kind; it
+then supports further patterns in the next round.  What is believed in the end, stands in such a pattern and
+touches no base span is added, the whole token.
 
 All of it is DataFrame operations: counts are pre-aggregated before they are
-shuffled, and patterns meet instances in an equi-join.
+shuffled, and patterns meet instances in equi-joins.
 
-A null text counts as empty.  Ids are not needed to be unique or not null: rows
-are told apart by a number of their own.  Empty tables give empty results.
+A null text counts as empty; texts may be of any length (a cue is looked for within
+``CUE`` characters).  Ids need not be unique or not null: rows are told apart by a
+number of their own, and repeated rows get equal results.  Columns that come along
+keep their values, whatever their names; ``base`` and ``spans`` replace columns of
+these names.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import table, written
+from .runtime import others, table, written
 from .spans import counted, joined, placed, replaced, span, with_hits
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,10 +43,20 @@ PATTERNS = {
     "card": r"(?<![0-9])(?=(?:[ -]?[0-9]){14})[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: An instance with the word and the mark before it.
-CONTEXT = r"[A-Za-z]{2,32}+[:=#]?+ {1,3}+(?=[A-Za-z._@+-]{0,40}+[0-9])[A-Za-z0-9+][A-Za-z0-9._@+-]{3,63}+"
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
-_INSTANCE = "array<struct<s:int,e:int,left:string,shape:string,surface:string>>"
+#: An identifier-like token: with a digit or ``@``, and groups of digits after single blanks.
+TOKEN = r"(?<![\p{L}0-9@._%+-])(?=[(+]?+[\p{L}._%:()-]*+[0-9@])[+(]{0,2}+[A-Za-z0-9][A-Za-z0-9._%+@:()/-]*+(?:(?<=[0-9)]) [(]?+[0-9][0-9().-]*+)*+"
+CUE = 64
+#: The word and marks next to an instance.
+LEFT, RIGHT = r"(\p{L}+[^\p{L}0-9]{0,3})$", r"^([^\p{L}0-9]{0,3}\p{L}+)"
+#: What a discovered instance of a kind must look like.
+PLAUSIBLE = {
+    "email": r"^[^@]+@[^@]+$",
+    "ip": r"^[0-9A-Fa-f]*([.:][0-9A-Fa-f]*){2,}$",
+    "card": r"^[0-9]([ -]?[0-9]){7,}$",
+    "phone": r"^[+(]{0,2}[0-9]([ ()./-]{0,3}[0-9]){5,}$",
+}
+ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.7
+_INSTANCE = "array<struct<s:int,e:int,left:string,right:string,surface:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -65,57 +85,78 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``base`` (spans sorted by start and kind) and ``instances``."""
-    own = docs.columns
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    df = with_hits(df, "_text", {f"_{k}": p for k, p in PATTERNS.items()} | {"_context": CONTEXT})
+    """(own, base, instances): all columns of ``docs`` as a struct, the base spans sorted by start and kind, and the tokens."""
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = with_hits(df, "text", PATTERNS | {"token": TOKEN})
     spans = []
     for i, k in enumerate(KINDS):
-        all_ = placed(f"_{k}", lambda hit, s, e, k=k, i=i: F.struct(span(s, i, e).alias("x"), _valid(k, hit).alias("ok")), "array<struct<x:struct<s:int,k:int,e:int>,ok:boolean>>")
+        all_ = placed(k, lambda hit, j, s, e, k=k, i=i: F.struct(span(s, i, e).alias("x"), _valid(k, hit).alias("ok")), "struct<x:struct<s:int,k:int,e:int>,ok:boolean>")
         spans.append(F.transform(F.filter(all_, lambda x: x["ok"]), lambda x: x["x"]))
-    token = r"^[A-Za-z]+[:=#]? +"
 
-    def instance(hit: Column, s: Column, e: Column) -> Column:
-        surface = F.regexp_replace(hit, token, "")
-        shape = F.regexp_replace(F.regexp_replace(surface, "[A-Za-z]+", "a"), "[0-9]+", "9")
-        return F.struct((e - F.length(surface)).cast("int").alias("s"), e.cast("int").alias("e"), F.lower(F.regexp_extract(hit, "^([A-Za-z]+[:=#]?)", 1)).alias("left"), shape.alias("shape"), surface.alias("surface"))
+    def instance(hit: Column, j: Column, s: Column, e: Column) -> Column:
+        surface = F.regexp_replace(hit, r"[^\p{L}0-9)]+$", "")
+        before, after = F.get("token_gaps", j), F.concat(F.substring(hit, F.length(surface) + 1, F.lit(CUE)), F.get("token_gaps", j + 1))
+        cue = lambda gap, p: F.nullif(F.lower(F.regexp_replace(F.regexp_extract(gap, p, 1), r"\s+", " ")), F.lit(""))
+        return F.struct(s.cast("int").alias("s"), (s + F.length(surface)).cast("int").alias("e"), cue(F.substring(before, -CUE, CUE), LEFT).alias("left"), cue(F.substring(after, 1, CUE), RIGHT).alias("right"), surface.alias("surface"))
+
+    return df.select("own", F.array_sort(F.concat(*spans)).alias("base"), placed("token", instance, _INSTANCE[6:-1]).alias("instances"))
+
 
-    return df.select(*own, F.array_sort(F.concat(*spans)).alias("base"), placed("_context", instance, _INSTANCE).alias("instances"))
+def _patterns(left: str, right: str) -> Column:
+    return F.array_compact(F.array(F.concat(F.lit("L "), left), F.concat(F.lit("R "), right), F.concat(F.lit("B "), left, F.lit(" | "), right)))
 
 
 def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(row, more): the spans that the bootstrap adds to each row of ``found`` (row, base, instances)."""
-    inst = found.select("row", "base", F.explode("instances").alias("i")).select("row", "i.*", F.filter("base", lambda b: (b["s"] < F.col("i.e")) & (F.col("i.s") < b["e"])).alias("over"))
-    inst = inst.select("row", "s", "e", "left", "shape", "surface", F.get("over", F.lit(0))["k"].alias("seed"))
+    inst = found.select("row", "base", F.explode("instances").alias("i")).select("row", "i.*", F.get(F.filter("base", lambda b: (b["s"] < F.col("i.e")) & (F.col("i.s") < b["e"])), F.lit(0))["k"].alias("seed"))
+    inst = inst.withColumn("patterns", _patterns("left", "right")).where("size(patterns) > 0")
     # the graph: distinct instances by pattern; a seed kind is the one most of its occurrences have
-    edges = written(inst.groupBy("left", "shape", "surface").agg(F.mode("seed", True).alias("seed")))
-    belief = edges.where("seed is not null").groupBy("surface").agg(F.min("seed").alias("kind"))
-    totals = edges.groupBy("left", "shape").agg(F.count("*").alias("n"))
+    edges = written(inst.select(F.explode("patterns").alias("pattern"), "surface", "seed").groupBy("pattern", "surface").agg(F.mode("seed", True).alias("seed")))
+    nodes = edges.groupBy("surface").agg(F.min("seed").alias("kind"))
+    belief = written(nodes.where("kind is not null"))
+    can = [F.col("surface").rlike(PLAUSIBLE[k]) for k in KINDS]
+    fits = F.coalesce(*(F.when(F.col("kind") == i, x) for i, x in enumerate(can)))
+    of_kind = F.array(*(F.count_if(x | F.coalesce(F.col("seed") == i, F.lit(False))) for i, x in enumerate(can)))
+    totals = written(edges.groupBy("pattern").agg(F.count("*").alias("n"), of_kind.alias("can")))
+    # the share of each kind among all instances, and how surprising the best of so many patterns is by chance
+    all_, several = nodes.count(), totals.where(F.col("n") >= support).count()
+    share = {r["kind"]: (r["count"] + 1) / (all_ + 2) for r in belief.groupBy("kind").count().collect()}  # at most a row a kind
+    chance = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in share.items()), F.lit(1.0))
+    n, m = F.col("n"), F.get("can", F.col("kind"))
+    p, q = F.col("known") / n, F.least(F.col("known") / m, F.lit(1.0))
+    sure = (q + 2 / m - 2 * F.sqrt(q * (1 - q) / m + 1 / (m * m))) / (1 + 4 / m)
+    surprise = n * (p * F.log(p / F.col("chance")) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - F.col("chance")))).otherwise(0))
     for _ in range(rounds):
-        by = edges.join(belief, "surface").groupBy("left", "shape", "kind").agg(F.count("*").alias("known"))
-        good = by.where(F.col("known") >= support).join(totals, ["left", "shape"]).withColumn("sure", F.col("known") / F.col("n")).where(F.col("sure") >= confidence)
-        reached = edges.join(good, ["left", "shape"]).groupBy("surface", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("sure", F.lit(0.999)))))).alias("belief"))
+        by = edges.join(belief, "surface").groupBy("pattern", "kind").agg(F.count("*").alias("known")).where(F.col("known") >= support)
+        good = by.join(totals, "pattern").withColumn("chance", chance).where((p > F.col("chance")) & (surprise >= float(np.log(several + 1)) + 3)).select("pattern", "kind", sure.alias("sure")).where(F.col("sure") >= confidence)
+        good = written(good.groupBy("pattern").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"), F.max("sure").alias("sure")))
+        if good.isEmpty():
+            break
+        reached = edges.where("seed is null").join(good, "pattern").where(fits).groupBy("surface", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("sure", F.lit(0.999)))))).alias("belief"))
         reached = reached.where(F.col("belief") >= confidence).groupBy("surface").agg(F.max_by("kind", F.struct("belief", -F.col("kind"))).alias("kind"))
-        belief = written(belief.withColumn("first", F.lit(0)).unionByName(reached.withColumn("first", F.lit(1))).groupBy("surface").agg(F.min_by("kind", F.struct("first", "kind")).alias("kind")))
-    sure = good.groupBy("left", "shape").agg(F.max_by("kind", "sure").alias("kind"))
-    new = inst.where("seed is null").join(sure, ["left", "shape"]).join(belief, ["surface", "kind"], "left_semi")
+        grown = written(belief.withColumn("first", F.lit(0)).unionByName(reached.withColumn("first", F.lit(1))).groupBy("surface").agg(F.min_by("kind", F.struct("first", "kind")).alias("kind")))
+        before, belief = belief, grown
+        if grown.count() == before.count():
+            break
+    new = inst.where("seed is null").select("row", "s", "e", "surface", F.explode("patterns").alias("pattern")).join(good.select("pattern", "kind"), "pattern").where(fits).join(belief, ["surface", "kind"], "left_semi")
+    new = new.groupBy("row", "s", "e").agg(F.min("kind").alias("kind"))
     return new.groupBy("row").agg(F.array_sort(F.collect_list(span(F.col("s"), F.col("kind"), F.col("e")))).alias("more"))
 
 
 def personal_data(docs: DataFrame, text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """doc_id (or, with ``keep_columns``, all columns), ``base`` and ``spans`` (base and discovered spans, sorted)."""
-    own = [c for c in docs.columns if c not in ("base", "spans", "row", "instances")] if keep_columns else ["doc_id"]
-    need = list(dict.fromkeys([*own, text_col]))
-    found = written(base(docs.select(need), text_col).select(*own, F.monotonically_increasing_id().alias("row"), "base", "instances"))
+    own = others(docs, ("base", "spans")) if keep_columns else ["doc_id"]
+    found = written(base(docs.select(*dict.fromkeys([*own, text_col])), text_col).withColumn("row", F.monotonically_increasing_id()))
     more = discovered(found.where("size(instances) > 0"))
     out = found.drop("instances").join(more, "row", "left")
-    return out.select(*own, "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
+    return out.select(*(F.col(f"own.`{c}`") for c in own), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with every span of the text replaced by ``<EMAIL>``, ``<IP>``, ``<CARD>`` or ``<PHONE>``."""
-    out = personal_data(docs, text_col, keep_columns=True)
-    return out.withColumn(text_col, replaced(text_col, F.col("spans"), KINDS)).select(docs.columns)
+    kept = personal_data(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.col(text_col).alias("text")), keep_columns=True)
+    kept = kept.select("all", replaced("text", F.col("spans"), KINDS).alias("new"))
+    return kept.select(*((F.col("new") if c == text_col else F.col(f"all.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import table, written
+from .runtime import others, table, written
 from .spans import counted, joined, placed, replaced, span, with_hits
 
 KINDS = ("assign", "access", "hex", "random")
@@ -99,21 +99,20 @@ def _halved(chars: Column, alphabet: Column, halves: Column) -> Column:
 
 
 def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``base`` (spans sorted by start and kind) and ``tokens`` (tested tokens)."""
-    own = docs.columns
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    df = with_hits(df, "_text", {f"_{k}": p for k, p in PATTERNS.items()} | {"_token": TOKEN})
+    """(own, base, tokens): all columns of ``docs`` as a struct, the base spans sorted by start and kind, and the tested tokens."""
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = with_hits(df, "text", PATTERNS | {"token": TOKEN})
     spans = []
     for i, k in enumerate(KINDS[:3]):
         long = lambda hit, k=k: F.length(F.regexp_extract(hit, PATTERNS["assign"], 1)) >= 6 if k == "assign" else F.lit(True)
-        all_ = placed(f"_{k}", lambda hit, s, e, i=i, long=long: F.struct(span(s, i, e).alias("x"), long(hit).alias("ok")), "array<struct<x:struct<s:int,k:int,e:int>,ok:boolean>>")
+        all_ = placed(k, lambda hit, j, s, e, i=i, long=long: F.struct(span(s, i, e).alias("x"), long(hit).alias("ok")), "struct<x:struct<s:int,k:int,e:int>,ok:boolean>")
         spans.append(F.transform(F.filter(all_, lambda x: x["ok"]), lambda x: x["x"]))
 
-    def tested(hit: Column, s: Column, e: Column) -> Column:
+    def tested(hit: Column, j: Column, s: Column, e: Column) -> Column:
         step = F.least(F.floor(departure(hit) * 4), F.lit(STEPS - 1))
         return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), (e - s).cast("int").alias("len"), step.cast("int").alias("step"), F.when(hit.rlike("[A-Za-z]"), hit.rlike("[0-9]")).alias("digit"))
 
-    return df.select(*own, F.array_sort(F.concat(*spans)).alias("base"), placed("_token", tested, _TOKEN).alias("tokens"))
+    return df.select("own", F.array_sort(F.concat(*spans)).alias("base"), placed("token", tested, _TOKEN[6:-1]).alias("tokens"))
 
 
 def _length(n: Column) -> Column:
@@ -138,8 +137,8 @@ def limits(found: DataFrame, rate: float = RATE) -> dict[int, int]:
 
 def secrets(docs: DataFrame, text_col: str = "text", keep_columns: bool = False, rate: float = RATE) -> DataFrame:
     """doc_id (or, with ``keep_columns``, all columns), ``base`` and ``spans`` (base and random spans, sorted)."""
-    own = [c for c in docs.columns if c not in ("base", "spans", "tokens")] if keep_columns else ["doc_id"]
-    found = written(base(docs.select(list(dict.fromkeys([*own, text_col]))), text_col).select(*own, "base", "tokens"))
+    own = others(docs, ("base", "spans")) if keep_columns else ["doc_id"]
+    found = written(base(docs.select(*dict.fromkeys([*own, text_col])), text_col))
     most = limits(found, rate)
 
     def reported(x: Column) -> Column:
@@ -148,13 +147,14 @@ def secrets(docs: DataFrame, text_col: str = "text", keep_columns: bool = False,
         return x["digit"] & (x["step"] <= top) & free
 
     more = F.transform(F.filter("tokens", reported), lambda x: span(x["s"], KINDS.index("random"), x["e"]))
-    return found.select(*own, "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    return found.select(*(F.col(f"own.`{c}`") for c in own), "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with every span of the text replaced by its kind in angle brackets."""
-    out = secrets(docs, text_col, keep_columns=True)
-    return out.withColumn(text_col, replaced(text_col, F.col("spans"), KINDS)).select(docs.columns)
+    kept = secrets(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.col(text_col).alias("text")), keep_columns=True)
+    kept = kept.select("all", replaced("text", F.col("spans"), KINDS).alias("new"))
+    return kept.select(*((F.col("new") if c == text_col else F.col(f"all.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FOLD = 256
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -16,17 +17,23 @@ def with_hits(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     return df.withColumns({f"{n}_gaps": F.when(F.size(n) > 0, F.split(text, p, -1)) for n, p in patterns.items()})
 
 
-def placed(name: str, make: Callable[[Column, Column, Column], Column], kind: str) -> Column:
-    """An array with ``make(match, start, end)`` for each match of ``name``, in order."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
+def placed(name: str, make: Callable[[Column, Column, Column, Column], Column], kind: str) -> Column:
+    """An array with ``make(match, its number, start, end)`` (of type ``kind``) for each match of ``name``, in order."""
+    # the starts are running sums, folded ``FOLD`` at a time: an append copies its array, so a long one would cost its square
+    none = F.expr("cast(array() as array<int>)")
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(f"{name}_gaps", i))
-        end = start + F.length(F.get(name, i))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], make(F.get(name, i), start, end)).alias("out"))
+        return F.struct((start + F.length(F.get(name, i))).alias("at"), F.array_append(acc["out"], start).alias("out"))
 
-    places = F.when(F.size(name) > 0, F.sequence(F.lit(0), F.size(name) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(places, zero, step, lambda acc: acc["out"])
+    def steps(acc: Column, lo: Column) -> Column:
+        some = F.aggregate(F.sequence(lo, F.least(lo + FOLD, F.size(name)) - 1), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.get(F.transform(F.array(some), lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out"))), F.lit(0))
+
+    places = F.when(F.size(name) > 0, F.sequence(F.lit(0), F.size(name) - 1, F.lit(FOLD))).otherwise(none)
+    starts = F.flatten(F.aggregate(places, zero, steps, lambda acc: acc["out"]))
+    return F.transform(starts, lambda s, i: make(F.get(name, i), i, s, s + F.length(F.get(name, i)))).cast(f"array<{kind}>")
 
 
 def span(start: Column, kind: int | Column, end: Column) -> Column:
