@@ -10,15 +10,21 @@ answers for every reference block, so a document is parsed against all of them.
    hashes in each window of ``n`` words); shards tell which occur in two documents.
 2. Each block names its windows with such a minimizer, each once, with their
    smallest document and place; shards tell the smallest of all.
-3. Each block parses its documents by these answers: consecutive windows whose
-   references continue form a factor; at a factor's end the windows across the
-   boundary have answers of their own, so nothing is lost there.  Words in a factor
-   whose reference has a smaller id are removed.
+3. Each block parses its documents greedily by these answers: a factor starts at
+   the first window that an earlier document has, and goes on while that reference
+   does; the next one is looked for behind it.  At a factor's end, the windows that
+   start in it and reach over its boundary are checked: those with a reference of
+   their own make a factor that overlaps.  The words of all factors are removed.
 
 A block names a hash once however many of its documents hold it, so a passage in
 a third of all rows costs a shard one entry a block.  Windows are compared by 96
 bits.  Words are maximal runs of non-blank bytes, unchanged.
 
+A factor's reference is the earliest document that has its first window, not the
+longest match among all: which words are removed is the same, as every window with
+an earlier document is in a factor or reaches over the end of one.
+
+Texts may be of any length; columns besides the id and the text are not read.
 Nulls: a null text has no words; a null id is neither earlier nor later than any
 (nothing is removed from it or for it).  Rows with one id do not remove from each
 other.  Empty tables give empty results.
@@ -103,6 +109,23 @@ def _least(g, c, lo, hi, pos) -> list[np.ndarray]:
     return [g[first], c[first], lo[first], np.maximum.reduceat(hi, first), pos[first]]
 
 
+def factors(at: np.ndarray, row: np.ndarray, src: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, end words) of the factors, of the windows (by first word) that have a reference ``src`` at ``place``.
+
+    A run of windows whose references are the next places of one document is one match.  In the greedy order, a match
+    that starts in a factor counts only if it reaches over that factor's end."""
+    if not len(at):
+        return at, at
+    a, b = slice(None, -1), slice(1, None)
+    head = np.ones(len(at), bool)
+    head[1:] = (at[b] != at[a] + 1) | (row[b] != row[a]) | (src[b] != src[a]) | (place[b] != place[a] + 1)
+    first = np.flatnonzero(head)
+    begin, end = at[first], at[np.concatenate([first[1:], [len(at)]]) - 1] + n
+    beyond = np.ones(len(begin), bool)
+    beyond[1:] = end[1:] > np.maximum.accumulate(end)[:-1]
+    return begin[beyond], end[beyond]
+
+
 def parsed(docs: DataFrame, n: int = WINDOW, text_col: str = "text", texts: bool = False) -> DataFrame:
     """Per document: n_words, n_removed, n_factors, kept_sha256; with ``texts``, also kept (its kept words, joined by a space)."""
     prepare(docs.sparkSession)
@@ -186,7 +209,7 @@ def parsed(docs: DataFrame, n: int = WINDOW, text_col: str = "text", texts: bool
         order = np.lexsort((c0, g0))
         g0, c0, d0, p0 = g0[order], c0[order], d0[order], p0[order]
         ids = _docs(text.column("doc_id").combine_chunks()) if len(text) else np.zeros(0, np.int64)
-        total, removed, factors, sha, kept = [], [], [], [], []
+        total, removed, many, sha, kept = [], [], [], [], []
         for _, buf, offs, starts, ends, firsts, g, c, _, at, r, own in _scan(ids, text.column("text"), n):
             src, place = np.full(len(g), -1, np.int64), np.full(len(g), -1, np.int64)
             if len(g0) and len(g):
@@ -204,13 +227,10 @@ def parsed(docs: DataFrame, n: int = WINDOW, text_col: str = "text", texts: bool
             else:
                 found = np.zeros(len(g), bool)
             hit = np.flatnonzero(found)
-            # a factor goes on while the next window's reference is the next place of the same document
-            go = np.zeros(len(hit), bool)
-            if len(hit) > 1:
-                a, b = hit[:-1], hit[1:]
-                go[1:] = (at[b] == at[a] + 1) & (r[b] == r[a]) & (src[b] == src[a]) & (place[b] == place[a] + 1)
-            heads = np.bincount(r[hit[~go]], minlength=len(own))
-            gone = t.cover(len(starts), at[hit], n)
+            begin, end = factors(at[hit], r[hit], src[hit], place[hit], n)
+            heads = np.bincount(t.row_of(firsts, begin), minlength=len(own))
+            edge = np.bincount(begin, minlength=len(starts) + 1) - np.bincount(end, minlength=len(starts) + 1)
+            gone = np.cumsum(edge)[: len(starts)] > 0
             run = np.concatenate([[0], np.cumsum(gone)])
             count, lost = np.diff(firsts), run[firsts[1:]] - run[firsts[:-1]]
             raw = buf.tobytes()
@@ -225,9 +245,9 @@ def parsed(docs: DataFrame, n: int = WINDOW, text_col: str = "text", texts: bool
                     kept.append(rest.decode())
             total.append(count)
             removed.append(lost)
-            factors.append(heads)
+            many.append(heads)
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        out = {"doc_id": text.column("doc_id"), "n_words": cat(total), "n_removed": cat(removed), "n_factors": cat(factors), "kept_sha256": pa.array(sha, pa.string())}
+        out = {"doc_id": text.column("doc_id"), "n_words": cat(total), "n_removed": cat(removed), "n_factors": cat(many), "kept_sha256": pa.array(sha, pa.string())}
         return pa.table(out | ({"kept": pa.array(kept, pa.string())} if texts else {}))
 
     named, answer = "shard long, block long, data binary", "block long, data binary"
@@ -237,7 +257,7 @@ def parsed(docs: DataFrame, n: int = WINDOW, text_col: str = "text", texts: bool
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(table(spark, sf_dir, "documents"))
+    return parsed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP8_SQL = r"""
