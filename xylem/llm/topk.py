@@ -1,16 +1,22 @@
 """Exact top-k search by aggregation of sorted lists, without random access.
 
 A score is the inner product of whole-number vectors: a sum over components, each
-a list of the candidates sorted by value.  A query reads the list of a component
-from its top where its own component is positive, else from its bottom.  At a
-depth, a candidate's score has a lower and an upper bound: read entries count as
-they are, unread ones lie between the last value read and the list's end.  A
-candidate whose upper bound is below the k-th best lower bound can't qualify and
-goes; when only the rest remain, reading them on gives their final scores.
-
-Candidates and queries are dealt into blocks, and each pair of blocks is one
-group.  Within a group, bounds of all its queries are computed at once: entries
-read from the top or the bottom enter one matrix product each.
+a list of the candidates sorted by value.  A query reads all lists in step, that of
+a component from its top where its own component is positive, else from its bottom.
+After a step, a candidate's score lies between two bounds: entries read count as
+they are, unread ones lie between the list's last read value and its end.  The
+query stops by itself as soon as no candidate outside its ``k`` best lower bounds
+has an upper bound that reaches them; the few still in doubt are then resolved to
+their final scores.  Once the depth is half the number of candidates left, reading on
+can't pay, and these are resolved at once (on vectors without structure that is the
+usual end: no exact bound prunes them).
+
+Candidates and queries are dealt into blocks, and each pair of blocks is one group.
+Within a group each query reads and stops alone.
+
+Components are kept as doubles, as floor(scale * x) is one; scores are exact whole
+numbers of any size, and those beyond 64 bits are returned as the nearest bound,
+ranked by their true values within a group.
 
 Vectors with a null or non-finite component, null vectors and null ids take no
 part.  Rows of the query's own id are no candidates of it; repeated rows are
@@ -31,11 +37,12 @@ from .runtime import prepare, table
 
 K, SCALE, EVERY = 5, 256, 50
 CANDIDATES, QUERIES = 4_096, 2_048
-DEPTHS = (0.25, 0.5, 1.0)
+#: Entries of each list that the first step reads; each next step reads twice as many in all.
+FIRST = 8
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): each usable vector's components as floor(scale * x), packed as 64-bit integers."""
+    """(vec_id, v): each usable vector's components as floor(scale * x), packed as doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,10 +51,9 @@ def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataF
             x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
             size = np.nan_to_num(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(size)])
-            y = np.floor(scale * x)
-            bad = np.concatenate([[0], np.cumsum(~(np.isfinite(x) & (np.abs(y) < 2.0**62)))])
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
             ok = (bad[first[1:]] == bad[first[:-1]]) & np.asarray(lists.is_valid()) & np.asarray(ids.is_valid())
-            y = np.where(np.isfinite(y) & (np.abs(y) < 2.0**62), y, 0).astype(np.int64)
+            y = np.floor(scale * np.where(np.isfinite(x), x, 0))
             own = np.flatnonzero(ok)
             yield pa.RecordBatch.from_pydict({"vec_id": ids.take(pa.array(own)), "v": pa.array([y[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())})
 
@@ -55,46 +61,65 @@ def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataF
 
 
 def _matrix(col: pa.ChunkedArray, d: int) -> np.ndarray:
-    rows = [np.frombuffer(x.as_py(), np.int64) for x in col]
-    out = np.zeros((len(rows), d), np.int64)
+    rows = [np.frombuffer(x.as_py(), np.float64) for x in col]
+    out = np.zeros((len(rows), d))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, candidates, scores) of each query's k best, larger scores and then smaller ids first."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    big = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-    kind = np.float64 if big < 2.0**52 else object  # object: Python's whole numbers, slow but exact
-    x, q = x.astype(kind), q.astype(kind)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists = np.sort(x, axis=0)  # a column is the sorted list of a component
-    n = len(x)
-    if kind is object:
-        depths = (1.0,)
-    for depth in depths:
-        own = query_ids[:, None] == ids[None, :]
-        if depth >= 1 or len(ids) <= 4 * k:
-            score = q @ x.T
-            break
-        at = min(n - 1, int(depth * n))
-        top, bottom = lists[n - 1 - at], lists[at]
-        upper = up @ np.maximum(x, top).T + down @ np.minimum(x, bottom).T
-        lower = up @ np.where(x >= top, x, lists[0]).T + down @ np.where(x <= bottom, x, lists[-1]).T
-        lower[own], upper[own] = -np.inf, -np.inf
-        floor = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-        left = (upper >= floor[:, None]).any(axis=0)
-        ids, x = ids[left], x[left]
-    for i in range(len(q)):
-        can = np.flatnonzero(~own[i])
-        s = score[i][can]
-        if len(s) > k and kind is not object:
-            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-            can, s = can[keep], s[keep]
-        best = np.argsort(-s, kind="stable")[:k]
-        yield i, ids[can[best]], s[best].astype(np.int64)
+class Lists:
+    """The sorted lists of a block's candidates, one a component, and how many entries of them were read."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[by_id], x[by_id]
+        self.order = np.argsort(self.x, axis=0, kind="stable")
+        self.value = np.take_along_axis(self.x, self.order, axis=0)
+        self.most, self.read, self.resolved = np.abs(self.x).max(initial=0), 0, 0
+
+    def best(self, own_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best candidates but the rows of ``own_id``: larger scores, then smaller ids first."""
+        left = np.flatnonzero(self.ids != own_id)
+        if self.most * np.abs(q).max(initial=0) * max(1, len(q)) < 2.0**52:
+            left = self.read_on(left, q, k)
+            score = (self.x[left] @ q).astype(np.int64)
+        else:  # beyond what doubles add up exactly: Python's whole numbers, slow but exact
+            whole = [int(v) for v in q]
+            score = np.array([sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in self.x[left]], object)
+        self.resolved += len(left)
+        top = np.argsort(-score, kind="stable")[:k]
+        return [(int(self.ids[left[i]]), max(-(2**63), min(2**63 - 1, int(score[i])))) for i in top]
+
+    def read_on(self, left: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """The candidates that can be among the k best, when reading stops."""
+        n = len(self.ids)
+        used = np.flatnonzero(q)
+        if not len(used) or len(left) <= k:
+            return left
+        # entry t of a list as the query reads it, the best first, and the list's end
+        ahead = q[used] > 0
+        weight = q[used]
+        tail = weight * np.where(ahead, self.value[0, used], self.value[-1, used])
+        low = np.full(n, tail.sum())  # what is read counts as it is, the rest as the list's end
+        unread = np.ones((n, len(used)), np.float32)
+        at, step = 0, FIRST
+        while at < n and at * len(used) < len(left) * len(used) / 2:
+            to = min(n, step)
+            rows = np.where(ahead, n - 1 - np.arange(at, to)[:, None], np.arange(at, to)[:, None])
+            who = self.order[rows, used]
+            np.add.at(low, who, weight * self.value[rows, used] - tail)
+            unread[who, np.arange(len(used))] = 0
+            self.read += who.size
+            at, step = to, 2 * to
+            # unread entries are at most the last value read
+            last = weight * np.where(ahead, self.value[n - at, used], self.value[at - 1, used])
+            high = low[left] + unread[left].astype(np.float64) @ (last - tail)
+            floor = np.partition(low[left], len(left) - k)[len(left) - k]
+            left = left[high >= floor]
+            if len(left) <= k:
+                break
+        return left
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -112,8 +137,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
         if len(c) and len(q):
             d = max(len(v.as_py()) for col in (c.column("v"), q.column("v")) for v in col) // 8
             qi = q.column("vec_id").to_numpy()
-            for i, ids, scores in search(c.column("vec_id").to_numpy(), _matrix(c.column("v"), d), qi, _matrix(q.column("v"), d), k):
-                rows += [(int(qi[i]), int(a), int(b)) for a, b in zip(ids, scores, strict=True)]
+            lists = Lists(c.column("vec_id").to_numpy(), _matrix(c.column("v"), d))
+            for i, v in zip(qi.tolist(), _matrix(q.column("v"), d), strict=True):
+                rows += [(i, a, score) for a, score in lists.best(i, v, k)]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 
