@@ -10,7 +10,8 @@ within ``max_broadcast_bytes``; a larger benchmark is split into pieces within
 that bound, each broadcast to a scan of its own, and the hits of a document are
 merged.  Hash hits are verified on the words, so collisions never count.
 
-Nulls: a null text has no words and is never hit.  Empty tables give empty
+Nulls: a null text has no words and is never hit; an item without an id or a text
+is no item.  Texts may be of any length.  Empty tables give empty
 results (no items: nothing is hit).  Rows with a repeated id are judged apart.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import prepare, table
+from .runtime import others, prepare, table
 
 WINDOW = 13
 
@@ -37,12 +38,12 @@ class WindowIndex:
     def __init__(self, items: list[tuple[object, str | None]], n: int = WINDOW) -> None:
         found: dict[int, dict[bytes, set]] = {}
         for item, text in items:
-            w = split_words(text)
+            w = split_words(text) if item is not None else []
             if w:
                 k = min(n, len(w))
                 own = found.setdefault(k, {})
                 for i in range(len(w) - k + 1):
-                    own.setdefault(b" ".join(w[i : i + k]), set()).add(item)
+                    own.setdefault(b" ".join(w[i : i + k]), set()).add(str(item))
         self.tables = {}
         for k, own in found.items():
             keys = list(own)
@@ -122,8 +123,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = WINDOW, max_broadc
     if len(todo) > 1:
         return _many(docs, todo, n, share, text_col, keep_columns, remove_spans)
     index = spark.sparkContext.broadcast(pickle.dumps(WindowIndex(todo[0], n)))
-    added = ["n_words", "n_hit", "items", "contaminated"]
-    own = [c for c in docs.columns if c not in added] if keep_columns else ["doc_id"]
+    added = ("n_words", "n_hit", "items", "contaminated")
+    own = others(docs, added) if keep_columns else ["doc_id"]
     out = docs.select(*own, *([] if text_col in own else [text_col])).schema
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in out if f.name in own]
 
@@ -135,7 +136,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = WINDOW, max_broadc
             for w, hit, mask, its in scan(windows, texts):
                 counts.append(w)
                 hits.append(hit)
-                items += [sorted(map(str, x)) for x in its]
+                items += [sorted(x) for x in its]
                 if remove_spans:
                     first = np.concatenate([[0], np.cumsum(w)])
                     cut += [cut_words(texts[row + i].as_py(), mask[first[i] : first[i + 1]]) if hit[i] else texts[row + i].as_py() for i in range(len(w))]
@@ -171,8 +172,8 @@ def _many(docs: DataFrame, todo: list[list[tuple]], n: int, share: int, text_col
     """One scan a piece; a row's hit words are united as its scans' masks."""
     spark = docs.sparkSession
     indexes = [spark.sparkContext.broadcast(pickle.dumps(WindowIndex(x, n))) for x in todo]
-    added = ["n_words", "n_hit", "items", "contaminated"]
-    own = [c for c in docs.columns if c not in added] if keep_columns else ["doc_id"]
+    added = ("n_words", "n_hit", "items", "contaminated")
+    own = others(docs, added) if keep_columns else ["doc_id"]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +192,7 @@ def _many(docs: DataFrame, todo: list[list[tuple]], n: int, share: int, text_col
             if remove_spans:
                 cols[text_col] = pa.array([cut_words(texts[i].as_py(), m) for i, (m, _) in enumerate(united or [])], type=pa.string())
             cols |= {"n_words": pa.array(w, type=pa.int64()), "n_hit": pa.array(hit, type=pa.int64()),
-                     "items": pa.array([sorted(map(str, x)) for _, x in united or []], type=pa.list_(pa.string())), "contaminated": pa.array((hit > 0) & (share * hit >= w))}
+                     "items": pa.array([sorted(x) for _, x in united or []], type=pa.list_(pa.string())), "contaminated": pa.array((hit > 0) & (share * hit >= w))}
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = ", ".join([*kinds, "n_words long", "n_hit long", "items array<string>", "contaminated boolean"])

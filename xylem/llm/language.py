@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import prepare, table
+from .runtime import others, prepare, table
 
 DIM, LETTERS, SEED, PER_LANGUAGE = 512, 48, 20_241, 4_000
 
@@ -120,7 +120,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: s
     """All columns of ``docs`` with lang_pred and score (which replace columns of these names)."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = others(docs, ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, space = shared.value

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import prepare, table
+from .runtime import others, prepare, table
 
 LABELLERS = ("symbols", "capitals", "word_length", "line_ends", "repeated_words", "repeated_lines", "stutter", "decorated_words")
 BUCKETS, SAMPLE, THRESHOLD = 1 << 16, 12_000, 0.5
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> tupl
             yield pa.RecordBatch.from_pydict({"k": batch.column(0), "y": pa.array(y, pa.float64()), "i": pa.array(idx, pa.binary()), "x": pa.array(x, pa.binary())})
 
     share = min(1.0, sample / max(1, int(n.sum())))
-    key = F.coalesce(F.xxhash64(F.col("doc_id")), F.xxhash64(text_col)) if "doc_id" in docs.columns else F.xxhash64(text_col)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(text_col)) if "doc_id" in docs.columns else F.xxhash64(text_col)
     some = docs.select(key.alias("k"), text_col).where(F.pmod(F.col("k"), F.lit(1 << 40)) < int(share * (1 << 40)))
     got = some.mapInArrow(gather, "k long, y double, i binary, x binary").orderBy("k", "y", "i").toArrow()
     lists = [np.frombuffer(v.as_py(), np.int32).astype(np.int64) for v in got.column("i")]
@@ -212,8 +212,7 @@ def judged(docs: DataFrame, model: tuple, text_col: str = "text", threshold: flo
     """All columns of ``docs`` with n_good, n_bad (votes), weak_label (the pattern's posterior), score and keep."""
     label, (w, bias), _ = model
     shared = docs.sparkSession.sparkContext.broadcast((label, w.astype(np.float32), bias))
-    added = ["n_good", "n_bad", "weak_label", "score", "keep"]
-    own = [c for c in docs.columns if c not in added]
+    own = others(docs, ("n_good", "n_bad", "weak_label", "score", "keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, w, bias = shared.value

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textops as t
 from .language import fold
-from .runtime import prepare, table, written
+from .runtime import others, prepare, table, written
 
 BUCKETS, POSITIVES, UNLABELLED, THRESHOLD = 1 << 18, 6_000, 18_000, 0.3
 #: A bucket has a weight if so many toxic documents have it, and its shares lie so many standard errors apart.
@@ -194,7 +194,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
     """All columns of ``docs`` with ``score`` (which replaces a column of that name)."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
-    own = [c for c in docs.columns if c != "score"]
+    own = others(docs, ("score",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
