@@ -45,6 +45,7 @@ def _all() -> dict[str, Builtin]:
     add("anyAtomicType", "anySimpleType", "anySimpleType", space="preserve")
     for name, space, pattern in (
         ("string", "preserve", None), ("boolean", "collapse", "true|false|1|0"), ("decimal", "collapse", r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"),
+        ("precisionDecimal", "collapse", r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?INF|NaN"),
         ("float", "collapse", r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|-?INF|NaN"), ("double", "collapse", r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|-?INF|NaN"),
         ("duration", "collapse", rf"-?P(?=[0-9T]){_YM}{_DT}"), ("dateTime", "collapse", rf"{_YEAR}-{_MONTH}-{_DAY}T{_CLOCK}{_TZ}"), ("time", "collapse", _CLOCK + _TZ),
         ("date", "collapse", rf"{_YEAR}-{_MONTH}-{_DAY}{_TZ}"), ("gYearMonth", "collapse", rf"{_YEAR}-{_MONTH}{_TZ}"), ("gYear", "collapse", _YEAR + _TZ),
@@ -85,6 +86,11 @@ def _all() -> dict[str, Builtin]:
 
 
 BUILTINS = _all()
+#: Values that one version of XSD has and the other lacks, by primitive: 1.1 adds the first, 1.0 lacks the second.
+ADDED_IN_11 = {"float": r"\+INF", "double": r"\+INF"}
+MISSING_IN_10 = {k: "-?0000(?![0-9])" for k in ("dateTime", "date", "gYearMonth", "gYear")}
+ORDERED = frozenset({"decimal", "precisionDecimal", "float", "double", "duration", "dateTime", "time", "date", "gYear", "gYearMonth", "gMonth", "gDay", "gMonthDay"})
+TEMPORAL = frozenset({"dateTime", "time", "date", "gYear", "gYearMonth", "gMonth", "gDay", "gMonthDay"})
 
 
 def ancestors(name: str) -> list[str]:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.builtins import XSD
 from ..functions.facets import Simple
-from ..plans.automata import children
-from ..plans.schema import Complex, Name, SchemaSet
-from .validator import Validator, decode as fold
+from ..plans.automata import automaton, children
+from ..plans.schema import Complex, Name, SchemaSet, Wildcard
+from .validator import Events, Rows, Shape, Validator, clark
 
 REPORT = "valid boolean, n_errors int, diagnostics array<struct<code:string,message:string,line:int,severity:string>>"
 EVENT = ("seq long, depth int, kind string, path array<string>, ns string, local string, type string, nil boolean, "
@@ -25,52 +26,53 @@ def _kinds(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def validate(df: DataFrame, schemas: SchemaSet, xml_col: str = "xml") -> DataFrame:
     """Each row with ``valid``, ``n_errors`` and ``diagnostics``; the XML column (text or bytes) goes.  A null is malformed."""
     shared = df.sparkSession.sparkContext.broadcast(schemas.serialize())
     own = [c for c in df.columns if c not in (xml_col, "valid", "n_errors", "diagnostics")]
     schema = ", ".join(x for x in (_kinds(df.select(*own)), REPORT) if x)
-    kind = _arrow(REPORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Validator(SchemaSet.deserialize(shared.value), events=False)
+        v = Validator(SchemaSet.deserialize(shared.value))
         for batch in batches:
-            out = []
-            for x in batch.column(xml_col):
-                diags, _ = v.run(x.as_py())
-                errors = sum(d[3] == "error" for d in diags)
-                out.append({"valid": errors == 0, "n_errors": errors, "diagnostics": [dict(zip(("code", "message", "line", "severity"), d, strict=True)) for d in diags]})
-            told = pa.RecordBatch.from_pylist(out, schema=kind)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in own} | {c: told.column(c) for c in kind.names})
+            found = [v.run(x) for x in batch.column(xml_col).to_pylist()]
+            errors = [sum(d[3] == "error" for d in x) for x in found]
+            flat = [d for x in found for d in x]
+            parts = list(zip(*flat, strict=True)) or [()] * 4
+            ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+            inner = pa.StructArray.from_arrays([pa.array(p, k) for p, k in zip(parts, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["code", "message", "line", "severity"])
+            told = {"valid": pa.array([n == 0 for n in errors], pa.bool_()), "n_errors": pa.array(errors, pa.int32()), "diagnostics": pa.ListArray.from_arrays(ends, inner)}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in own} | told)
 
     return df.select(*own, xml_col).mapInArrow(run, schema)
 
 
-def events(df: DataFrame, schemas: SchemaSet, id_col: str, xml_col: str = "xml", most: int | None = None) -> DataFrame:
-    """The typed events of all documents, each with its document's id; ``most`` ends a document early."""
+def events(df: DataFrame, schemas: SchemaSet, id_col: str, xml_col: str = "xml", most: int | None = None, columns: tuple[str, ...] = Events.NAMES) -> DataFrame:
+    """The typed events of all documents, each with its document's id.
+
+    ``most`` ends a document's parse after so many events; only ``columns`` are made, as a worker does not see which of them
+    a query goes on to read."""
     shared = df.sparkSession.sparkContext.broadcast(schemas.serialize())
     id_kind = _kinds(df.select(id_col))
-    kind = _arrow(f"{id_kind}, {EVENT}")
+    kinds = {x.split(" ")[0]: x for x in re.split(r", (?=[a-z_]+ )", EVENT)}
+    columns = tuple(c for c in Events.NAMES if c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Validator(SchemaSet.deserialize(shared.value))
+        sink = Events(columns, most)
+        v = Validator(SchemaSet.deserialize(shared.value), sink)
         for batch in batches:
-            rows: list[dict] = []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [e | {id_col: i} for e in v.run(x.as_py())[1][:most]]
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+            ids, counts, lo = batch.column(0), [], 0
+            for i, x in enumerate(batch.column(1)):
+                sink.document()
+                v.run(x.as_py())
+                counts.append(len(sink.rows) - sink.first)
+                if len(sink.rows) >= 50_000 or i + 1 == len(batch):
+                    index = pa.array(np.repeat(np.arange(lo, i + 1), counts))
+                    yield pa.RecordBatch.from_pydict({id_col: ids.take(index)} | sink.arrays(v))
+                    sink.clear()
+                    counts, lo = [], i + 1
 
-    return df.select(id_col, xml_col).mapInArrow(run, f"{id_kind}, {EVENT}")
+    return df.select(id_col, xml_col).mapInArrow(run, ", ".join([id_kind, *(kinds[c] for c in columns)]))
 
 
 def _spark(t: Simple) -> str:
@@ -80,63 +82,84 @@ def _spark(t: Simple) -> str:
     return "string" if kind.startswith(("array", "binary")) else kind  # lists and bytes stay canonical text
 
 
-def shape(schemas: SchemaSet, root: Name, deepest: int = 8) -> tuple[dict, str]:
-    """(fold shape, Spark type) that a schema fixes for a root element: children that can repeat are arrays, attributes are
-    ``@name``, text beside them is ``$``; below ``deepest`` levels (recursive types) the type is a string of JSON."""
+def shape(schemas: SchemaSet, root: Name, deepest: int = 8) -> tuple[Shape, str]:
+    """(columns to fold into, Spark type) that a schema fixes for a root element: children that can repeat are arrays,
+    attributes are ``@name``, text beside them is ``$``; names are local ones unless two of a type's differ by namespace only.
+    Children that a wildcard admits are JSON texts in the map ``*``, by Clark name.  Below ``deepest`` levels (recursive
+    types), and for anyType, the type is a string of JSON."""
 
-    def of(t: object, depth: int) -> tuple[dict, str]:
+    def of(t: object, depth: int) -> tuple[Shape, str]:
         simple = schemas.simple_of(t)
         if isinstance(t, Simple):
-            return {"scalar": True}, _spark(t)
+            return Shape("scalar"), _spark(t)
         uses, _ = schemas.attributes_of(t)
-        fields = [(f"@{n[1]}", _spark(schemas.simple_of(schemas.type_of(a.type)) or Simple())) for n, a in uses.items()]
-        if simple is not None:
-            return ({}, _struct([*fields, ("$", _spark(simple))])) if fields else ({"scalar": True}, _spark(simple))
+        if simple is not None and not uses:
+            return Shape("scalar"), _spark(simple)
         if depth >= deepest or t.name == (XSD, "anyType"):
-            return {"raw": True}, "string"
-        inner: dict[str, dict] = {}
-        for n, repeats, _ in children(schemas, t):
+            return Shape("raw"), "string"
+        out = Shape("struct")
+        alike = _ambiguous(uses)
+        for n, a in uses.items():
+            out.attributes[clark(n)] = out.field("@" + (clark(n) if n[1] in alike else n[1]), _spark(schemas.simple_of(schemas.type_of(a.type)) or Simple()))
+        if simple is not None:
+            out.text = out.field("$", _spark(simple))
+            return out, out.spark()
+        found = children(schemas, t)
+        alike = _ambiguous(n for n, _, _ in found)
+        for n, repeats, _ in found:
             own, kind = of(schemas.type_of(_declared(schemas, t, n)), depth + 1)
-            inner[n[1]] = own | {"repeats": repeats}
-            fields.append((n[1], f"array<{kind}>" if repeats else kind))
+            at = out.field(clark(n) if n[1] in alike else n[1], f"array<{kind}>" if repeats else kind)
+            out.children[f"{n[0]} {n[1]}" if n[0] else n[1]] = (at, own, repeats)
         if schemas.mixed(t):
-            fields.append(("$", "string"))
-        return {"children": inner}, _struct(fields)
+            out.text = out.field("$", "string")
+        if t.open or any(isinstance(x, Wildcard) for x in automaton(schemas, t).terms):
+            out.extra = out.field("*", "map<string,array<string>>")
+        return (out, out.spark()) if out.names else (Shape("raw"), "string")
 
     return of(schemas.type_of(schemas.elements[root].type), 0)
 
 
-def _declared(schemas: SchemaSet, t: Complex, name: Name) -> object:
-    from ..plans.automata import automaton
-
-    return next((m[name].type for m in automaton(schemas, t).names if m.get(name) is not None), None)
+def _ambiguous(names: Iterable[Name]) -> set[str]:
+    """Local names that come in two namespaces."""
+    locals_ = [n[1] for n in dict.fromkeys(names)]
+    return {x for x in locals_ if locals_.count(x) > 1}
 
 
-def _struct(fields: list[tuple[str, str]]) -> str:
-    return "struct<" + ",".join(f"`{n}`:{k}" for n, k in fields) + ">" if fields else "string"
+def _declared(schemas: SchemaSet, t: Complex, name: Name) -> object:
+    return next((m[name].type for m in automaton(schemas, t).names if m.get(name) is not None), None)
 
 
-def decode(df: DataFrame, schemas: SchemaSet, root: Name, xml_col: str = "xml") -> DataFrame:
-    """Each row with ``decoded``, of the type the schema fixes, and ``valid``.  Values are cast on the JVM from canonical forms."""
-    fold_by, kind = shape(schemas, root)
-    shared = df.sparkSession.sparkContext.broadcast((schemas.serialize(), fold_by))
+def decode(df: DataFrame, schemas: SchemaSet, root: Name, xml_col: str = "xml", mode: str = "PERMISSIVE") -> DataFrame:
+    """Each row with ``decoded``, of the type the schema fixes, and ``valid``.  Workers fold documents into Arrow columns of
+    canonical text; one cast on the JVM gives values their types.  A document that is no XML, or has another root, is null;
+    with ``mode`` FAILFAST the first invalid one ends the job."""
+    if mode not in ("PERMISSIVE", "FAILFAST"):
+        raise ValueError(mode)
+    fold_, kind = shape(schemas, root)
+    plain = fold_.plain()
+    shared = df.sparkSession.sparkContext.broadcast(schemas.serialize())
     own = [c for c in df.columns if c not in (xml_col, "decoded", "valid")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, shape_ = Validator(SchemaSet.deserialize(shared.value[0])), shared.value[1]
+        s = SchemaSet.deserialize(shared.value)
+        fold, _ = shape(s, root)
+        sink = Rows(f"{root[0]} {root[1]}" if root[0] else root[1], fold)
+        v = Validator(s, sink)
         for batch in batches:
-            text, valid = [], []
-            for x in batch.column(xml_col):
-                diags, found = v.run(x.as_py())
-                ok = not any(d[3] == "error" for d in diags)
-                valid.append(ok)
-                text.append(json.dumps(fold(found, shape_)) if found and not any(d[0] == "XSD1001" for d in diags) else None)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in own} | {"_json": pa.array(text, pa.string()), "valid": pa.array(valid, pa.bool_())})
-
-    out = df.select(*own, xml_col).mapInArrow(run, ", ".join(x for x in (_kinds(df.select(*own)), "_json string, valid boolean") if x))
-    # values are text in the JSON; one cast of the whole shape gives them their types
-    plain = re.sub(r":(?!struct<|array<)[a-z]+(?:\([0-9,]+\))?", ":string", kind)
-    return out.withColumn("decoded", F.from_json("_json", re.sub(r"array<(?!struct<|array<)[a-z]+(?:\([0-9,]+\))?>", "array<string>", plain)).cast(kind)).drop("_json") if kind.startswith("struct") else out.withColumnRenamed("_json", "decoded")
+            valid = []
+            for x in batch.column(xml_col).to_pylist():
+                sink.document()
+                diags = v.run(x)
+                valid.append(not any(d[3] == "error" for d in diags))
+                if not valid[-1] and mode == "FAILFAST":
+                    raise ValueError(f"an invalid document: {diags[0][0]}: {diags[0][1]}")
+                if any(d[0] in ("XSD1001", "XSD1006", "XSD1007") for d in diags):
+                    sink.found[-1] = None
+            decoded = fold.array().take(pa.array(sink.found, pa.int32())) if fold.kind == "struct" else pa.array(sink.found, pa.string())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in own} | {"decoded": decoded, "valid": pa.array(valid, pa.bool_())})
+            sink.clear()
+
+    out = df.select(*own, xml_col).mapInArrow(run, ", ".join(x for x in (_kinds(df.select(*own)), f"decoded {plain}, valid boolean") if x))
+    return out.withColumn("decoded", F.col("decoded").cast(kind))
 
 
 def diagnostics(report: DataFrame) -> DataFrame:
@@ -147,8 +170,6 @@ def diagnostics(report: DataFrame) -> DataFrame:
 
 def accepts(df: DataFrame, schemas: SchemaSet, type_name: Name, names_col: str, out: str = "accepted") -> DataFrame:
     """Whether a type's content model accepts each row's array of child names (local, or Clark)."""
-    from ..plans.automata import automaton
-
     shared, own = df.sparkSession.sparkContext.broadcast(schemas.serialize()), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

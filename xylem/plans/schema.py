@@ -108,6 +108,7 @@ class Wildcard:
     spaces: tuple[str | None, ...] = ()
     process: str = "strict"
     not_names: tuple[Name, ...] = ()
+    deny: tuple[str, ...] = ()  # "defined", "sibling": names that have such a declaration
 
     def admits(self, name: Name) -> bool:
         if name in self.not_names:
@@ -124,7 +125,7 @@ class Wildcard:
             mode, spaces = "not", a & b
         else:
             mode, spaces = "not", (a - b if self.mode == "not" else b - a)
-        return Wildcard(mode, tuple(sorted(spaces, key=str)), self.process, tuple(n for n in self.not_names if n in other.not_names))
+        return Wildcard(mode, tuple(sorted(spaces, key=str)), self.process, tuple(n for n in self.not_names if not other.admits(n)) + tuple(n for n in other.not_names if n not in self.not_names and not self.admits(n)), tuple(x for x in self.deny if x in other.deny))
 
     def intersect(self, other: Wildcard) -> Wildcard:
         a, b = set(self.spaces), set(other.spaces)
@@ -136,7 +137,7 @@ class Wildcard:
             mode, spaces = self.mode, (a & b if self.mode == "in" else a | b)
         else:
             mode, spaces = "in", (a - b if self.mode == "in" else b - a)
-        return Wildcard(mode, tuple(sorted(spaces, key=str)), self.process, tuple(dict.fromkeys(self.not_names + other.not_names)))
+        return Wildcard(mode, tuple(sorted(spaces, key=str)), self.process, tuple(dict.fromkeys(self.not_names + other.not_names)), tuple(dict.fromkeys(self.deny + other.deny)))
 
     def subset_of(self, other: Wildcard) -> bool:
         if other.mode == "any":
@@ -275,7 +276,7 @@ class SchemaSet:
             return cls.load((f.read(), path), **options)
 
     def serialize(self) -> bytes:
-        return b"XYLEM" + bytes([VERSION]) + pickle.dumps(self.__dict__)
+        return b"XYLEM" + bytes([VERSION]) + pickle.dumps({k: v for k, v in self.__dict__.items() if k != "_automata"})
 
     @classmethod
     def deserialize(cls, data: bytes) -> SchemaSet:
@@ -327,6 +328,18 @@ class SchemaSet:
             return not b.patterns and not b.facets and b.builtin in ancestors(a.builtin) and not a.members and not a.item
         return False
 
+    def derives_unblocked(self, a: object, b: object, block: tuple[str, ...]) -> bool:
+        """Whether no step from type a to its base b is by a blocked method."""
+        while a is not b and isinstance(a, Complex):
+            if a.derivation in block:
+                return False
+            a = self.type_of(a.base)
+        return a is b or "restriction" not in block
+
+    def related(self, a: object, b: object) -> bool:
+        """Whether one type is the other or derived from it."""
+        return a is b or self.derives_from(a, b) or self.derives_from(b, a)
+
     def attributes_of(self, t: Complex) -> tuple[dict[Name, Attribute], Wildcard | None]:
         """Attribute uses in force, and the attribute wildcard; groups expanded, bases inherited."""
         uses: dict[Name, Attribute] = {}
@@ -382,7 +395,9 @@ class SchemaSet:
         out = [] if e is not None and e.abstract else [head]
         if e is None or "substitution" in e.block:
             return out
-        return out + [m for m in self.substitutes.get(head, []) if not self.elements[m].abstract]
+        base = self.type_of(e.type)
+        block = e.block + (base.block if isinstance(base, Complex) else ())
+        return out + [m for m in self.substitutes.get(head, []) if not self.elements[m].abstract and self.derives_unblocked(self.type_of(self.elements[m].type), base, block)]
 
 
 def id_of(t: Simple) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexical
-from .functions.facets import Simple, check, member
+from .functions.facets import Simple, member, with_check
 from .operators import catalog, documents, keys
 from .plans.schema import SchemaSet, Wildcard
 from .sources import xml
@@ -82,7 +82,7 @@ def decode_repeats_empty(spark, d):
 @query("""WITH c AS (SELECT count(*) AS o, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS l FROM orders)
 SELECT kind, CASE kind WHEN 'text' THEN o + 3 * l ELSE 2 * o + 4 * l END::BIGINT AS n FROM c, (VALUES ('start'), ('text'), ('end')) v(kind)""")
 def psvi_event_counts(spark, d):
-    return documents.events(orders(spark, d), order_schema(), "o_orderkey").groupBy("kind").agg(F.count("*").alias("n"))
+    return documents.events(orders(spark, d), order_schema(), "o_orderkey", columns=("kind",)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_orderkey % 7 AS k, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)
@@ -137,7 +137,7 @@ def xsi_type_dispatch(spark, d):
 
 
 def facet(spark: SparkSession, d: str, name: str, c: Column, simple: Simple) -> DataFrame:
-    return t(spark, d, name).groupBy(F.coalesce(check(c, simple), F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+    return with_check(t(spark, d, name), c, simple, "outcome").groupBy(F.coalesce("outcome", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query(r"SELECT CASE WHEN regexp_full_match(p_brand, 'Brand#[1-3][0-9]') THEN 'ok' ELSE 'pattern' END AS outcome, count(*)::BIGINT AS n FROM part GROUP BY 1")
