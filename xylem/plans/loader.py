@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from ..functions.builtins import BUILTINS, XSD
 from ..functions.facets import Simple
+from . import rules
 from .schema import (
-    FACETS, UNBOUNDED, Attribute, Complex, Declared, Diagnostic, Element, Group, GroupRef, Identity, Name, Node, Particle, SchemaError, SchemaSet, Wildcard, check_pattern, id_of, parse,
+    FACETS, UNBOUNDED, Attribute, Complex, Declared, Diagnostic, Element, Group, GroupRef, Identity, Name, Node, Particle, SchemaError, SchemaSet, Wildcard, check_pattern, id_of, parse, unknown_blocks,
 )
 
 TOP = {"element": "elements", "attribute": "attributes", "complexType": "types", "simpleType": "types", "group": "groups", "attributeGroup": "attribute_groups", "notation": "notations"}
 _COMPOSE = ("include", "import", "redefine", "override")
-_ORDERED = {"decimal", "float", "double", "duration", "dateTime", "time", "date", "gYear", "gYearMonth", "gMonth", "gDay", "gMonthDay"}
 
 
 class Loader:
@@ -34,6 +34,11 @@ class Loader:
         if (root.ns, root.tag) != (XSD, "schema"):
             self.out.diagnostics.append(Diagnostic("XSD1002", "the root is not xs:schema", uri=uri, line=root.line))
             return
+        if not rules.included(root, self.out.version):
+            root.children = []
+        rules.prune(root, self.out.version)
+        for code, message, node, severity in rules.written(root, self.out.version):
+            self.out.diagnostics.append(Diagnostic(code, message, severity, uri, node.line))
         target = root.get("targetNamespace")
         if how == "import" and target != expected:
             self.out.diagnostics.append(Diagnostic("XSD1103", f"{uri} has the namespace {target}", uri=uri, line=root.line))
@@ -45,8 +50,14 @@ class Loader:
         if (uri, target) in self.seen and not replace:
             return
         self.seen.add((uri, target))
-        before = getattr(self, "uri", None), getattr(self, "target", None), getattr(self, "root", None), getattr(self, "absorbed", False)
-        self.uri, self.target, self.root, self.absorbed = uri, target, root, absorbed
+        before = getattr(self, "uri", None), getattr(self, "target", None), getattr(self, "root", None), getattr(self, "absorbed", False), getattr(self, "opened", None), getattr(self, "given", None)
+        self.uri, self.target, self.root, self.absorbed, self.opened, self.given = uri, target, root, absorbed, None, None
+        if self.out.version == "1.1":
+            if root.get("defaultAttributes"):
+                self.given = self.name(root, root.get("defaultAttributes"), "attribute_groups")
+            for c in root.xs("defaultOpenContent"):
+                if c.xs("any"):
+                    self.opened = (c.get("mode", "interleave"), self.wildcard(c.xs("any")[0]), c.get("appliesToEmpty") in ("true", "1"))
         self.out.documents.append({"uri": uri, "target_ns": target, "chameleon": absorbed, "version": root.get("version")})
         for c in root.xs(*_COMPOSE):
             self.compose(c)
@@ -60,9 +71,9 @@ class Loader:
             elif c.tag in _COMPOSE:
                 if body:
                     self.say("XSD1003", f"xs:{c.tag} after a declaration", c)
-            elif c.tag not in ("defaultOpenContent",):
+            elif c.tag not in ("defaultOpenContent",) and c.tag in rules.KNOWN:
                 self.say("XSD1003", f"xs:{c.tag} is no schema element here", c)
-        self.uri, self.target, self.root, self.absorbed = before
+        self.uri, self.target, self.root, self.absorbed, self.opened, self.given = before
 
     def compose(self, c: Node) -> None:
         place = c.get("schemaLocation")
@@ -83,12 +94,19 @@ class Loader:
         self.document(data, uri, self.target, None, c.tag, replace if c.tag == "override" else None)
         if c.tag == "redefine":
             for n in c.xs(*TOP):
-                self.redefine(n)
+                if n.tag in ("simpleType", "complexType", "group", "attributeGroup"):
+                    self.redefine(n)
+                else:
+                    self.say("XSD1003", f"xs:{n.tag} can't be redefined", n)
 
     def redefine(self, n: Node) -> None:
         """The new component takes the name; its references to itself mean the old one, which gets a name of its own."""
         name, space = (self.target, n.get("name")), getattr(self.out, TOP[n.tag])
         old = space.pop(name, None)
+        if old is None:
+            self.say("XSD1201", f"{name[1]} is redefined and not defined", n)
+        elif isinstance(old, Complex) != (n.tag == "complexType") and n.tag in ("simpleType", "complexType"):
+            self.say("XSD1003", f"{name[1]} is redefined as another kind", n)
         if old is not None:
             aside = (self.target, f"{name[1]} (redefined)")
             space[aside] = old
@@ -105,9 +123,10 @@ class Loader:
         full = (self.target, name)
         space = getattr(self.out, TOP[n.tag])
         if full in space:
-            self.say("XSD1202", f"{name} is declared twice", n)
+            if full[0] not in (XSD, "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2001/XMLSchema-instance"):  # what is known beforehand stays as it is
+                self.say("XSD1202", f"{name} is declared twice", n)
             return
-        self.annotated(n, name)
+        self.annotated(n, name, (TOP[n.tag], full))
         if n.tag == "element":
             space[full] = self.element(n, True)
         elif n.tag == "attribute":
@@ -118,8 +137,6 @@ class Loader:
             space[full] = self.simple(n, full)
         elif n.tag == "group":
             body = n.xs("sequence", "choice", "all")
-            if len(body) != 1:
-                self.say("XSD1009", "a group has one compositor", n)
             space[full] = self.group(body[0]) if body else Group("sequence")
         elif n.tag == "attributeGroup":
             space[full] = self.uses(n)
@@ -146,16 +163,16 @@ class Loader:
         own = n.get("form") or self.root.get(f"{form}FormDefault", "unqualified")
         return (n.get("targetNamespace") or (self.target if own == "qualified" else None), n.get("name") or "")
 
-    def annotation(self, n: Node, owner: str) -> None:
-        for d in n.xs("documentation"):
-            self.out.annotations.append((owner, d.text.strip()))
+    def annotation(self, n: Node, owner: str, key: tuple | None = None) -> None:
+        own = [d.text.strip() for d in n.xs("documentation")]
+        self.out.annotations += [(owner, d) for d in own]
+        info = [(x.get("source"), "".join(p if isinstance(p, str) else verbatim(p, True) for p in x.parts)) for x in n.xs("appinfo")]
+        if key is not None:
+            self.out.docs[key] = {"doc": "\n\n".join(own) if own else None, "appinfo": info}
 
-    def annotated(self, n: Node, owner: str) -> None:
-        own = [i for i, c in enumerate(n.xs()) if c.tag == "annotation"]
-        for i in own:
-            if i > 0:
-                self.say("XSD1008", "an annotation comes first, and once", n)
-            self.annotation(n.xs()[i], owner)
+    def annotated(self, n: Node, owner: str, key: tuple | None = None) -> None:
+        for c in n.xs("annotation"):
+            self.annotation(c, owner, key)
 
     def occurs(self, n: Node) -> tuple[int, int]:
         out = []
@@ -182,21 +199,17 @@ class Loader:
         inline = n.xs("simpleType", "complexType")
         if n.get("type") and inline:
             self.say("XSD1303", "an element has a type attribute and an inline type", n)
-        if n.get("default") is not None and n.get("fixed") is not None:
-            self.say("XSD1005", "default and fixed exclude each other", n)
         kind = self.name(n, n.get("type"), "types") if n.get("type") else (self.simple(inline[0], None) if inline[0].tag == "simpleType" else self.complex(inline[0], None)) if inline else None
         heads = tuple(self.name(n, h, "elements") for h in (n.get("substitutionGroup") or "").split())
         name = (self.target, n.get("name")) if top else self.local(n, "element")
         keys = [self.identity(k) for k in n.xs("unique", "key", "keyref")]
         true = lambda k: n.get(k) in ("true", "1")
-        return Element(name, kind, true("nillable"), true("abstract"), n.attrs.get("default"), n.attrs.get("fixed"), heads, keys, self.flags(n, "block"), top)
+        return Element(name, kind, true("nillable"), true("abstract"), n.attrs.get("default"), n.attrs.get("fixed"), heads, keys, self.flags(n, "block"), top, self.flags(n, "final"))
 
     def attribute(self, n: Node, top: bool) -> Attribute:
         if n.get("ref"):
             return Attribute(self.name(n, n.get("ref"), "attributes"), "ref", n.get("use", "optional"), n.attrs.get("default"), n.attrs.get("fixed"))
         inline = n.xs("simpleType")
-        if n.get("default") is not None and (n.get("fixed") is not None or n.get("use", "optional") == "required"):
-            self.say("XSD1005", "a default does not go with fixed or required", n)
         kind = self.name(n, n.get("type"), "types") if n.get("type") else self.simple(inline[0], None) if inline else (XSD, "anySimpleType")
         return Attribute((self.target, n.get("name")) if top else self.local(n, "attribute"), kind, n.get("use", "optional"), n.attrs.get("default"), n.attrs.get("fixed"))
 
@@ -211,17 +224,22 @@ class Loader:
         return out, self.wildcard(wild[0]) if wild else None
 
     def wildcard(self, n: Node) -> Wildcard:
-        spaces = (n.get("namespace") or "##any").split()
-        process = n.get("processContents", "strict")
-        deny = tuple(self.name(n, x, "none") for x in (n.get("notQName") or "").split() if not x.startswith("##"))
+        # an absent processContents is lax, not the Recommendation's strict
+        spaces, process = n.get("namespace", "##any").split(), n.get("processContents", "lax")
+        asked = (n.get("notQName") or "").split()
+        deny = tuple(self.name(n, x, "none") for x in asked if not x.startswith("##"))
+        flags = tuple({"##defined": "defined", "##definedSibling": "sibling"}[x] for x in asked if x in ("##defined", "##definedSibling"))
+        bad = [x for x in asked if x.startswith("##") and x not in ("##defined", "##definedSibling")] + [x for x in [*spaces, *(n.get("notNamespace") or "").split()] if x.startswith("##") and x not in ("##targetNamespace", "##local") and not (len(spaces) == 1 and x in ("##any", "##other"))]
+        if bad:
+            self.say("XSD1005", f"xs:{n.tag} has {bad[0]}", n)
         one = lambda s: {"##targetNamespace": self.target, "##local": None}.get(s, s)
         if n.get("notNamespace") is not None:
-            return Wildcard("not", tuple(map(one, n.get("notNamespace").split())), process, deny)
+            return Wildcard("not", tuple(map(one, n.get("notNamespace").split())), process, deny, flags)
         if spaces == ["##any"]:
-            return Wildcard("any", (), process, deny)
+            return Wildcard("any", (), process, deny, flags)
         if spaces == ["##other"]:
-            return Wildcard("not", (self.target, None) if self.target else (None,), process, deny)
-        return Wildcard("in", tuple(map(one, spaces)), process, deny)
+            return Wildcard("not", (self.target, None) if self.target else (None,), process, deny, flags)
+        return Wildcard("in", tuple(map(one, spaces)), process, deny, flags)
 
     def group(self, n: Node) -> Group:
         out = Group(n.tag)
@@ -229,8 +247,8 @@ class Loader:
             out.items.append(self.particle(c))
             if n.tag == "all" and c.tag == "element" and self.out.version == "1.0" and out.items[-1].high not in (0, 1):
                 self.say("XSD1302", "a member of xs:all occurs once at most", c)
-            if c.tag == "all" or n.tag == "all" and c.tag in ("sequence", "choice"):
-                self.say("XSD1302", "xs:all stands alone", c)
+            if n.tag == "all" and c.tag in ("sequence", "choice"):
+                self.say("XSD1302", "xs:all holds no other compositor", c)
         return out
 
     def particle(self, n: Node) -> Particle:
@@ -267,14 +285,20 @@ class Loader:
                 if body.tag == "restriction" and body.xs(*FACETS) or body.xs("simpleType"):
                     out.simple = self.restriction(body, None, self.simple(body.xs("simpleType")[0], None) if body.xs("simpleType") else ("content", out.base))
                 return out
+        groups = body.xs("sequence", "choice", "all", "group")
         opened = body.xs("openContent")
         if opened and opened[0].get("mode") != "none" and opened[0].xs("any"):
             out.open = (opened[0].get("mode", "interleave"), self.wildcard(opened[0].xs("any")[0]))
-        groups = body.xs("sequence", "choice", "all", "group")
+        elif not opened and self.opened and (groups or mixed or self.opened[2]):
+            out.open = self.opened[:2]
+        if self.out.version == "1.0":
+            out.open = None
         if groups:
             out.particle = self.particle(groups[0])
         out.content = "mixed" if mixed else "elements" if groups or out.derivation == "extension" else "empty"
         out.attributes, out.any_attribute = self.uses(body)
+        if self.given is not None and n.get("defaultAttributesApply") not in ("false", "0"):
+            out.attributes.append(self.given)
         return out
 
     def simple(self, n: Node, name: Name | None) -> Declared:
@@ -300,12 +324,14 @@ class Loader:
                     self.say("XSD1306", f"the pattern {v}: {why}", f)
                 else:
                     out.patterns.append(v)
+                    for x in unknown_blocks(v):
+                        self.say("XSD1104", f"the block {x} is not known, and stands for any character", f, "warning")
             elif f.tag == "enumeration":
                 out.facets.setdefault("enumeration", []).append(v)
             elif f.tag in out.facets:
                 self.say("XSD1307", f"{f.tag} comes twice", f)
-            elif f.tag in ("length", "minLength", "maxLength", "totalDigits", "fractionDigits"):
-                if v.strip().isdigit():
+            elif f.tag in ("length", "minLength", "maxLength", "totalDigits", "fractionDigits", "minScale", "maxScale"):
+                if v.lstrip("-" if f.tag.endswith("Scale") else "").isdigit():
                     out.facets[f.tag] = int(v)
                 else:
                     self.say("XSD1005", f"{f.tag} is {v}", f)
@@ -315,28 +341,56 @@ class Loader:
         for a, b in (("minInclusive", "minExclusive"), ("maxInclusive", "maxExclusive")):
             if a in own and b in own:
                 self.say("XSD1307", f"{a} beside {b}", s)
-        if own.get("minLength", 0) > own.get("maxLength", 2**63):
-            self.say("XSD1307", "minLength is above maxLength", s)
         return out
 
     def identity(self, n: Node) -> Identity:
+        if n.get("ref") and self.out.version == "1.1":
+            return Identity(n.tag, self.name(n, n.get("ref"), "identities"), [], [], ("ref", ""))
         name = (self.target, n.get("name") or "")
-        paths = lambda x: [[self.step(x, p) for p in alt.strip().replace(".//", "**/").replace("./", "").split("/") if p != "."] for alt in (x.get("xpath") or "").split("|")]
+        if not n.get("name"):
+            self.say("XSD1004", f"xs:{n.tag} without a name", n)
+        if n.tag == "keyref" and not n.get("refer"):
+            self.say("XSD1004", "a keyref without refer", n)
         select = n.xs("selector")
         if not select or not n.xs("field"):
             self.say("XSD1009", "an identity constraint has a selector and fields", n)
-        out = Identity(n.tag, name, paths(select[0]) if select else [], [paths(f) for f in n.xs("field")], self.name(n, n.get("refer"), "identities") if n.get("refer") else None)
+        out = Identity(n.tag, name, self.xpath(select[0], False) if select else [], [self.xpath(f, True) for f in n.xs("field")], self.name(n, n.get("refer"), "identities") if n.get("refer") else None)
         if name in self.idents:
             self.say("XSD1202", f"{name[1]} is declared twice", n)
         self.idents[name] = out
         return out
 
-    def step(self, n: Node, p: str) -> str:
-        p = p.strip().replace("child::", "").replace("attribute::", "@")
-        at, p = ("@", p[1:].strip()) if p.startswith("@") else ("", p)
-        prefix, _, local = p.rpartition(":")
-        space = n.scope.get(prefix) if prefix else None
-        return at + (f"{{{space}}}{local}" if space else local)
+    def xpath(self, n: Node, is_field: bool) -> list[list[str]]:
+        """The alternatives of a selector or field, as steps: names in Clark form, ``*``, ``{ns}*``, ``**`` for any depth, and
+        in fields a last ``@name``."""
+        text = n.get("xpath")
+        if text is None:
+            self.say("XSD1004", f"xs:{n.tag} without an xpath", n)
+            return []
+        default = n.get("xpathDefaultNamespace") or self.root.get("xpathDefaultNamespace") if self.out.version == "1.1" else None
+        default = {"##defaultNamespace": n.scope.get("") or None, "##targetNamespace": self.target, "##local": None}.get(default, default)
+        out = []
+        for alternative in text.split("|"):
+            a = "".join(alternative.split())
+            deep = a.startswith(".//")
+            steps = ["**"] if deep else []
+            parts = [p for p in a.removeprefix(".//").split("/") if p != "."] if a != "." else []
+            for i, p in enumerate(parts):
+                p = p.removeprefix("child::")
+                at = p.startswith("@") or p.startswith("attribute::")
+                p = p.removeprefix("attribute::").removeprefix("@")
+                prefix, _, local = p.rpartition(":")
+                fine = (local == "*" or rules._NCNAME.match(local)) and (not prefix or rules._NCNAME.match(prefix)) and (not at or is_field and i + 1 == len(parts))
+                if not fine:
+                    self.say("XSD1005", f"the path {text!r}", n)
+                    break
+                space = n.scope.get(prefix) if prefix else None if at or local == "*" else default
+                if prefix and space is None:
+                    self.say("XSD1201", f"the prefix {prefix} is not bound", n)
+                steps.append("@" * at + (f"{{{space}}}{local}" if space else local))
+            else:
+                out.append(steps)
+        return out
 
     # -- after all documents ------------------------------------------------------------------------
 
@@ -348,7 +402,7 @@ class Loader:
             if kind in spaces and full not in spaces[kind]:
                 out.diagnostics.append(Diagnostic("XSD1201", f"nothing of {kind} is named {full[1]} in {full[0]}", "warning" if lax else "error", uri, line))
         self.uri = None
-        out.simple_base = {}
+        declared = {n: t for n, t in out.types.items() if isinstance(t, Declared)}
         done: dict[int, Simple] = {}
         for full, t in list(out.types.items()):
             if isinstance(t, Declared):
@@ -377,14 +431,27 @@ class Loader:
                     reached.append(m)
                     todo += direct.get(m, [])
             out.substitutes[head] = reached
+        self.named()
         from .automata import check
 
         for full, t in out.types.items():
             if isinstance(t, Complex) and full[0] != XSD:
                 out.diagnostics += check(out, t)
-                base = out.type_of(t.base)
-                if isinstance(base, Complex) and t.derivation in base.final:
-                    self.say("XSD1309", f"{full[1]}: the base is final")
+        for code, message in (*rules.substitution_cycles(out), *rules.group_cycles(out)):
+            self.say(code, message)
+        for code, message in rules.components(out, declared):
+            self.say(code, message)
+
+    def named(self) -> None:
+        """Identity constraints given by reference are those they name."""
+        def fill(e: Element) -> None:
+            e.keys = [self.idents.get(k.name, k) if k.refer == ("ref", "") else k for k in e.keys]
+
+        for e in self.out.elements.values():
+            fill(e)
+        for t in self.out.types.values():
+            for e in rules._elements(self.out, t.particle) if isinstance(t, Complex) else ():
+                fill(e)
 
     def settle(self, t: Complex, done: dict) -> None:
         if isinstance(t.simple, Declared):
@@ -452,18 +519,8 @@ class Loader:
         return out
 
     def facets(self, t: Declared, base: Simple) -> None:
-        from .values import problem
-
-        primitive = "list" if base.item else "union" if base.members else BUILTINS[base.builtin].primitive
-        sized = primitive in ("string", "anyURI", "hexBinary", "base64Binary", "QName", "NOTATION", "list")
-        for k, v in t.facets.items():
-            fits = {"length": sized, "minLength": sized, "maxLength": sized, "totalDigits": primitive == "decimal", "fractionDigits": primitive == "decimal"}.get(k, True)
-            if k.startswith(("minI", "maxI", "minE", "maxE")):
-                fits = primitive in _ORDERED
-            if not fits:
-                self.say("XSD1305", f"{k} does not apply to {base.name or base.builtin}")
-            elif k.startswith(("minI", "maxI", "minE", "maxE")) and problem(str(v), Simple(base.builtin)) or k == "enumeration" and not base.item and any(problem(str(x), base) for x in v):
-                self.say("XSD1306", f"{k} is not a value of {base.name or base.builtin}")
+        for code, message in rules.facets({k: v for k, v in t.facets.items()}, base, self.out.version):
+            self.out.diagnostics.append(Diagnostic(code, message, "error", None, t.line))
 
     def cycles(self) -> None:
         for full, t in self.out.types.items():
@@ -475,3 +532,14 @@ class Loader:
                     break
                 seen.add(id(t))
                 t = self.out.type_of(t.base)
+
+
+def verbatim(n: Node, top: bool = False) -> str:
+    """An element as text; the namespaces in scope are declared on the outermost."""
+    names = {v: k for k, v in n.scope.items()}
+    tag = f"{names[n.ns]}:{n.tag}" if n.ns and names.get(n.ns) else n.tag
+    escape = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    spaces = "".join(f' xmlns{":" + k if k else ""}="{escape(v)}"' for k, v in sorted(n.scope.items()) if k != "xml" and v) if top else ""
+    own = "".join(f' {(names.get(k[1:].partition("}")[0], "") + ":" + k.partition("}")[2]) if k.startswith("{") else k}="{escape(v)}"' for k, v in n.attrs.items())
+    inner = "".join(escape(p).replace("&quot;", '"') if isinstance(p, str) else verbatim(p) for p in n.parts)
+    return f"<{tag}{spaces}{own}>{inner}</{tag}>" if inner else f"<{tag}{spaces}{own}/>"

@@ -15,9 +15,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
-from ..functions.builtins import BUILTINS, XSD
+from ..functions.builtins import BUILTINS, XSD, XSI
 from ..functions.facets import Simple
-from ..functions.patterns import PatternError, translate
+from ..functions.patterns import PatternError, translate, unknown_blocks
+from .encodings import EncodingProblem, text_of
 
 Name = tuple[str | None, str]
 UNBOUNDED = -1
@@ -48,6 +49,7 @@ class Node:
     line: int
     children: list[Node] = field(default_factory=list)
     text: str = ""
+    parts: list = field(default_factory=list)  # texts and nodes in their order
 
     def get(self, name: str, default: str | None = None) -> str | None:
         v = self.attrs.get(name)
@@ -80,6 +82,8 @@ def parse(data: bytes | str, uri: str, max_depth: int = 256, nodes_limit: int =
         if len(stack) >= max_depth or count > nodes_limit:
             raise SchemaError([Diagnostic("XSD1001", "the document is nested too deeply or too large", uri=uri, line=node.line)])
         (stack[-1].children if stack else root).append(node)
+        if stack:
+            stack[-1].parts.append(node)
         stack.append(node)
 
     def end(_: str) -> None:
@@ -89,10 +93,13 @@ def parse(data: bytes | str, uri: str, max_depth: int = 256, nodes_limit: int =
     def text(data: str) -> None:
         if stack:
             stack[-1].text += data
+            stack[-1].parts.append(data)
 
     p.StartNamespaceDeclHandler, p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = ns, start, end, text
     try:
-        p.Parse(data, True)
+        p.Parse(text_of(data) if isinstance(data, bytes) else data, True)
+    except EncodingProblem as e:
+        raise SchemaError([Diagnostic(e.code, str(e), uri=uri)]) from None
     except expat.ExpatError as e:
         raise SchemaError([Diagnostic("XSD1001", str(e), uri=uri, line=e.lineno)]) from None
     except (LookupError, ValueError) as e:
@@ -159,6 +166,7 @@ class Element:
     keys: list[Identity] = field(default_factory=list)
     block: tuple[str, ...] = ()
     is_global: bool = False
+    final: tuple[str, ...] = ()
 
 
 @dataclass
@@ -228,7 +236,7 @@ class Identity:
     refer: Name | None = None
 
 
-FACETS = ("length", "minLength", "maxLength", "enumeration", "whiteSpace", "minInclusive", "minExclusive", "maxInclusive", "maxExclusive", "totalDigits", "fractionDigits", "pattern", "explicitTimezone", "assertion")
+FACETS = ("length", "minLength", "maxLength", "enumeration", "whiteSpace", "minInclusive", "minExclusive", "maxInclusive", "maxExclusive", "totalDigits", "fractionDigits", "pattern", "explicitTimezone", "minScale", "maxScale", "assertion")
 
 
 class SchemaSet:
@@ -241,6 +249,9 @@ class SchemaSet:
         anything = Complex((XSD, "anyType"), None, content="mixed", particle=Particle(Group("sequence", [Particle(Wildcard(process="lax"), 0, UNBOUNDED)])), any_attribute=Wildcard(process="lax"))
         self.types[(XSD, "anyType")] = anything
         self.attributes: dict[Name, Attribute] = {("http://www.w3.org/XML/1998/namespace", n): Attribute(("http://www.w3.org/XML/1998/namespace", n), (XSD, t)) for n, t in (("lang", "language"), ("space", "NCName"), ("base", "anyURI"), ("id", "ID"))}
+        self.attributes |= {(XSI, n): Attribute((XSI, n), (XSD, t)) for n, t in (("type", "QName"), ("nil", "boolean"), ("schemaLocation", "anyURI"), ("noNamespaceSchemaLocation", "anyURI"))}
+        self.simple_base: dict[str, list] = {}
+        self.docs: dict[tuple[str, Name], dict] = {}
         self.groups: dict[Name, Group] = {}
         self.attribute_groups: dict[Name, tuple[list, Wildcard | None]] = {}
         self.notations: dict[Name, dict] = {}
@@ -311,7 +322,7 @@ class SchemaSet:
 
     def _simple_bases(self, t: Simple) -> list[object]:
         out = []
-        for n in self.simple_base.get(id_of(t), []) if hasattr(self, "simple_base") else []:
+        for n in self.simple_base.get(id_of(t), []):
             if n in self.types:
                 out.append(self.types[n])
         return out
@@ -423,8 +434,17 @@ class Files:
 
 
 def check_pattern(pattern: str) -> str | None:
+    """What is wrong with a pattern: its grammar, or what an engine refuses (as a count above its bound)."""
+    import regex
+
     try:
         translate(pattern)
+        regex.compile("(?V1)" + translate(pattern, python=True))
     except PatternError as e:
         return str(e)
+    except (regex.error, OverflowError) as e:
+        return f"the engine refuses it: {e}"
     return None
+
+
+__all__ = ["check_pattern", "unknown_blocks"]
