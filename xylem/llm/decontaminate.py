@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import others, prepare, table
+from .runtime import others, prepare, table, tidied
 
 WINDOW = 13
 
@@ -151,7 +151,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = WINDOW, max_broadc
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = ", ".join([*kinds, "n_words long", "n_hit long", "items array<string>", "contaminated boolean"])
-    return docs.select(*dict.fromkeys([*own, text_col])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*own, text_col])).mapInArrow(tidied(run), schema)
 
 
 def cut_words(text: str | None, mask: np.ndarray) -> str | None:
@@ -196,7 +196,7 @@ def _many(docs: DataFrame, todo: list[list[tuple]], n: int, share: int, text_col
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = ", ".join([*kinds, "n_words long", "n_hit long", "items array<string>", "contaminated boolean"])
-    return docs.select(*dict.fromkeys([*own, text_col])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*own, text_col])).mapInArrow(tidied(run), schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textops as t
 from .components import components
-from .runtime import parts, prepare, table, tidied, tidied_group, written
+from .runtime import parts, prepare, scratch, table, tidied, tidied_group, written
 
 N, NUM, DEN = 5, 75, 100
 #: Bound of the table of frequent n-grams that is broadcast, and the counts from which an n-gram is in it.
@@ -170,6 +170,28 @@ def bitmaps(rows: np.ndarray, g: np.ndarray, size: np.ndarray) -> list[bytes]:
 _ENTRY = np.dtype([("g", "<u8"), ("d", "<i8"), ("n", "<i4"), ("p", "<i4")])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _packed(e: np.ndarray) -> bytes:
+    """Entries that are sorted by document: byte planes of the columns, compressed; documents as steps from one to the next."""
+    step = np.diff(e["d"], prepend=np.int64(0))
+    return len(e).to_bytes(4, "little") + pa.compress(b"".join(_planes(np.ascontiguousarray(x)) for x in (e["g"], step, e["n"], e["p"])), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    whole = np.frombuffer(pa.decompress(data[4:], n * _ENTRY.itemsize, codec="zstd"), np.uint8)
+    e, at = np.empty(n, _ENTRY), 0
+    for name in _ENTRY.names:
+        size = _ENTRY[name].itemsize
+        column = np.ascontiguousarray(whole[at : at + n * size].reshape(size, n).T).view(_ENTRY[name]).ravel()
+        e[name] = np.cumsum(column) if name == "d" else column
+        at += n * size
+    return e
+
+
 def postings(profile: DataFrame, buckets: int) -> DataFrame:
     """(g, doc_id, n, place, lead, lead_n, lead_place): the stored incidence entries whose n-gram is in two documents or more.
 
@@ -185,13 +207,13 @@ def postings(profile: DataFrame, buckets: int) -> DataFrame:
             e["d"], e["n"] = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), np.repeat(batch.column(1).to_numpy(), size)
             e["p"] = np.arange(len(e)) - np.repeat((pre.offsets.to_numpy() - pre.offsets.to_numpy()[0])[:-1], size)
             at = ((e["g"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
+            order = np.lexsort((e["d"], at))
             e, at = e[order], at[order]
             own, first = np.unique(at, return_index=True)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own), "data": pa.array([x.tobytes() for x in np.split(e, first[1:])] if len(own) else [], type=pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own), "data": pa.array([_packed(x) for x in np.split(e, first[1:])] if len(own) else [], type=pa.binary())})
 
     def group(block: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x.as_py(), dtype=_ENTRY) for x in block.column("data")])
+        e = np.concatenate([_unpacked(x.as_py()) for x in block.column("data")])
         e = e[np.lexsort((e["d"], e["g"]))]
         new = np.ones(len(e), dtype=bool)
         new[1:] = e["g"][1:] != e["g"][:-1]
@@ -204,7 +226,7 @@ def postings(profile: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"g": t.signed(e["g"].copy()), "doc_id": e["d"].copy(), "n": e["n"].astype(np.int64), "place": e["p"].astype(np.int64), "lead": l["d"].copy(), "lead_n": l["n"].astype(np.int64), "lead_place": l["p"].astype(np.int64)})
 
     packed = profile.where("size(prefix) > 0 and doc_id is not null").select("doc_id", "n", "prefix").mapInArrow(tidied(pack), "bucket long, data binary")
-    return packed.groupBy("bucket").applyInArrow(group, "g long, doc_id long, n long, place long, lead long, lead_n long, lead_place long")
+    return packed.groupBy("bucket").applyInArrow(tidied_group(group), "g long, doc_id long, n long, place long, lead long, lead_n long, lead_place long")
 
 
 def _close(a: str, b: str, num: int, den: int):
@@ -328,7 +350,7 @@ def crossing(entries: DataFrame, bits: DataFrame, num: int, den: int, block: int
         pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2], "nb": pairs[:, 3], "o": times})
 
-    made = small.union(large.select(small.columns)).groupBy("key").applyInArrow(product, "a long, b long, na long, nb long, o long")
+    made = small.union(large.select(small.columns)).groupBy("key").applyInArrow(tidied_group(product), "a long, b long, na long, nb long, o long")
     # a pair's entries are all that their prefixes share (a pair that loses one by its places can't be similar), so with
     # the sizes their number bounds the whole overlap
     left_over = "{0} - ({0} - (({num} * {0} + {den} - 1) div {den}) + 1)"
@@ -370,8 +392,13 @@ def near_duplicates(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN,
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links of ``num/den`` or more)."""
     if not 0 < num <= den:
         raise ValueError("the similarity must be in (0, 1]")
+    prepare(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return written(_components(docs, n, num, den, text_col), keep=True)
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    prepare(spark)
     order = spark.sparkContext.broadcast(frequent(docs, n, text_col))
     profile = written(profiles(docs, n, num, den, text_col, order))
     named = profile.where("n > 0 and doc_id is not null")

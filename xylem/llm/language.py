@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import others, prepare, table
+from .runtime import others, prepare, table, tidied
 
 DIM, LETTERS, SEED, PER_LANGUAGE = 512, 48, 20_241, 4_000
+#: Bytes of text whose triples are counted at once.
+SLICE = 1 << 19
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -46,11 +48,14 @@ def _letters() -> np.ndarray:
 
 
 @lru_cache(1)
-def _vectors() -> np.ndarray:
-    """The vector of every letter triple, as rows: the bound, rotated letter vectors."""
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(LETTERS, DIM))
-    one, two, three = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
-    return (one[:, None, None] * two[None, :, None] * three[None, None, :]).reshape(LETTERS**3, DIM)
+def _base() -> np.ndarray:
+    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(LETTERS, DIM))
+
+
+def vectors(code: np.ndarray) -> np.ndarray:
+    """The vectors of letter triples, as rows: the bound, rotated letter vectors."""
+    base = _base()
+    return np.roll(base, 2, axis=1)[code // LETTERS**2] * np.roll(base, 1, axis=1)[code // LETTERS % LETTERS] * base[code % LETTERS]
 
 
 def triples(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +77,13 @@ def triples(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encoded(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, document vectors) block by block; rows without letters have zero vectors."""
-    for lo, hi, buf, offs in t.slices(texts):
+    for lo, hi, buf, offs in t.slices(texts, SLICE):
         rows, code = triples(buf, offs)
         used = np.flatnonzero(np.bincount(code, minlength=LETTERS**3))
         number = np.zeros(LETTERS**3, dtype=np.int64)
         number[used] = np.arange(len(used))
-        space = _vectors()[used].astype(np.float32)
-        step = max(1, 4_000_000 // max(1, len(used)))
+        space = vectors(used).astype(np.float32)
+        step = max(1, 1_000_000 // max(1, len(used)))
         for a in range(0, hi - lo, step):
             b = min(hi - lo, a + step)
             i, j = np.searchsorted(rows, [a, b])
@@ -109,7 +114,7 @@ def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str
             # whole numbers, so that the sum does not hang on the order of the tasks
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * DIM), "i": pa.array(np.arange(DIM)), "v": pa.array(np.rint(v * 2**20).astype(np.int64))})
 
-    rows = picked.select("text", "lang").mapInArrow(run, "lang string, i long, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas()
+    rows = picked.select("text", "lang").mapInArrow(tidied(run), "lang string, i long, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas()
     if not len(rows):
         return [], np.zeros((0, DIM))
     wide = rows.pivot(index="lang", columns="i", values="v").sort_index()
@@ -138,7 +143,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: s
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in own} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema]
-    return docs.select(*own).mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return docs.select(*own).mapInArrow(tidied(run), ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import others, table, written
+from .runtime import others, scratch, table, written
 from .spans import counted, joined, placed, replaced, span, with_hits
 
 KINDS = ("email", "ip", "card", "phone")
@@ -147,7 +147,9 @@ def personal_data(docs: DataFrame, text_col: str = "text", keep_columns: bool =
     """doc_id (or, with ``keep_columns``, all columns), ``base`` and ``spans`` (base and discovered spans, sorted)."""
     own = others(docs, ("base", "spans")) if keep_columns else ["doc_id"]
     found = written(base(docs.select(*dict.fromkeys([*own, text_col])), text_col).withColumn("row", F.monotonically_increasing_id()))
-    more = discovered(found.where("size(instances) > 0"))
+    # few rows have more spans than base ones; as a table their size is known, and the texts need not be shuffled to meet them
+    with scratch(docs.sparkSession):
+        more = written(discovered(found.where("size(instances) > 0")), keep=True)
     out = found.drop("instances").join(more, "row", "left")
     return out.select(*(F.col(f"own.`{c}`") for c in own), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -26,22 +27,42 @@ def prepare(spark: SparkSession) -> None:
 
 
 _OWN: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='xylem-')}"
         _OWN[spark.sparkContext.applicationId] = folder
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing.
+
+    Within ``scratch`` the table goes with it, unless it is to ``keep``: then it goes with the scratch around that."""
+    spark = df.sparkSession
+    within = _SCRATCH[:-1] if keep else _SCRATCH
+    path = f"{within[-1] if within else shared_dir(spark) + '/tables'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` within are removed at its end; nothing that is still to be read may rest on them."""
+    folder = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark) + '/tables'}/{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        # an empty table in its place: of any store, without a way past Spark
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 def others(df: DataFrame, added: tuple[str, ...]) -> list[str]:

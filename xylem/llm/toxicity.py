@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textops as t
 from .language import fold
-from .runtime import others, prepare, table, written
+from .runtime import others, prepare, scratch, table, written
 
 BUCKETS, POSITIVES, UNLABELLED, THRESHOLD = 1 << 18, 6_000, 18_000, 0.3
 #: A bucket has a weight if so many toxic documents have it, and its shares lie so many standard errors apart.
@@ -156,6 +156,11 @@ def _live(picked: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, text_col: str = "text") -> tuple[np.ndarray, float]:
     """Ids are picked without their texts; one scan then gets the features of the ids, whose number is bounded.
     Only the live ones of them come to the driver."""
+    with scratch(docs.sparkSession):
+        return _trained(docs, labels, positives, unlabelled, text_col)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, text_col: str) -> tuple[np.ndarray, float]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (fold() != 2))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
