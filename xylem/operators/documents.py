@@ -60,17 +60,27 @@ def events(df: DataFrame, schemas: SchemaSet, id_col: str, xml_col: str = "xml",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = Events(columns, most)
         v = Validator(SchemaSet.deserialize(shared.value), sink)
+
+        def told(ids: pa.Array, owner: list[tuple[int, int]]) -> pa.RecordBatch:
+            rows, counts = zip(*owner, strict=True)
+            return pa.RecordBatch.from_pydict({id_col: ids.take(pa.array(np.repeat(rows, counts)))} | sink.arrays(v))
+
         for batch in batches:
-            ids, counts, lo = batch.column(0), [], 0
+            ids, owner, last = batch.column(0), [], len(batch) - 1
             for i, x in enumerate(batch.column(1)):
                 sink.document()
-                v.run(x.as_py())
-                counts.append(len(sink.rows) - sink.first)
-                if len(sink.rows) >= 50_000 or i + 1 == len(batch):
-                    index = pa.array(np.repeat(np.arange(lo, i + 1), counts))
-                    yield pa.RecordBatch.from_pydict({id_col: ids.take(index)} | sink.arrays(v))
+                had = len(sink.rows)
+                for _ in v.stream(x.as_py()):
+                    if len(sink.rows) >= 50_000:  # a large document's events leave as it is read
+                        owner.append((i, len(sink.rows) - had))
+                        yield told(ids, owner)
+                        sink.clear()
+                        owner, had = [], 0
+                owner.append((i, len(sink.rows) - had))
+                if len(sink.rows) >= 50_000 or i == last:
+                    yield told(ids, owner)
                     sink.clear()
-                    counts, lo = [], i + 1
+                    owner = []
 
     return df.select(id_col, xml_col).mapInArrow(run, ", ".join([id_kind, *(kinds[c] for c in columns)]))
 

@@ -9,6 +9,7 @@ dictionary lookups and a remembered value.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -16,8 +17,9 @@ import pyarrow as pa
 from ..functions.builtins import XSD, XSI, ancestors
 from ..functions.facets import Simple
 from ..plans.automata import automaton
+from ..plans.encodings import EncodingProblem, text_of
 from ..plans.schema import Attribute, Complex, Element, Name, SchemaSet, Wildcard
-from ..plans.values import Compiled, compiled
+from ..plans.values import compiled
 
 DEEPEST = 10_000
 _BLANK = " \t\r\n"
@@ -134,6 +136,12 @@ class Validator:
         return got
 
     def run(self, data: str | bytes | None) -> list[tuple]:
+        for _ in self.stream(data, None):
+            pass
+        return self.diags
+
+    def stream(self, data: str | bytes | None, size: int | None = 1 << 16) -> Iterator[bool]:
+        """Reads a document in pieces of ``size``, and stops between them."""
         self.diags: list[tuple] = []
         self.stack: list[_Frame] = []
         self.scopes: list[tuple[int, dict]] = [(-1, {"xml": "http://www.w3.org/XML/1998/namespace"})]
@@ -150,18 +158,24 @@ class Validator:
         p.UnparsedEntityDeclHandler = lambda name, *_: self.entities.add(name)
         p.EntityDeclHandler = self.entity
         try:
+            if isinstance(data, bytes):
+                data = text_of(data)
+            if size is not None and data:
+                for lo in range(0, len(data), size):
+                    p.Parse(data[lo : lo + size], False)
+                    yield True
+                data = ""
             p.Parse(data if data is not None else "", True)
+        except EncodingProblem as e:
+            self.diags.append((e.code, str(e), None, "error"))
         except expat.ExpatError as e:
             self.diags.append(("XSD1001", str(e), e.lineno, "error"))
         except _Stop:
             pass
-        except (LookupError, ValueError) as e:
-            self.diags.append(("XSD1006", str(e), None, "error"))
         else:
             for ref, line in self.refs:
                 if ref not in self.ids:
                     self.say("XSD2012", f"no ID {ref}", line)
-        return self.diags
 
     def entity(self, name, is_parameter, value, *_rest) -> None:
         if value is not None and not is_parameter:  # own entities are not expanded
@@ -486,19 +500,20 @@ class Events:
 
     def __init__(self, wanted: tuple[str, ...] = NAMES, most: int | None = None) -> None:
         self.wanted, self.most = wanted, most
-        self.lined = "line" in wanted
+        self.lined, self.left = "line" in wanted, most
         self.clear()
 
     def clear(self) -> None:
         self.rows: list[tuple] = []
-        self.first = 0
 
     def document(self) -> None:
-        self.first = len(self.rows)
+        self.left = self.most
 
     def put(self, v: Validator, row: tuple) -> None:
-        if self.most is not None and len(self.rows) - self.first >= self.most:
-            raise _Stop
+        if self.left is not None:
+            if not self.left:
+                raise _Stop
+            self.left -= 1
         self.rows.append(row)
 
     def start(self, v: Validator, f: _Frame, parent: _Frame | None) -> None:

@@ -403,6 +403,7 @@ class Loader:
                 out.diagnostics.append(Diagnostic("XSD1201", f"nothing of {kind} is named {full[1]} in {full[0]}", "warning" if lax else "error", uri, line))
         self.uri = None
         declared = {n: t for n, t in out.types.items() if isinstance(t, Declared)}
+        out.declared = {n: (dict(t.facets), list(t.patterns)) for n, t in declared.items()}
         done: dict[int, Simple] = {}
         for full, t in list(out.types.items()):
             if isinstance(t, Declared):

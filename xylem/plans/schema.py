@@ -25,6 +25,13 @@ UNBOUNDED = -1
 VERSION = 1
 
 
+@dataclass(frozen=True)
+class Span:
+    uri: str | None
+    line: int | None
+    label: str | None = None
+
+
 @dataclass(frozen=True)
 class Diagnostic:
     code: str
@@ -32,6 +39,23 @@ class Diagnostic:
     severity: str = "error"
     uri: str | None = None
     line: int | None = None
+    help: str | None = None
+
+    @classmethod
+    def error(cls, code: str, message: str, **more) -> Diagnostic:
+        return cls(code, message, "error", **more)
+
+    @classmethod
+    def warning(cls, code: str, message: str, **more) -> Diagnostic:
+        return cls(code, message, "warning", **more)
+
+    @property
+    def is_error(self) -> bool:
+        return self.severity == "error"
+
+    @property
+    def spans(self) -> list[Span]:
+        return [Span(self.uri, self.line)] if self.line is not None else []
 
 
 class SchemaError(ValueError):
@@ -251,7 +275,8 @@ class SchemaSet:
         self.attributes: dict[Name, Attribute] = {("http://www.w3.org/XML/1998/namespace", n): Attribute(("http://www.w3.org/XML/1998/namespace", n), (XSD, t)) for n, t in (("lang", "language"), ("space", "NCName"), ("base", "anyURI"), ("id", "ID"))}
         self.attributes |= {(XSI, n): Attribute((XSI, n), (XSD, t)) for n, t in (("type", "QName"), ("nil", "boolean"), ("schemaLocation", "anyURI"), ("noNamespaceSchemaLocation", "anyURI"))}
         self.simple_base: dict[str, list] = {}
-        self.docs: dict[tuple[str, Name], dict] = {}
+        self.docs: dict[tuple[str, Name], dict] = {}  # documentation and appinfo of global components
+        self.declared: dict[Name, tuple[dict, list[str]]] = {}  # facets and patterns of simple types' own steps
         self.groups: dict[Name, Group] = {}
         self.attribute_groups: dict[Name, tuple[list, Wildcard | None]] = {}
         self.notations: dict[Name, dict] = {}
