@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.builtins import BUILTINS, XSD, ancestors
+from ..functions.builtins import BUILTINS, XSD
+from ..functions.facets import Simple
 from ..plans.automata import automaton, children
-from ..plans.schema import Complex, Element, SchemaSet
+from ..plans.model import CODES, Model
+from ..plans.schema import Complex, Element, SchemaError, SchemaSet
 
 
 def _type(ref: object) -> str | None:
@@ -40,13 +46,70 @@ def builtin_table(spark: SparkSession) -> DataFrame:
 
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """(member, ancestor, depth): every id's ancestors over an edge table, itself at depth 0, by a recursive query."""
-    edges.createOrReplaceTempView("_xylem_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(member, ancestor, depth) AS (
-            SELECT DISTINCT {child}, {child}, 0 FROM _xylem_edges
-            UNION ALL SELECT u.member, e.{parent}, u.depth + 1 FROM up u JOIN _xylem_edges e ON e.{child} = u.ancestor WHERE e.{parent} IS NOT NULL)
-        SELECT member, ancestor, min(depth) AS depth FROM up GROUP BY member, ancestor""")
+    """(member, ancestor, depth): every id's ancestors over an edge table, at their least depth, itself at 0.
+
+    Paths double in each round until nothing is new, so a chain of n edges takes log2(n) rounds and cycles end."""
+    e = edges.select(F.col(child).alias("member"), F.col(parent).alias("ancestor")).where("member is not null and ancestor is not null and member <> ancestor").distinct()
+    paths, size = e.withColumn("depth", F.lit(1)).persist(), None
+    while True:
+        state = paths.agg(F.count("*").alias("n"), F.sum("depth").alias("d")).first()
+        if state == size:
+            break
+        size = state
+        on = paths.select(F.col("member").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        longer = paths.join(on, "ancestor").where("member <> next").select("member", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        new = paths.union(longer).groupBy("member", "ancestor").agg(F.min("depth").alias("depth")).persist()
+        new.count()
+        paths.unpersist()
+        paths = new
+    own = edges.select(F.col(child).alias("member")).where("member is not null").distinct().select("member", F.col("member").alias("ancestor"), F.lit(0).alias("depth"))
+    return own.union(paths.select("member", "ancestor", "depth"))
+
+
+def diagnose(df: DataFrame, xml_col: str = "xsd", version: str = "1.0") -> DataFrame:
+    """Each row's schema document compiled by itself, lax: its columns with code, severity, message and line, a row a diagnostic.
+    Locations lead nowhere, as workers see no files of the caller."""
+    own = [c for c in df.columns if c not in (xml_col, "code", "severity", "message", "line")]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema), "code string, severity string, message string, line int"])
+
+    def nowhere(place: str, _: str | None):
+        raise FileNotFoundError(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, x in enumerate(batch.column(xml_col).to_pylist()):
+                try:
+                    got = SchemaSet.load((x or "", f"row:{i}"), resolver=nowhere, version=version, conformance="lax").diagnostics
+                except SchemaError as e:
+                    got = e.diagnostics
+                rows += [i] * len(got)
+                found += got
+            index = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in own} | {
+                "code": pa.array([d.code for d in found], pa.string()), "severity": pa.array([d.severity for d in found], pa.string()),
+                "message": pa.array([d.message for d in found], pa.string()), "line": pa.array([d.line for d in found], pa.int32())})
+
+    return df.select(*own, xml_col).mapInArrow(run, kinds)
+
+
+def facets(spark: SparkSession, s: SchemaSet) -> DataFrame:
+    """(type, facet, value) of the facets in force on each named simple type; enumerations and patterns a row each."""
+    rows = []
+    for n, t in s.types.items():
+        if n[0] != XSD and isinstance(t, Simple):
+            name = _type(n)
+            rows += [(name, "pattern", p) for step in t.patterns for p in step] + [(name, "whiteSpace", t.whitespace)]
+            for k, v in t.facets.items():
+                rows += [(name, k, str(x)) for x in (v if isinstance(v, tuple | list) else [v])]
+    return spark.createDataFrame(rows, "type string, facet string, value string")
+
+
+def counts(spark: SparkSession, s: SchemaSet) -> DataFrame:
+    """(component, n): how many of each kind."""
+    return spark.createDataFrame(list(Model(s).counts().items()), "component string, n long")
 
 
-__all__ = ["ancestors", "builtin_table", "closure", "tables"]
+def codes(spark: SparkSession) -> DataFrame:
+    """(code, meaning) of all diagnostics."""
+    return spark.createDataFrame(list(CODES.items()), "code string, meaning string")

@@ -13,6 +13,7 @@ import pickle
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 from xml.parsers import expat
 
 from ..functions.builtins import BUILTINS, XSD, XSI
@@ -20,6 +21,9 @@ from ..functions.facets import Simple
 from ..functions.patterns import PatternError, translate, unknown_blocks
 from .encodings import EncodingProblem, text_of
 
+if TYPE_CHECKING:
+    from pyspark.sql import Column
+
 Name = tuple[str | None, str]
 UNBOUNDED = -1
 VERSION = 1
@@ -146,6 +150,20 @@ class Wildcard:
             return False
         return self.mode == "any" or (name[0] in self.spaces) == (self.mode == "in")
 
+    def column(self, ns: Column, local: Column | None = None) -> Column:
+        """``admits`` of names in columns; a null namespace is none."""
+        from pyspark.sql import functions as F
+
+        ok = F.lit(True)
+        if self.mode != "any":
+            named = [x for x in self.spaces if x is not None]
+            held = F.coalesce(ns.isin(named), F.lit(False)) if named else F.lit(False)
+            held = held | ns.isNull() if None in self.spaces else held
+            ok = held if self.mode == "in" else ~held
+        for space, name in self.not_names if local is not None else ():
+            ok = ok & ~((ns.isNull() if space is None else ns.eqNullSafe(F.lit(space))) & (local == name))
+        return ok
+
     def union(self, other: Wildcard) -> Wildcard:
         a, b = set(self.spaces), set(other.spaces)
         if "any" in (self.mode, other.mode):

@@ -248,11 +248,15 @@ def all_group_counts(spark, d):
     return documents.accepts(flags, SchemaSet.from_text(ALL_XSD), (None, "Flags"), "flags").groupBy("accepted").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT admitted, count(*)::BIGINT AS n FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) NOT IN (SELECT min(regexp_extract(url, '^https?://([^/]*)', 1)) FROM pages) AS admitted FROM pages) GROUP BY 1")
+@query(r"""SELECT admitted, count(*)::BIGINT AS n FROM (SELECT host IS NOT NULL AND host NOT IN (SELECT min(regexp_extract(url, '^https?://([^/]*)', 1)) FROM pages) AND NOT (page_id % 4 = 0 AND host = 'urn:x') AS admitted
+FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'urn:x' ELSE regexp_extract(url, '^https?://([^/]*)', 1) END AS host FROM pages)) GROUP BY 1""")
 def wildcard_admission(spark, d):
+    """notNamespace (one host, and none) with notQName, as a Column over names."""
     p = t(spark, d, "pages").withColumn("host", F.regexp_extract("url", "^https?://([^/]*)", 1))
-    w = Wildcard("not", (p.agg(F.min("host")).first()[0],))
-    return p.groupBy(((~F.col("host").isin(*w.spaces)) if w.mode == "not" else F.col("host").isin(*w.spaces)).alias("admitted")).agg(F.count("*").alias("n"))
+    w = Wildcard("not", (p.agg(F.min("host")).first()[0], None), not_names=(("urn:x", "n0"),))
+    ns = F.when(F.col("page_id") % 5 == 0, None).when(F.col("page_id") % 7 == 0, "urn:x").otherwise(F.col("host"))
+    names = p.select(ns.alias("ns"), F.concat(F.lit("n"), (F.col("page_id") % 4).cast("string")).alias("local"))
+    return names.groupBy(w.column(F.col("ns"), F.col("local")).alias("admitted")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem) WHERE n > 1")
@@ -284,19 +288,48 @@ def base_chain_builtins(spark, d):
     return catalog.closure(catalog.builtin_table(spark).select("name", "base"), "name", "base").where("member = 'byte'")
 
 
-HEADS_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r" type="xs:string"/>{}</xs:schema>"""
+def schema_of(body: str, **options) -> SchemaSet:
+    return SchemaSet.from_text(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">{body}</xs:schema>', **options)
 
 
 @query("""SELECT 'r' AS head, 'R' || r_regionkey AS member FROM region UNION ALL SELECT 'r', 'N' || n_nationkey FROM nation UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation""")
 def substitution_closure(spark, d):
-    edges = t(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("member"), F.lit("r").alias("head")).union(t(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))))
-    return catalog.closure(edges, "member", "head").where("depth > 0").select(F.col("ancestor").alias("head"), "member")
+    """The compiler's closure, of a schema whose elements are regions and nations."""
+    rows = [("R", r[0], "r") for r in t(spark, d, "region").select("r_regionkey").collect()] + [("N", n[0], f"R{n[1]}") for n in t(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()]
+    s = schema_of('<xs:element name="r" type="xs:string"/>' + "".join(f'<xs:element name="{k}{i}" substitutionGroup="{h}"/>' for k, i, h in rows))
+    return catalog.tables(spark, s)["substitutes"].select("head", "member")
 
 
-@query("SELECT n_nationkey, r_regionkey FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 4")
+@query("SELECT 'r' AS head, 'R' || r_regionkey AS member, r_regionkey % 2 = 0 AS permitted FROM region")
+def substitutes_permitted(spark, d):
+    """A head that blocks extension lets only members of its own type, or restrictions of it, stand for it."""
+    rows = [r[0] for r in t(spark, d, "region").select("r_regionkey").collect()]
+    s = schema_of('<xs:complexType name="B"><xs:attribute name="a"/></xs:complexType><xs:complexType name="E"><xs:complexContent><xs:extension base="B"/></xs:complexContent></xs:complexType><xs:element name="r" type="B" block="extension"/>'
+                  + "".join(f'<xs:element name="R{i}" type="{"E" if i % 2 else "B"}" substitutionGroup="r"/>' for i in rows))
+    return catalog.tables(spark, s)["substitutes"].select("head", "member", "permitted")
+
+
+@query("SELECT n_nationkey, n_regionkey < 4 AS resolved FROM nation")
 def reference_resolution(spark, d):
-    known = t(spark, d, "region").where("r_regionkey < 4").select("r_regionkey")
-    return t(spark, d, "nation").join(known, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "r_regionkey")
+    """The compiler's resolution, of a schema in which each nation's element refers to its region's type, and one region is missing."""
+    nations = t(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    kinds = "".join(f'<xs:simpleType name="R{r[0]}"><xs:restriction base="xs:int"/></xs:simpleType>' for r in t(spark, d, "region").where("r_regionkey < 4").select("r_regionkey").collect())
+    elements = "\n".join(f'<xs:element name="N{k}" type="R{r}"/>' for k, r in nations.collect())
+    s = schema_of(f"{kinds}\n{elements}", conformance="lax")
+    lines = {f"N{k}": i + 2 for i, (k, _) in enumerate(nations.collect())}
+    lost = {x.line for x in s.diagnostics if x.code == "XSD1201"}
+    return spark.createDataFrame([(int(n[1:]), line not in lost) for n, line in lines.items()], "n_nationkey int, resolved boolean").join(nations.select(F.col("n_nationkey").cast("int")), "n_nationkey")
+
+
+@query("""WITH RECURSIVE u(member, ancestor, depth) AS (SELECT n, n, 0 FROM (SELECT DISTINCT o_custkey AS n FROM orders) UNION SELECT member, (ancestor / 2)::BIGINT, depth + 1 FROM (SELECT member, ancestor - ancestor % 2 AS ancestor, depth FROM u) WHERE ancestor > 1)
+SELECT depth::INT AS depth, count(*)::BIGINT AS n FROM u GROUP BY depth""")
+def closure_depths(spark, d):
+    """Ancestors by halving: a forest whose chains are as long as the keys have bits."""
+    keys_ = t(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("k")).distinct()
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest("k", F.lit(1)))).cast("int")), lambda i: F.expr("k") / F.pow(F.lit(2.0), i))
+    nodes = keys_.select("k", F.explode(F.transform(steps, lambda x: F.floor(x).cast("long"))).alias("m")).select("m").distinct()
+    found = catalog.closure(nodes.select("m", F.floor(F.col("m") / 2).cast("long").alias("p")).where("p >= 1").union(nodes.select("m", F.lit(None).cast("long"))), "m", "p")
+    return found.join(keys_, F.col("member") == F.col("k"), "left_semi").groupBy("depth").agg(F.count("*").alias("n"))
 
 
 FLAT_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:attributeGroup name="g"><xs:attribute name="a" use="required"/><xs:attributeGroup ref="h"/></xs:attributeGroup>
@@ -328,8 +361,138 @@ def html_wellformed(spark, d):
     return documents.validate(t(spark, d, "pages").select("page_id", F.col("html").alias("xml")), s).select("page_id", "valid", "n_errors", F.transform("diagnostics", lambda x: x["code"]).alias("codes"))
 
 
-@query("SELECT CASE page_id % 3 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16BE' ELSE 'ISO-8859-1' END AS encoding, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16BE' WHEN 2 THEN 'UTF-16LE' ELSE 'UTF-8' END AS encoding, sha256(html) AS digest FROM pages")
 def encoding_detect(spark, d):
-    k = F.col("page_id") % 3
-    data = F.when(k == 0, F.encode(F.lit("<a/>"), "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode(F.lit("<a/>"), "UTF-16BE"))).otherwise(F.encode(F.lit('<?xml version="1.0" encoding="iso-8859-1"?><a/>'), "ISO-8859-1"))
-    return t(spark, d, "pages").groupBy(xml.encoding(data).alias("encoding")).agg(F.count("*").alias("n"))
+    """Pages in four encodings, told apart by their marks, and read back."""
+    k, html = F.col("page_id") % 4, F.col("html")
+    mark = lambda x: F.unhex(F.lit(x))
+    data = F.when(k == 0, F.encode(html, "UTF-8")).when(k == 1, F.concat(mark("FEFF"), F.encode(html, "UTF-16BE"))).when(k == 2, F.concat(mark("FFFE"), F.encode(html, "UTF-16LE"))).otherwise(F.concat(mark("EFBBBF"), F.encode(html, "UTF-8")))
+    return t(spark, d, "pages").select("page_id", data.alias("data")).select("page_id", xml.encoding(F.col("data")).alias("encoding"), F.sha2(xml.text(F.col("data")), 256).alias("digest"))
+
+
+@query("""SELECT CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'XSD1006' WHEN 2 THEN 'XSD1007' ELSE 'ok' END AS code, count(*)::BIGINT AS n FROM (SELECT page_id % 4 AS k FROM pages) GROUP BY 1""")
+def encoding_errors(spark, d):
+    """Documents of bytes: fine, of an unknown encoding, of bytes that are not UTF-8, and of a declared one-byte encoding."""
+    k = F.col("page_id") % 4
+    data = F.when(k == 0, F.encode(F.lit("<a>é</a>"), "UTF-8")).when(k == 1, F.encode(F.lit('<?xml version="1.0" encoding="x-none"?><a/>'), "UTF-8")).when(k == 2, F.unhex(F.lit("3C613EE93C2F613E"))).otherwise(F.concat(F.encode(F.lit('<?xml version="1.0" encoding="iso-8859-1"?>'), "UTF-8"), F.unhex(F.lit("3C613EE93C2F613E"))))
+    found = documents.validate(t(spark, d, "pages").select("page_id", data.alias("xml")), schema_of('<xs:element name="a" type="xs:string"/>'))
+    return found.groupBy(F.coalesce(F.get("diagnostics", F.lit(0))["code"], F.lit("ok")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 60 > 31 THEN 'maxInclusive' ELSE 'ok' END AS outcome, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def facet_bounds_duration(spark, d):
+    """Days against a month: 28 to 31 days are neither more nor less, and pass."""
+    return facet(spark, d, "orders", F.concat(F.lit("P"), (F.col("o_orderkey") % 60).cast("string"), F.lit("D")), Simple("duration").restrict(maxInclusive="P1M"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 7 <> 0 AND o_orderdate::DATE < DATE '1995-06-17' THEN 'minInclusive' ELSE 'ok' END AS outcome, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def facet_bounds_date(spark, d):
+    """Dates as instants: a year of five digits is late, though its text comes early."""
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return facet(spark, d, "orders", F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("1"), text)).otherwise(text), Simple("date").restrict(minInclusive="1995-06-17"))
+
+
+@query("SELECT CASE WHEN round(l_discount * 100) IN (5, 10) THEN 'ok' ELSE 'enumeration' END AS outcome, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def enumeration_double(spark, d):
+    """Equal values, however written."""
+    return facet(spark, d, "lineitem", F.col("l_discount").cast("decimal(4,2)").cast("string"), Simple("double").restrict(enumeration=("5e-2", "0.1")))
+
+
+@query("SELECT CASE WHEN abs(v) > 100000000000000000000 THEN 'maxInclusive' ELSE 'ok' END AS outcome, count(*)::BIGINT AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 100000000000000000001::HUGEINT ELSE o_orderkey END AS v FROM orders) GROUP BY 1")
+def facet_bounds_big_decimal(spark, d):
+    """Decimals beyond any machine number, compared exactly."""
+    return facet(spark, d, "orders", F.when(F.col("o_orderkey") % 3 == 0, "100000000000000000000.5").otherwise(F.col("o_orderkey").cast("string")), Simple("decimal").restrict(maxInclusive="100000000000000000000"))
+
+
+KEYS_XSD = """<xs:element name="lines"><xs:complexType><xs:sequence><xs:element name="line" minOccurs="0" maxOccurs="unbounded"><xs:complexType><xs:attribute name="q" type="xs:double"/></xs:complexType></xs:element></xs:sequence></xs:complexType>
+<xs:key name="k"><xs:selector xpath="line"/><xs:field xpath="@q"/></xs:key></xs:element>"""
+
+
+@query("SELECT l_orderkey, count(*) - count(DISTINCT l_quantity) AS twice FROM lineitem GROUP BY 1 HAVING count(*) > count(DISTINCT l_quantity)")
+def key_equal_values(spark, d):
+    """Keys that are equal as numbers are duplicates, however written."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    line = xml.element("line", "", {"q": F.when(F.col("l_linenumber") % 2 == 0, F.concat(q, F.lit(".0"))).otherwise(F.concat(F.lit("0"), q))})
+    docs = t(spark, d, "lineitem").groupBy("l_orderkey").agg(xml.element("lines", F.array_join(F.collect_list(line), "")).alias("xml"))
+    found = documents.diagnostics(documents.validate(docs, schema_of(KEYS_XSD))).where("code = 'XSD2014'")
+    return found.groupBy("l_orderkey").agg(F.count("*").alias("twice"))
+
+
+TWO_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:a="urn:a" targetNamespace="urn:a" elementFormDefault="unqualified" version="1.1">
+<xs:element name="n" type="xs:int"/><xs:element name="row"><xs:complexType><xs:sequence><xs:element ref="a:n"/><xs:element name="n" type="xs:string"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+@query("SELECT n_nationkey, n_regionkey AS number, n_name AS name FROM nation")
+def decode_ambiguous(spark, d):
+    """Two children of one local name: the one with a namespace has its Clark name."""
+    row = F.concat(xml.element("a:n", F.col("n_regionkey").cast("string")), xml.element("n", F.col("n_name")))
+    docs = t(spark, d, "nation").select("n_nationkey", xml.element("a:row", row, {"xmlns:a": F.lit("urn:a")}).alias("xml"))
+    out = documents.decode(docs, SchemaSet.from_text(TWO_XSD), ("urn:a", "row"))
+    return out.select("n_nationkey", F.col("decoded").getField("{urn:a}n").alias("number"), F.col("decoded").getField("n").alias("name"))
+
+
+MIXED_XSD = """<xs:element name="p"><xs:complexType mixed="true"><xs:sequence><xs:element name="b" type="xs:string" minOccurs="0" maxOccurs="unbounded"/><xs:any namespace="##other" processContents="lax" minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:complexType></xs:element>"""
+
+
+@query("SELECT r_regionkey, 'see ' || ' and ' || '.' AS text, [r_name, upper(r_name)] AS bold, '\"' || r_name || '\"' AS extra FROM region")
+def decode_mixed(spark, d):
+    """Text around children is one text; what a wildcard admits comes along by name."""
+    body = F.concat(F.lit("see "), xml.element("b", F.col("r_name")), F.lit(" and "), xml.element("b", F.upper("r_name")), xml.element("x:note", F.col("r_name"), {"xmlns:x": F.lit("urn:x")}), F.lit("."))
+    out = documents.decode(t(spark, d, "region").select("r_regionkey", xml.element("p", body).alias("xml")), schema_of(MIXED_XSD), (None, "p"))
+    return out.select("r_regionkey", F.col("decoded").getField("$").alias("text"), F.col("decoded.b").alias("bold"), F.col("decoded").getField("*")["{urn:x}note"][0].alias("extra"))
+
+
+@query("SELECT type, facet, value FROM (VALUES ('Small', 'maxInclusive', '50'), ('Small', 'minInclusive', '1'), ('Small', 'whiteSpace', 'collapse'), ('Flag', 'pattern', '[ANR]'), ('Flag', 'enumeration', 'A'), ('Flag', 'enumeration', 'N'), ('Flag', 'whiteSpace', 'preserve')) v(type, facet, value)")
+def type_facets(spark, d):
+    """Facets in force, of all steps."""
+    s = schema_of("""<xs:simpleType name="Big"><xs:restriction base="xs:int"><xs:minInclusive value="1"/><xs:maxExclusive value="99"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="Small"><xs:restriction base="Big"><xs:maxInclusive value="50"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="Flag"><xs:restriction base="xs:string"><xs:pattern value="[ANR]"/><xs:enumeration value="A"/><xs:enumeration value="N"/></xs:restriction></xs:simpleType>""")
+    return catalog.facets(spark, s).where("type <> 'Big'")
+
+
+@query("SELECT component, n FROM (SELECT 'elements' AS component, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'types', (SELECT count(*) FROM region) UNION ALL SELECT 'local_elements', (SELECT count(*) FROM region))")
+def component_counts(spark, d):
+    regions, nations = ([r[0] for r in t(spark, d, n).select(c).collect()] for n, c in (("region", "r_regionkey"), ("nation", "n_nationkey")))
+    body = "".join(f'<xs:complexType name="T{i}"><xs:sequence><xs:element name="x" type="xs:int"/></xs:sequence></xs:complexType><xs:element name="R{i}" type="T{i}"/>' for i in regions)
+    s = schema_of(body + "".join(f'<xs:element name="N{i}" type="xs:string"/>' for i in nations))
+    return catalog.counts(spark, s).where("component in ('elements', 'types', 'local_elements')")
+
+
+_SIMPLE = '<xs:simpleType name="{n}"><xs:restriction base="{b}">{f}</xs:restriction></xs:simpleType>'
+
+
+def _simple(base: str, *facets: str, n: str = "t") -> str:
+    return _SIMPLE.format(n=n, b=base, f="".join(f'<xs:{k} value="{v}"/>' for k, _, v in (f.partition("=") for f in facets)))
+
+
+def _derived(method: str, inner: str, base: str) -> str:
+    return f'<xs:complexType name="b">{base}</xs:complexType><xs:complexType name="d"><xs:complexContent><xs:{method} base="b">{inner}</xs:{method}></xs:complexContent></xs:complexType>'
+
+
+_SEQ = '<xs:sequence><xs:element name="x" type="xs:int"/><xs:element name="y" type="xs:int" minOccurs="0"/></xs:sequence>'
+#: Schema documents with the one code that each gives (none: valid), by the rule.
+RULES: list[tuple[str, str | None, str]] = [
+    ("element unknown", "XSD1003", "<xs:thing/>"), ("name missing", "XSD1004", '<xs:element type="xs:int"/>'), ("block token", "XSD1005", '<xs:element name="a" block="never"/>'), ("annotation late", "XSD1008", '<xs:element name="a"><xs:complexType/><xs:annotation/></xs:element>'),
+    ("variety missing", "XSD1009", '<xs:simpleType name="t"/>'), ("location", "XSD1101", '<xs:include schemaLocation="none.xsd"/>'), ("new construct", "XSD1104", '<xs:complexType name="t"><xs:sequence><xs:any notNamespace="urn:x" minOccurs="0"/></xs:sequence></xs:complexType>'),
+    ("unresolved", "XSD1201", '<xs:element name="a" type="none"/>'), ("twice", "XSD1202", '<xs:element name="a"/><xs:element name="a"/>'), ("by itself", "XSD1203", _simple("t")), ("two varieties", "XSD1301", '<xs:simpleType name="t"><xs:list itemType="xs:int"/><xs:union memberTypes="xs:int"/></xs:simpleType>'),
+    ("occurrence", "XSD1302", '<xs:complexType name="t"><xs:sequence minOccurs="3" maxOccurs="2"/></xs:complexType>'), ("two types", "XSD1303", '<xs:element name="a" type="xs:int"><xs:simpleType><xs:restriction base="xs:int"/></xs:simpleType></xs:element>'),
+    ("ambiguous", "XSD1304", '<xs:complexType name="t"><xs:choice><xs:element name="a"/><xs:sequence><xs:element name="a"/><xs:element name="b"/></xs:sequence></xs:choice></xs:complexType>'),
+    ("length of a duration", "XSD1305", _simple("xs:duration", "length=2")), ("enumerated boolean", "XSD1305", _simple("xs:boolean", "enumeration=true")), ("bound that is none", "XSD1306", _simple("xs:int", "maxInclusive=x")), ("pattern", "XSD1306", _simple("xs:string", "pattern=a{3,1}")),
+    ("length beside maxLength", "XSD1307", _simple("xs:string", "length=2", "maxLength=3")), ("digits", "XSD1307", _simple("xs:decimal", "totalDigits=2", "fractionDigits=3")), ("wider length", "XSD1307", _simple("xs:string", "maxLength=3") + _simple("t", "maxLength=4", n="u")),
+    ("wider bound", "XSD1307", _simple("xs:date", "minInclusive=2020-01-01") + _simple("t", "minInclusive=2019-12-31", n="u")), ("nothing between", "XSD1307", _simple("xs:duration", "minInclusive=P2D", "maxInclusive=PT47H")),
+    ("default", "XSD1308", '<xs:element name="a" type="xs:int" default="x"/>'), ("default and fixed", "XSD1308", '<xs:element name="a" type="xs:int" default="1" fixed="1"/>'), ("default of an ID", "XSD1308", '<xs:element name="a" type="xs:ID" default="i"/>'),
+    ("final", "XSD1309", _derived("extension", "", _SEQ).replace('name="b"', 'name="b" final="extension"')), ("final list", "XSD1309", _simple("xs:int").replace('name="t"', 'name="t" final="list"') + '<xs:simpleType name="l"><xs:list itemType="t"/></xs:simpleType>'),
+    ("other child", "XSD1310", _derived("restriction", '<xs:sequence><xs:element name="z" type="xs:int"/></xs:sequence>', _SEQ)), ("child missing", "XSD1310", _derived("restriction", '<xs:sequence><xs:element name="y" type="xs:int"/></xs:sequence>', _SEQ)),
+    ("more often", "XSD1310", _derived("restriction", '<xs:sequence><xs:element name="x" type="xs:int" maxOccurs="2"/></xs:sequence>', _SEQ)), ("other type", "XSD1310", _derived("restriction", '<xs:sequence><xs:element name="x" type="xs:string"/></xs:sequence>', _SEQ)),
+    ("narrower", None, _derived("restriction", '<xs:sequence><xs:element name="x" type="xs:short"/></xs:sequence>', _SEQ)), ("narrower bound", None, _simple("xs:int", "maxExclusive=9") + _simple("t", "maxInclusive=5", n="u")), ("extension", None, _derived("extension", '<xs:sequence><xs:element name="z"/></xs:sequence>', _SEQ)),
+    ("left out", None, '<xs:element xmlns:v="http://www.w3.org/2007/XMLSchema-versioning" v:minVersion="1.1" name="a" type="none"/>'),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(n, f"'{c}'" if c else "NULL") for n, c, _ in RULES) + ") v(rule, code)")
+def schema_rules_by_code(spark, d):
+    """A table of schema documents, each compiled in a worker: the codes it gives."""
+    df = spark.createDataFrame([(n, f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">{x}</xs:schema>') for n, _, x in RULES], "rule string, xsd string")
+    found = catalog.diagnose(df).groupBy("rule").agg(F.array_join(F.array_sort(F.collect_set("code")), " ").alias("code"))
+    return df.select("rule").join(found, "rule", "left")
