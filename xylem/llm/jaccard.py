@@ -307,7 +307,7 @@ def crossing(entries: DataFrame, bits: DataFrame, num: int, den: int, block: int
     sizes = entries.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("main"))
     sizes = sizes.where("main.c < m").select("g", F.ceil(F.col("m") / block).cast("int").alias("across"), F.ceil((F.col("m") - F.col("main.c")) / block).cast("int").alias("down"), F.col("main.root").alias("main"))
     mixed = written(entries.join(sizes, "g").withColumn("out", F.col("root") != F.col("main")).drop("main").join(bits, ["id", "n"]))
-    buckets = parts(mixed, 4 << 20)
+    buckets = parts(mixed, 2 << 20)
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     own = ["g", "id", "n", "place", "root", "out", "bits"]
     # a posting of one block is dealt with others of its bucket, its outsiders on both sides of the product (x and y)
@@ -406,7 +406,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text_col: str) -> D
     copies = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.expr("min(doc_id) filter (where size(prefix) > 0)").alias("node")))
     pre = named.where("size(prefix) > 0").select("doc_id", "n", F.col("prefix").alias("grams"))
     of = written(named.where("size(prefix) > 0").select("doc_id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).select("doc_id", "n", "node").distinct())
-    post = written(postings(profile, parts(profile, 4 << 20)))
+    post = written(postings(profile, parts(profile, 2 << 20)))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

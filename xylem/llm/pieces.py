@@ -189,7 +189,7 @@ def _counted(words: list[pa.Array], n: list[pa.Array]) -> tuple[pa.Array, pa.Arr
 
 def distinct_words(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFrame:
     """(word, n) of all documents; each task names a word once (or a few times, in very large tasks)."""
-    buckets = parts(docs, 16 << 20)
+    buckets = parts(docs, 8 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, held = [], [], 0
@@ -358,9 +358,10 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(vocabulary)
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        by = {s: (x, i) for i, (s, x) in enumerate(zip(v.surfaces, v.scores, strict=True)) if s}
-        for batch in batches:
+        by: dict[str, tuple[float, int]] = {}
+        for batch in batches:  # most tasks have none
+            v = shared.value
+            by = by or {s: (x, i) for i, (s, x) in enumerate(zip(v.surfaces, v.scores, strict=True)) if s}
             ids = pa.array([folded(w, v, by) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict({"word": batch.column(0), "n": batch.column(1), "ids": ids})
 
@@ -420,18 +421,17 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
     def numbered(batch: pa.RecordBatch) -> tuple[int, np.ndarray, np.ndarray, pa.Array]:
         """(the chunk's id, words a row, their numbers, its rare words, whose numbers count on from the frequent ones)."""
         key = hashlib.blake2b(np.asarray(batch.column(0).is_valid()).tobytes() + batch.column(0).fill_null(0).to_numpy().tobytes(), digest_size=8)
-        size, codes, unknown = [], [], []
-        for _, _, buf, offs in t.slices(batch.column(1), 2 << 20):
+        size, own = [], []
+        for _, _, buf, offs in t.slices(batch.column(1)):
             key.update(offs.tobytes())
             key.update(np.ascontiguousarray(buf))
             buf, starts, firsts = cut(buf, offs, pairs.value)
-            own = _strings(buf, starts)
-            k = pc.index_in(own, known.value)
+            own.append(_strings(buf, starts))
             size.append(np.diff(firsts))
-            codes.append(k.fill_null(-1).to_numpy())
-            unknown.append(own.filter(k.is_null()))
-        words = pa.chunked_array(unknown, pa.string()).combine_chunks().dictionary_encode() if unknown else pa.array([], pa.string()).dictionary_encode()
-        code = np.concatenate([np.zeros(0, np.int32), *codes])
+        all_ = pa.chunked_array(own, pa.string())
+        k = pc.index_in(all_, known.value).combine_chunks()  # one look-up a batch, as it hashes the frequent words anew
+        words = all_.filter(k.is_null()).combine_chunks().dictionary_encode()
+        code = np.array(k.fill_null(-1).to_numpy(), np.int32)
         code[code < 0] = count + words.indices.to_numpy()
         return int.from_bytes(key.digest(), "little", signed=True), np.concatenate([np.zeros(0, np.int64), *size]), code, words.dictionary
 
