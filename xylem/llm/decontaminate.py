@@ -6,13 +6,15 @@ fewer words (but some) is one window.  A document word inside any occurrence of
 a window is hit.
 
 The windows' hashes are broadcast where the benchmark's measured bytes are
-within ``max_broadcast_bytes``; a larger benchmark is split into pieces within
-that bound, each broadcast to a scan of its own, and the hits of a document are
-merged.  Hash hits are verified on the words, so collisions never count.
-
-Nulls: a null text has no words and is never hit; an item without an id or a text
-is no item.  Texts may be of any length.  Empty tables give empty
-results (no items: nothing is hit).  Rows with a repeated id are judged apart.
+within ``max_broadcast_bytes``.  Beyond that, a bit table of at most so many bytes is
+broadcast, which nearly all windows of the documents fail; those that pass meet the
+benchmark's windows in a join on hash and words, and each row's hits come back to
+it.  Either way hits are verified on the words, so collisions never count.
+
+Nulls: a null text has no words and is never hit; an item without an id is scanned
+for, but not listed; one without a text is no item.  Texts may be of any length.
+Empty tables give empty results (no items: nothing is hit).  Rows with a repeated id
+are judged apart.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import others, prepare, table, tidied
+from .runtime import others, prepare, table, tidied, written
 
 WINDOW = 13
+U = np.uint64
 
 
 class WindowIndex:
@@ -38,12 +41,12 @@ class WindowIndex:
     def __init__(self, items: list[tuple[object, str | None]], n: int = WINDOW) -> None:
         found: dict[int, dict[bytes, set]] = {}
         for item, text in items:
-            w = split_words(text) if item is not None else []
+            w = split_words(text)
             if w:
                 k = min(n, len(w))
                 own = found.setdefault(k, {})
                 for i in range(len(w) - k + 1):
-                    own.setdefault(b" ".join(w[i : i + k]), set()).add(str(item))
+                    own.setdefault(b" ".join(w[i : i + k]), set()).update([] if item is None else [str(item)])
         self.tables = {}
         for k, own in found.items():
             keys = list(own)
@@ -101,15 +104,6 @@ def scan(index: WindowIndex, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.n
         yield np.diff(firsts), total[firsts[1:]] - total[firsts[:-1]], mask, items
 
 
-def pieces(bench: DataFrame, max_broadcast_bytes: int, id_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """The benchmark in lists within the bound, by measured bytes (one item, where an item is larger)."""
-    size = bench.agg(F.sum(F.octet_length(text_col) + 64)).first()[0] or 0
-    k = max(1, -(-size // max_broadcast_bytes))
-    for i in range(k):
-        own = bench if k == 1 else bench.where(F.pmod(F.xxhash64(id_col), F.lit(k)) == i)
-        yield [(r[0], r[1]) for r in own.select(id_col, text_col).toLocalIterator()]
-
-
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = WINDOW, max_broadcast_bytes: int = 8 << 20, share: int = 20,
                   text_col: str = "text", item_col: str = "item_id", keep_columns: bool = False, remove_spans: bool = False) -> DataFrame:
     """Per document: n_words, n_hit, items (sorted ids as strings), contaminated (a 1/share-th of its words or more are hit).
@@ -119,10 +113,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = WINDOW, max_broadc
     """
     spark = docs.sparkSession
     prepare(spark)
-    todo = list(pieces(bench, max_broadcast_bytes, item_col, text_col))
-    if len(todo) > 1:
-        return _many(docs, todo, n, share, text_col, keep_columns, remove_spans)
-    index = spark.sparkContext.broadcast(pickle.dumps(WindowIndex(todo[0], n)))
+    size = bench.agg(F.sum(F.octet_length(text_col) + 64)).first()[0] or 0
+    if size > max_broadcast_bytes:
+        return _large(docs, bench, n, max_broadcast_bytes, share, text_col, item_col, keep_columns, remove_spans)
+    index = spark.sparkContext.broadcast(pickle.dumps(WindowIndex([(r[0], r[1]) for r in bench.select(item_col, text_col).toLocalIterator()], n)))
     added = ("n_words", "n_hit", "items", "contaminated")
     own = others(docs, added) if keep_columns else ["doc_id"]
     out = docs.select(*own, *([] if text_col in own else [text_col])).schema
@@ -168,35 +162,77 @@ def cut_words(text: str | None, mask: np.ndarray) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _many(docs: DataFrame, todo: list[list[tuple]], n: int, share: int, text_col: str, keep_columns: bool, remove_spans: bool) -> DataFrame:
-    """One scan a piece; a row's hit words are united as its scans' masks."""
+def _windows(texts: pa.Array, sizes: list[int] | None, n: int, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first word, words of it, hash, text) of windows: of benchmark items (``sizes`` None: ``n`` words, or all of a
+    shorter item), or of documents for each of the sizes, where the bit table may have them."""
+    for lo, hi, buf, offs in t.slices(texts):
+        buf = t.LOWER[buf]
+        starts, ends, firsts = t.words(buf, offs, t.ALNUM)
+        h, count = t.word_hashes(buf, starts, ends), np.diff(firsts)
+        for k in sorted({min(n, c) for c in count.tolist() if c}) if sizes is None else sizes:
+            g, at = t.gram_hashes(h, firsts, k)
+            row = t.row_of(firsts, at)
+            keep = (k == n) | (count[row] == k) if sizes is None else (bits[(g >> U(6)) % U(len(bits))] >> (g & U(63))) & U(1) == 1
+            keep = np.broadcast_to(keep, g.shape)
+            g, at, row = g[keep], at[keep], row[keep]
+            text = [b" ".join(buf[starts[i] : ends[i]].tobytes() for i in range(a, a + k)).decode() for a in at.tolist()]
+            yield lo + row, at - firsts[row], np.full(len(g), k), g, text
+
+
+def _large(docs: DataFrame, bench: DataFrame, n: int, bound: int, share: int, text_col: str, item_col: str, keep_columns: bool, remove_spans: bool) -> DataFrame:
+    """The same for benchmarks that are too large to broadcast: windows meet in a join."""
     spark = docs.sparkSession
-    indexes = [spark.sparkContext.broadcast(pickle.dumps(WindowIndex(x, n))) for x in todo]
-    added = ("n_words", "n_hit", "items", "contaminated")
-    own = others(docs, added) if keep_columns else ["doc_id"]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own]
+    words = max(1, bound // 8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col)
-            united: list | None = None
-            for b in indexes:  # one index in memory at a time
-                windows, got = pickle.loads(b.value), []
-                for w, _, mask, its in scan(windows, texts):
-                    first = np.concatenate([[0], np.cumsum(w)])
-                    got += [(mask[first[i] : first[i + 1]], its[i]) for i in range(len(w))]
-                united = got if united is None else [(a | c, x | y) for (a, x), (c, y) in zip(united, got, strict=True)]
-            w = np.array([len(m) for m, _ in united or []], dtype=np.int64)
-            hit = np.array([m.sum() for m, _ in united or []], dtype=np.int64)
-            cols = {c: batch.column(c) for c in own}
-            if remove_spans:
-                cols[text_col] = pa.array([cut_words(texts[i].as_py(), m) for i, (m, _) in enumerate(united or [])], type=pa.string())
-            cols |= {"n_words": pa.array(w, type=pa.int64()), "n_hit": pa.array(hit, type=pa.int64()),
-                     "items": pa.array([sorted(x) for _, x in united or []], type=pa.list_(pa.string())), "contaminated": pa.array((hit > 0) & (share * hit >= w))}
-            yield pa.RecordBatch.from_pydict(cols)
+            for row, _, k, g, text in _windows(batch.column(1), None, n, None):
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k.astype(np.int32)), "g": pa.array(t.signed(g)), "words": pa.array(text, pa.string()), "item": batch.column(0).take(pa.array(row))})
+
+    known = written(bench.select(F.col(item_col).cast("string").alias("item"), text_col).mapInArrow(index, "k int, g long, words string, item string").distinct())
+    sizes = sorted(r[0] for r in known.select("k").distinct().collect())  # at most n
+    # the table's words by their number: at most ``bound`` bytes, however large the benchmark
+    place = F.pmod(F.shiftrightunsigned("g", 6), F.lit(words))
+    rows = known.select(place.alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("g").bitwiseAND(63).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(words, U)
+    bits[rows.column("i").to_numpy()] = rows.column("b").to_numpy().view(U)
+    shared = spark.sparkContext.broadcast(bits)
+    own = others(docs, ("n_words", "n_hit", "items", "contaminated")) if keep_columns else ["doc_id"]
+    numbered = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")))
+
+    def scan_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, at, k, g, text in _windows(batch.column(1), sizes, n, shared.value):
+                yield pa.RecordBatch.from_pydict({"row": batch.column(0).take(pa.array(row)), "at": pa.array(at), "k": pa.array(k.astype(np.int32)), "g": pa.array(t.signed(g)), "words": pa.array(text, pa.string())})
 
-    schema = ", ".join([*kinds, "n_words long", "n_hit long", "items array<string>", "contaminated boolean"])
-    return docs.select(*dict.fromkeys([*own, text_col])).mapInArrow(tidied(run), schema)
+    hits = written(numbered.select("row", "text").mapInArrow(scan_, "row long, at long, k int, g long, words string").join(known, ["k", "g", "words"]).select("row", "at", "k", "item"))
+    spans = hits.select("row", "at", "k").distinct().groupBy("row").agg(F.collect_list(F.struct("at", "k")).alias("spans"))
+    items = hits.where("item is not null").select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = numbered.join(spans, "row", "left").join(items, "row", "left").select("own", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<at:bigint,k:int>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    kind = both.select("own").schema[0].dataType.simpleString()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, hit, cut = [], [], []
+            for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                whole = text.as_py()
+                buf = t.LOWER[np.frombuffer((whole or "").encode(), np.uint8)]
+                count = len(t.words(buf, np.array([0, len(buf)]), t.ALNUM)[0])
+                edge = np.zeros(count + 1, np.int64)
+                for x in found:
+                    edge[x["at"]] += 1
+                    edge[x["at"] + x["k"]] -= 1
+                mask = np.cumsum(edge)[:count] > 0
+                total.append(count)
+                hit.append(int(mask.sum()))
+                cut.append(cut_words(whole, mask) if remove_spans and hit[-1] else whole)
+            w, x = np.array(total, np.int64), np.array(hit, np.int64)
+            yield pa.RecordBatch.from_pydict({"own": batch.column(0), "text": pa.array(cut, pa.string()), "n_words": pa.array(w), "n_hit": pa.array(x), "items": batch.column(3), "contaminated": pa.array((x > 0) & (share * x >= w))})
+
+    out = both.mapInArrow(tidied(finish), f"own {kind}, text string, n_words long, n_hit long, items array<string>, contaminated boolean")
+    first = [(F.col("text") if remove_spans and c == text_col else F.col(f"own.`{c}`")).alias(c) for c in own]
+    first += [F.col("text").alias(text_col)] if remove_spans and text_col not in own else []
+    return out.select(*first, "n_words", "n_hit", "items", "contaminated")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
