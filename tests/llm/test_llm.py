@@ -59,14 +59,16 @@ def unique(docs):
 
 @pytest.mark.parametrize("bound", [8 << 20, 150])
 def test_decontaminate(spark, docs, none, duck, bound):
-    bench = spark.createDataFrame(duck.execute("SELECT item_id, text FROM benchmark").fetchall(), "item_id long, text string")
+    bench = spark.createDataFrame(duck.execute("SELECT item_id, text FROM benchmark").fetchall(), "item_id long, text string").repartition(2)
     out = decontaminate.decontaminate(unique(docs), bench, max_broadcast_bytes=bound)
     out = out.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
     same(out.toPandas(), duck.execute(decontaminate.OP2_SQL).df(), ["doc_id"])
     assert decontaminate.decontaminate(docs, bench.limit(0), max_broadcast_bytes=bound).where("n_hit > 0").isEmpty()
     assert decontaminate.decontaminate(none, bench, max_broadcast_bytes=bound).isEmpty()
     cut = decontaminate.decontaminate(docs, bench, max_broadcast_bytes=bound, keep_columns=True, remove_spans=True).where("doc_id = 15").first()
-    assert cut.text.strip() == "" and cut.source == "s"
+    assert cut.text.strip() == "" and cut.source == "s" and cut.asDict()["n_words"] == 20
+    unnamed = decontaminate.decontaminate(docs, bench.union(spark.createDataFrame([(None, LONG), (None, None), (7, LONG)], bench.schema)), max_broadcast_bytes=bound)
+    assert {(r.n_hit, tuple(r["items"])) for r in unnamed.where("doc_id = 1").collect()} == {(60, ("7",))}
 
 
 def test_near_duplicates(docs, none, duck):
@@ -338,6 +340,26 @@ def test_secrets_by_randomness(spark):
     assert sum(out[1000 + i] for i in range(40)) > 20 and not any(out[i] for i in range(400)) and out[2000] == 0
 
 
+def test_secrets_without_long_words(spark):
+    """Keys are found where the corpus has no long words to compare with, and by length; ordinary tokens with digits are not."""
+    r = random.Random(12)
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    base62, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"
+    rows = [(i, f"use {key(40, base62)} now") for i in range(40)] + [(100 + i, f"or {key(64, hexes)} then") for i in range(40)]
+    rows += [(200 + i, f"see introductionchapter{r.randrange(100)} and developmentdepartment{2000 + i}") for i in range(40)] + [(300 + i, "id " + "7" * 20 + str(i)) for i in range(20)]
+    out = {x.doc_id: [(rows_[s.s : s.e]) for s in x.spans] for x, rows_ in ((x, dict(rows)[x.doc_id]) for x in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect())}
+    assert sum(len(out[i]) for i in range(40)) > 36 and sum(len(out[100 + i]) for i in range(40)) > 36
+    assert not any(out[i] for i in out if i >= 200) and all(x == [dict(rows)[i].split()[1]] for i, x in out.items() if x)
+
+
+def test_departure_agrees(spark):
+    """The simulation's departure is the Column's."""
+    r = random.Random(13)
+    tokens = [key for a in ("0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "aA0+/") for n in (16, 23, 64) for key in ["".join(r.choice(a) for _ in range(n))]] + ["a" * 16, "ab" * 10]
+    got = spark.createDataFrame([(x,) for x in tokens], "t string").select("t", secrets.departure(F.col("t")).alias("d")).collect()
+    assert all(abs(x.d - secrets.departure_of(x.t)) < 1e-9 for x in got)
+
+
 def test_language(spark, docs, none):
     r = random.Random(2)
     syllables = {"en": ["the", "ing", "er", "and"], "de": ["sch", "ung", "ein", "ü"], "es": ["ción", "ar", "os", "ñ"]}

@@ -9,23 +9,30 @@ whether it departs from random text over that alphabet:
 * runs: switches between the alphabet's lower and upper half;
 * serial correlation of neighbouring characters.
 
-Their normal scores are summed up as one departure.  Tokens of letters only are
-the corpus's own ordinary words, and their departures, by length, give the chance
-that an ordinary token of that length departs as little.  Among tokens with a
-digit, the Benjamini-Hochberg bound on that chance, again by length, decides which
-are reported, so the share of ordinary tokens among them stays below ``rate``.
-Tokens without letters are numbers and not judged.
+Their normal scores are summed up as one departure.  How far ordinary tokens depart
+comes from two sources, by length: tokens of letters only in the corpus, of this and
+all shorter length classes (longer words depart further, so shorter ones err on the
+safe side), and a fixed simulation of words, with or without a number behind, for
+corpora that hold few.  Together they give the chance that an ordinary token of that
+length departs as little.  Among tokens with letters and digits, the Benjamini-
+Hochberg bound on that chance, again by length, decides which are reported, so the
+share of ordinary tokens among them stays below ``rate``.  Tokens without letters are
+numbers and tokens without digits are words: neither is reported.
 
 All of it is DataFrame operations.  Counts by length class and departure step are
 all that leaves the executors: at most ``LENGTHS`` times ``STEPS`` rows, however
 many documents.
 
-A null text counts as empty.  Ids are not needed to be unique or not null.
-Empty tables, and tables without ordinary tokens to compare with, add no spans.
+A null text counts as empty; texts may be of any length.  Ids need not be unique or
+not null.  Columns that come along keep their values, whatever their names; ``base``
+and ``spans`` replace columns of these names.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +122,44 @@ def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select("own", F.array_sort(F.concat(*spans)).alias("base"), placed("token", tested, _TOKEN[6:-1]).alias("tokens"))
 
 
+#: Letters by how often English has them, and how often the first is.
+LETTERS, SIMULATED = "etaoinshrdlcumwfgypbvkjxqz", 2_000
+
+
+def departure_of(token: str) -> float:
+    """``departure`` of one token, for the simulation."""
+    alphabet = next(a for _, p, a in ENCODINGS if re.match(p, token))
+    i = np.array([alphabet.find(c) + 1 for c in token], float)
+    n, k = len(token), len(alphabet)
+    chi = (k / n * (np.unique(i, return_counts=True)[1] ** 2.0).sum() - n - (k - 1)) / np.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = i > k // 2
+    up = float(high.sum())
+    both, runs = 2 * up * (n - up), 1 + (high[1:] != high[:-1]).sum()
+    var = both * (both - n) / (n * n * (n - 1))
+    off = abs(runs - both / n - 1)
+    x = i - i.mean()
+    serial = abs((x[1:] * x[:-1]).sum() / (x * x).sum() * np.sqrt(n) + 1 / np.sqrt(n)) if x.any() else np.sqrt(n)
+    return max(chi, 0.0) + (off / np.sqrt(var) if var > 0 else off) / 2 + serial / 2
+
+
+@lru_cache(1)
+def simulated() -> dict[int, np.ndarray]:
+    """By length class: how many of ``SIMULATED`` ordinary tokens depart by each step.  Their letters are drawn one by one, so
+    they depart less than words with their habits do."""
+    r = np.random.default_rng(20_241)
+    weight = 1 / np.arange(1, len(LETTERS) + 1) ** 0.9
+    out = {}
+    for low, high in zip(LENGTHS, (*LENGTHS[1:], 2 * LENGTHS[-1]), strict=True):
+        steps = np.zeros(STEPS, np.int64)
+        for _ in range(SIMULATED):
+            n = int(r.integers(low, high))
+            digits = int(r.integers(0, 5))
+            word = "".join(r.choice(list(LETTERS), n - digits, p=weight / weight.sum())) + "".join(map(str, r.integers(0, 10, digits)))
+            steps[min(int(departure_of(word) * 4), STEPS - 1)] += 1
+        out[low] = steps
+    return out
+
+
 def _length(n: Column) -> Column:
     return F.coalesce(*(F.when(n >= k, F.lit(k)) for k in reversed(LENGTHS)))
 
@@ -125,8 +170,10 @@ def limits(found: DataFrame, rate: float = RATE) -> dict[int, int]:
     counts = {k: np.zeros((2, STEPS), np.int64) for k in LENGTHS}
     for r in rows:  # at most a row for each length class, step and flag
         counts[r["length"]][int(r["digit"]), r["step"]] += r["count"]
-    out = {}
-    for k, (plain, mixed) in counts.items():
+    out, ordinary = {}, np.zeros(STEPS, np.int64)
+    for k, (own, mixed) in counts.items():  # the shortest first
+        ordinary = ordinary + own
+        plain = ordinary + simulated()[k]
         chance = (np.cumsum(plain) + 1) / (plain.sum() + 1)
         reported = np.cumsum(mixed)
         ok = np.flatnonzero((reported > 0) & (chance * mixed.sum() <= rate * reported))
