@@ -176,14 +176,18 @@ def _unpacked(data: bytes, lists: int) -> list[np.ndarray]:
 def _dealt(words: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, rows of its words), by the words' hashes."""
     buf, offs = _raw(words)
-    at = ((t.word_hashes(buf, offs[:-1], offs[1:]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    at, lo = np.empty(len(words), np.int64), 0
+    while lo < len(words):  # hashing takes many times the bytes it reads
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + t.SLICE_BYTES // 2, side="right")) - 1)
+        h = t.word_hashes(buf[offs[lo] : offs[hi]], offs[lo:hi] - offs[lo], offs[lo + 1 : hi + 1] - offs[lo])
+        at[lo:hi], lo = (h >> np.uint64(20)) % np.uint64(buckets), hi
     order = np.argsort(at, kind="stable")
     own, first = np.unique(at[order], return_index=True)
     yield from zip(own.tolist(), np.split(order, first[1:]) if len(own) else (), strict=True)
 
 
 def _counted(words: list[pa.Array], n: list[pa.Array]) -> tuple[pa.Array, pa.Array]:
-    got = pa.table({"word": pa.chunked_array(words, pa.string()), "n": pa.chunked_array(n, pa.int64())}).group_by("word").aggregate([("n", "sum")])
+    got = pa.table({"word": pa.chunked_array(words, pa.string()), "n": pa.chunked_array(n, pa.int64())}).group_by("word", use_threads=False).aggregate([("n", "sum")])
     return got.column("word").combine_chunks(), got.column("n_sum").combine_chunks()
 
 

@@ -83,6 +83,7 @@ def tidied(work: Callable[[Iterator[T]], Iterator[T]]) -> Callable[[Iterator[T]]
 
     @functools.wraps(work)
     def run(batches: Iterator[T]) -> Iterator[T]:
+        pa.set_cpu_count(1)  # a task has one core, and each thread's pool would hold memory of its own
         yield from work(batches)
         _give_back()
 
@@ -93,11 +94,13 @@ def tidied_group(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     """The same for ``work`` on a group, or on two groups of one key."""
 
     def one(a: pa.Table) -> pa.Table:
+        pa.set_cpu_count(1)
         out = work(a)
         _give_back()
         return out
 
     def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        pa.set_cpu_count(1)
         out = work(a, b)
         _give_back()
         return out
