@@ -7,10 +7,13 @@ within a class.  The posterior of each pattern is then the label, weighted by it
 certainty, of a linear scorer over hashed word shapes and words, which judges all
 documents.
 
-The scorer learns from at most about ``sample`` documents, picked by a hash of
-the id (the text, where ids are null); vote patterns are counted over all rows.
-A null text counts as an empty one: most labellers abstain and the rest see no fault.
-An empty table gives an empty result.
+The scorer learns from about ``sample`` documents, picked by a hash of id and text, of
+repeated rows one, and only of those with at most ``features`` word shapes and words,
+so what comes to the driver is bounded; vote patterns are counted over all rows, and
+all texts are judged whole, of any length.  A null text counts as an empty one: most
+labellers abstain and the rest see no fault.  Ids may be null or repeated.  Columns
+that come along keep their names, but for those that results replace, whatever their
+case.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from . import textops as t
 from .runtime import others, prepare, table
 
 LABELLERS = ("symbols", "capitals", "word_length", "line_ends", "repeated_words", "repeated_lines", "stutter", "decorated_words")
-BUCKETS, SAMPLE, THRESHOLD = 1 << 16, 12_000, 0.5
+BUCKETS, SAMPLE, FEATURES, THRESHOLD = 1 << 16, 12_000, 4_096, 0.5
 GOOD, BAD, NONE = 1, 0, 2
 
 _UPPER = np.zeros(256, bool)
@@ -168,7 +171,7 @@ def _code(v: np.ndarray) -> np.ndarray:
     return v @ 3 ** np.arange(v.shape[1])
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> tuple[dict[int, float], tuple[np.ndarray, float], np.ndarray]:
+def learn(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", features: int = FEATURES) -> tuple[dict[int, float], tuple[np.ndarray, float], np.ndarray]:
     """(posterior by vote pattern, scorer, chance of each vote by labeller and class)."""
     spark = docs.sparkSession
     prepare(spark)
@@ -196,11 +199,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> tupl
                 starts, i, share = shapes(buf, offs)
                 idx += [a.astype(np.int32).tobytes() for a in np.split(i, starts[1:-1])]
                 x += [a.astype(np.float32).tobytes() for a in np.split(share, starts[1:-1])]
-            yield pa.RecordBatch.from_pydict({"k": batch.column(0), "y": pa.array(y, pa.float64()), "i": pa.array(idx, pa.binary()), "x": pa.array(x, pa.binary())})
+            small = pa.array([len(a) <= 4 * features for a in idx], pa.bool_())
+            yield pa.RecordBatch.from_pydict({"k": batch.column(0), "y": pa.array(y, pa.float64()), "i": pa.array(idx, pa.binary()), "x": pa.array(x, pa.binary())}).filter(small)
 
     share = min(1.0, sample / max(1, int(n.sum())))
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(text_col)) if "doc_id" in docs.columns else F.xxhash64(text_col)
-    some = docs.select(key.alias("k"), text_col).where(F.pmod(F.col("k"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    key = F.xxhash64("doc_id", text_col) if "doc_id" in docs.columns else F.xxhash64(text_col)
+    some = docs.select(key.alias("k"), text_col).where(F.pmod(F.col("k"), F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["k"])
     got = some.mapInArrow(gather, "k long, y double, i binary, x binary").orderBy("k", "y", "i").toArrow()
     lists = [np.frombuffer(v.as_py(), np.int32).astype(np.int64) for v in got.column("i")]
     starts = np.concatenate([[0], np.cumsum([len(a) for a in lists])]).astype(np.int64)

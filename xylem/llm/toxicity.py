@@ -9,7 +9,9 @@ so the toxic share hidden in the unlabelled text is taken out, and the rest may
 not fall below zero; where it would, the step goes against it instead.
 
 It learns from at most ``positives`` toxic and ``unlabelled`` other documents of
-the training folds, picked by a hash of the id; the prior is the share of toxic
+the training folds, picked by a hash of the id (of several rows of one id, the text of the least hash),
+and only from those with at most ``MOST`` distinct buckets, so what comes to the
+driver is bounded; the prior is the share of toxic
 rows among the labelled ones there.  All documents are scored, on all their words.
 A null or empty text is scored as a text without words.  Without any toxic
 training row the model is constant at the prior (0 without labels).
@@ -29,6 +31,8 @@ from .language import fold
 from .runtime import others, prepare, scratch, table, written
 
 BUCKETS, POSITIVES, UNLABELLED, THRESHOLD = 1 << 18, 6_000, 18_000, 0.3
+#: Distinct buckets of a row that is learned from.
+MOST = 8_192
 #: A bucket has a weight if so many toxic documents have it, and its shares lie so many standard errors apart.
 LEAST, APART = 3, 5.0
 #: Bytes of the word beginnings that are features beside whole words, so that a word family is known by its stem.
@@ -179,7 +183,8 @@ def _trained(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int
                 out += [x.astype(np.int32).tobytes() for x in np.split(idx, starts[1:-1])]
             yield pa.RecordBatch.from_pydict({"y": batch.column(0), "doc_id": batch.column(1), "x": pa.array(out, pa.binary())})
 
-    picked = written(rows.join(F.broadcast(chosen), "doc_id").select("y", "doc_id", "text").mapInArrow(run, "y int, doc_id long, x binary"))
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("y", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    picked = written(texts.mapInArrow(run, "y int, doc_id long, x binary").where(F.octet_length("x") <= 4 * MOST))
     live = _live(picked)
     shared = docs.sparkSession.sparkContext.broadcast(live)
 
