@@ -95,3 +95,11 @@ def test_precision_decimal(spark):
 def test_versions():
     assert problem("+INF", Simple("double")) == "value" and problem("+INF", Simple("double"), "1.1") is None
     assert problem("0000", Simple("gYear")) == "value" and problem("0000", Simple("gYear"), "1.1") is None
+
+
+def test_long_values(spark):
+    """Values of a megabyte pass without a stack for each character."""
+    df = spark.createDataFrame([("YWJj" * 300_000, "0a" * 500_000, "ab1 " * 250_000, "a" * 1_000_000)], "b string, h string, t string, n string")
+    got = df.select(check(F.col("b"), Simple("base64Binary")).alias("b"), check(F.col("h"), Simple("hexBinary")).alias("h"), check(F.col("t"), Simple("string").restrict((r"([a-z]+[0-9]|\s)*",))).alias("t"), check(F.col("n"), Simple("NCName")).alias("n"),
+                    check(F.col("t"), Simple("string", item=Simple("token").restrict(("([a-z]|[0-9])+",)))).alias("l"), check(F.col("t"), Simple("NMTOKENS")).alias("k")).first()
+    assert list(got) == [None] * 6

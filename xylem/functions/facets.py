@@ -9,6 +9,7 @@ decimals exactly at any size; the rules are those of ``plans.values``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -120,7 +121,7 @@ def _same(a: Column, b: Column, t: Simple) -> Column:
 
 
 def check(c: Column, t: Simple, version: str = "1.0") -> Column:
-    return F.when(c.isNotNull(), lexical.let(lexical.whitespace(c, t.whitespace), lambda v: checked(v, t, version)) if BUILTINS[t.builtin].primitive != "precisionDecimal" else checked(lexical.whitespace(c, t.whitespace), t, version))
+    return F.when(c.isNotNull(), lexical.let(lexical.whitespace(c, t.whitespace), lambda v: checked(v, t, version)) if not _by_hand(t) else checked(lexical.whitespace(c, t.whitespace), t, version))
 
 
 def with_check(df: DataFrame, c: Column, t: Simple, name: str, version: str = "1.0") -> DataFrame:
@@ -131,8 +132,8 @@ def with_check(df: DataFrame, c: Column, t: Simple, name: str, version: str = "1
 
 def checked(v: Column, t: Simple, version: str = "1.0") -> Column:
     """``check`` of a value that is not null and whose white space is normalised."""
-    if not t.item and not t.members and BUILTINS[t.builtin].primitive == "precisionDecimal":
-        return _by_worker(v, t, version)  # digits and scales as written have no native form
+    if _by_hand(t):
+        return _by_worker(v, t, version)
     tests: list[tuple[Column, str]] = [(~v.rlike(anchored(list(step))), "pattern") for step in t.patterns]
     f, size = t.facets, None
     if t.members:
@@ -167,17 +168,29 @@ def checked(v: Column, t: Simple, version: str = "1.0") -> Column:
     return _first(*tests)
 
 
+def _by_hand(t: Simple) -> bool:
+    """Whether a type has no safe native form: digits and scales as written, and patterns that repeat a group, whose
+    matching in Java takes a stack frame for each time, so that a long value would end the executor."""
+    if t.members or t.item:
+        return any(map(_by_hand, (*t.members, *([t.item] if t.item else ())))) or _repeats(t)
+    return BUILTINS[t.builtin].primitive == "precisionDecimal" or _repeats(t)
+
+
+def _repeats(t: Simple) -> bool:
+    return any(re.search(r"\)(?:[*+]|\{[0-9]+,\}|\{[0-9]*,?[0-9]{3,}\})", p) for step in t.patterns for p in step)
+
+
 def _by_worker(v: Column, t: Simple, version: str) -> Column:
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
+    def run(values):
         from ..plans.values import compiled
 
         c = compiled(t, version)
         return values.map(lambda x: None if x is None else c.look(x)[0])
 
-    return run(v)
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(v)
 
 
 def member(c: Column, t: Simple, version: str = "1.0") -> Column:

@@ -23,6 +23,7 @@ from ..plans.values import compiled
 
 DEEPEST = 10_000
 _BLANK = " \t\r\n"
+_NAMES = ("QName", "NOTATION")
 
 
 class _Stop(Exception):
@@ -245,6 +246,8 @@ class Validator:
                     if why is not None:
                         self.say("XSD2004", f"{_name(f.raw)[1]}: {lexical[:60]!r} fails {why}")
                     canon = key = None
+                elif plan.marked and own.builtin in _NAMES and not own.item:
+                    canon, key = self.spelled(canon)
                 elif plan.fixed is not None and key != plan.fixed:
                     self.say("XSD2004", f"{_name(f.raw)[1]} is fixed to {plan.decl.fixed}")
             elif plan.model is not None:
@@ -343,6 +346,8 @@ class Validator:
                 canon = key = None
             elif use.marked and not self.marks(v, own, f"the attribute {use.local}", f.seq):
                 canon = key = None
+            elif use.marked and own.builtin in _NAMES and not own.item:
+                canon, key = self.spelled(canon)
             elif use.fixed is not None and key != use.fixed:
                 self.say("XSD2004", f"the attribute {use.local} is fixed to {use.attribute.fixed}")
             out.append((use.clark, v, canon, key, False))
@@ -403,6 +408,12 @@ class Validator:
             else:
                 f.nil = nil in ("true", "1")
 
+    def spelled(self, v: str) -> tuple[str, object]:
+        """A name's canonical form is its Clark form: prefixes are no part of the value."""
+        prefix, _, local = v.rpartition(":")
+        out = clark((self.scopes[-1][1].get(prefix) or None, local))
+        return out, ("QName", out)
+
     def marks(self, v: str, t: Simple, what: str, owner: int) -> bool:
         """Records identifiers and references; false for a name with an unknown prefix."""
         kind = t.item.builtin if t.item else t.builtin

@@ -189,15 +189,7 @@ def children(s: SchemaSet, t: Complex) -> list[tuple[Name, bool, bool]]:
     if a.limits is not None:
         by = {n: [a.limits[i] for i, m in enumerate(a.names) if n in m] for n in names}
         return [(n, any(h == UNBOUNDED or h > 1 for _, h in v) or len(v) > 1, a.nullable or not any(low and len(m) == 1 for (low, _), m in zip(a.limits, a.names, strict=True) if n in m)) for n, v in by.items()]
-    reach = [set(f) for f in a.follow]
-    changed = True
-    while changed:
-        changed = False
-        for r in reach:
-            more = set().union(*(reach[q] for q in r)) - r if r else set()
-            if more:
-                r |= more
-                changed = True
+    again = _cyclic(a)
     out = []
     for n in names:
         own = {i for i, m in enumerate(a.names) if n in m}
@@ -212,5 +204,60 @@ def children(s: SchemaSet, t: Complex) -> list[tuple[Name, bool, bool]]:
             seen.add(p)
             optional = p in a.last
             todo += [q for q in a.follow[p] if q not in forced]
-        out.append((n, any(reach[p] & own for p in own), optional))
+        out.append((n, any(again[p] for p in own) or len(own) > 1 and _reaches(a, own), optional))
     return out
+
+
+def _cyclic(a: Automaton) -> list[bool]:
+    """Which positions can come again after themselves: those of a strongly connected component with a move inside."""
+    n = len(a.follow)
+    index, low, on, out, stack, count = [0] * n, [0] * n, [False] * n, [False] * n, [], 0
+    for root in range(n):
+        if index[root]:
+            continue
+        work = [(root, iter(a.follow[root]))]
+        count += 1
+        index[root] = low[root] = count
+        stack.append(root)
+        on[root] = True
+        while work:
+            p, ahead = work[-1]
+            for q in ahead:
+                if not index[q]:
+                    count += 1
+                    index[q] = low[q] = count
+                    stack.append(q)
+                    on[q] = True
+                    work.append((q, iter(a.follow[q])))
+                    break
+                if on[q]:
+                    low[p] = min(low[p], index[q])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[p])
+                if low[p] == index[p]:
+                    members = []
+                    while True:
+                        q = stack.pop()
+                        on[q] = False
+                        members.append(q)
+                        if q == p:
+                            break
+                    if len(members) > 1 or p in a.follow[p]:
+                        for q in members:
+                            out[q] = True
+    return out
+
+
+def _reaches(a: Automaton, own: set[int]) -> bool:
+    """Whether one of some positions leads to another of them."""
+    todo, seen = [q for p in own for q in a.follow[p]], set()
+    while todo:
+        q = todo.pop()
+        if q in own:
+            return True
+        if q not in seen:
+            seen.add(q)
+            todo += a.follow[q]
+    return False

@@ -401,6 +401,14 @@ class Loader:
         for kind, full, uri, line in self.refs:
             if kind in spaces and full not in spaces[kind]:
                 out.diagnostics.append(Diagnostic("XSD1201", f"nothing of {kind} is named {full[1]} in {full[0]}", "warning" if lax else "error", uri, line))
+        if lax:  # what refers to nothing goes
+            for t in out.types.values():
+                self.prune(t.particle if isinstance(t, Complex) else None)
+            for g in out.groups.values():
+                self.prune(Particle(g))
+            for e in out.elements.values():
+                self.prune(e.type.particle if isinstance(e.type, Complex) else None)
+                e.heads = tuple(h for h in e.heads if h in out.elements)
         self.uri = None
         declared = {n: t for n, t in out.types.items() if isinstance(t, Declared)}
         out.declared = {n: (dict(t.facets), list(t.patterns)) for n, t in declared.items()}
@@ -443,6 +451,16 @@ class Loader:
         for code, message in rules.components(out, declared):
             self.say(code, message)
 
+    def prune(self, p: Particle | None) -> None:
+        if p is None:
+            return
+        if isinstance(p.term, Group):
+            p.term.items = [x for x in p.term.items if not (isinstance(x.term, tuple) and x.term not in self.out.elements or isinstance(x.term, GroupRef) and x.term.name not in self.out.groups)]
+            for x in p.term.items:
+                self.prune(x)
+        elif isinstance(p.term, Element) and isinstance(p.term.type, Complex):
+            self.prune(p.term.type.particle)
+
     def named(self) -> None:
         """Identity constraints given by reference are those they name."""
         def fill(e: Element) -> None:

@@ -459,6 +459,199 @@ def component_counts(spark, d):
     return catalog.counts(spark, s).where("component in ('elements', 'types', 'local_elements')")
 
 
+@query("""SELECT valid, count(*)::BIGINT AS n FROM (SELECT try_cast(strftime(o_orderdate::DATE, '%Y-%m-') || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS DATE) IS NOT NULL AS valid FROM orders) GROUP BY valid""")
+def parse_date_validity(spark, d):
+    """Days 0 to 32 of real months: those that exist are dates."""
+    c = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((F.col("o_orderkey") % 33).cast("string"), 2, "0"))
+    return t(spark, d, "orders").groupBy(lexical.is_valid(c, "date").alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT valid, count(*)::BIGINT AS n FROM (SELECT try_cast('2000-' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS DATE) IS NOT NULL AS valid FROM orders) GROUP BY valid""")
+def parse_month_day_validity(spark, d):
+    c = F.concat(F.lit("--"), F.lpad((F.col("o_orderkey") % 14).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("o_orderkey") % 33).cast("string"), 2, "0"))
+    return t(spark, d, "orders").groupBy(lexical.is_valid(c, "gMonthDay").alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, rtrim(rtrim(o_totalprice::DECIMAL(18,2)::VARCHAR, '0'), '.') AS canonical FROM orders")
+def canonical_decimal(spark, d):
+    c = F.concat(F.lit("+00"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("000"))
+    return t(spark, d, "orders").select("o_orderkey", lexical.canonical(c, "decimal").alias("canonical"))
+
+
+@query("""SELECT n, CASE WHEN n = 0 THEN 'PT0S' ELSE 'P' || CASE WHEN n >= 1440 THEN (n // 1440) || 'D' ELSE '' END || CASE WHEN n % 1440 > 0 THEN 'T' ELSE '' END || CASE WHEN n // 60 % 24 > 0 THEN (n // 60 % 24) || 'H' ELSE '' END || CASE WHEN n % 60 > 0 THEN (n % 60) || 'M' ELSE '' END END AS canonical
+FROM (SELECT DISTINCT o_orderkey % 5000 AS n FROM orders)""")
+def canonical_duration(spark, d):
+    """Minutes as days, hours and minutes."""
+    n = t(spark, d, "orders").select((F.col("o_orderkey") % 5000).alias("n")).distinct()
+    return n.select("n", lexical.canonical(F.concat(F.lit("PT"), F.col("n").cast("string"), F.lit("M")), "dayTimeDuration").alias("canonical"))
+
+
+@query("SELECT k, (k * 100)::VARCHAR AS large, CASE WHEN k = 0 THEN '0' ELSE rtrim(printf('%.5f', k / 100000.0), '0') END AS small FROM (SELECT DISTINCT o_orderkey % 1000 AS k FROM orders)")
+def canonical_double(spark, d):
+    """Numbers with an exponent, spelled without."""
+    k = t(spark, d, "orders").select((F.col("o_orderkey") % 1000).alias("k")).distinct()
+    text = F.col("k").cast("string")
+    return k.select("k", lexical.canonical(F.concat(text, F.lit("E2")), "double").alias("large"), lexical.canonical(F.concat(text, F.lit("e-05")), "double").alias("small"))
+
+
+@query("""SELECT sign, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_id % 3 = 2 AND abs(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-15 12:00:00')) <= 50400 THEN NULL
+ELSE sign(epoch(date_trunc('second', ts)) - CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3600 ELSE 0 END - epoch(TIMESTAMP '2024-01-15 12:00:00'))::INT END AS sign FROM events) GROUP BY sign""")
+def temporal_order_zones(spark, d):
+    """Instants in two zones, and without one, against an instant: without a zone, half a day and two hours are undecided."""
+    k = F.col("event_id") % 3
+    c = F.concat(F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(k == 0, "Z").when(k == 1, "+01:00").otherwise(""))
+    b = F.lit("2024-01-15T12:00:00Z")
+    sign = lexical.compare_instants(lexical.instant(c, "dateTime"), lexical.zoned(c), lexical.instant(b, "dateTime"), lexical.zoned(b))
+    return t(spark, d, "events").groupBy(sign.alias("sign")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE o_orderkey % 4 WHEN 0 THEN 'maxScale' WHEN 1 THEN 'ok' WHEN 2 THEN 'minScale' ELSE 'totalDigits' END AS outcome, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def precision_decimal_scale(spark, d):
+    """Scale and digits as written, not as valued."""
+    k = F.col("o_orderkey") % 4
+    whole = (F.col("o_orderkey") % 90 + 10).cast("string")
+    c = F.when(k == 0, F.concat(whole, F.lit(".500"))).when(k == 1, F.concat(whole, F.lit(".50"))).when(k == 2, F.concat(whole, F.lit("E1"))).otherwise(F.concat(F.lit("123456"), whole, F.lit(".5")))
+    return facet(spark, d, "orders", c, Simple("precisionDecimal").restrict(minScale=0, maxScale=2, totalDigits=6))
+
+
+@query("SELECT CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'explicitTimezone' ELSE 'value' END AS outcome, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def facet_explicit_timezone(spark, d):
+    k = F.col("event_id") % 3
+    c = F.concat(F.date_format("ts", "HH:mm:ss"), F.when(k == 0, "Z").when(k == 1, "").otherwise("+15:00"))
+    return facet(spark, d, "events", c, Simple("time").restrict(explicitTimezone="required"))
+
+
+@query(r"SELECT CASE WHEN regexp_full_match(text, '[\x00-\x7F\x{80}-\x{FF}]*') THEN 'ok' ELSE 'pattern' END AS outcome, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def pattern_blocks(spark, d):
+    return facet(spark, d, "documents", F.col("text"), Simple().restrict((r"(\p{IsBasicLatin}|\p{IsLatin-1Supplement})*",)))
+
+
+@query("SELECT CASE WHEN regexp_full_match(lower(w), '[b-df-hj-np-tv-z][a-z]*') THEN 'ok' ELSE 'pattern' END AS outcome, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part) GROUP BY 1")
+def pattern_subtraction(spark, d):
+    """A class less another, and an escape that is a class."""
+    w = t(spark, d, "part").select(F.explode(F.split("p_type", " ")).alias("w"))
+    return with_check(w, F.lower("w"), Simple().restrict((r"[a-z-[aeiou]]\c*",)), "outcome").groupBy(F.coalesce("outcome", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'enumeration' WHEN o_orderkey % 3 = 1 THEN 'ok' ELSE 'maxLength' END AS outcome, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def list_enumeration(spark, d):
+    """Lists are compared item by item, as values."""
+    k = F.col("o_orderkey") % 3
+    c = F.when(k == 0, "1 3").when(k == 1, " 01   2.0 ").otherwise("1 2 3 4")
+    return facet(spark, d, "orders", c, Simple("string", item=Simple("decimal")).restrict(maxLength=3).restrict(enumeration=("1 2", "5")))
+
+
+def verdicts(df: DataFrame, schemas: SchemaSet, key: str) -> DataFrame:
+    """How many documents give each list of codes."""
+    found = documents.validate(df, schemas)
+    return found.groupBy(F.array_join(F.transform("diagnostics", lambda x: x["code"]), " ").alias("codes")).agg(F.count(key).alias("n"))
+
+
+REFS_XSD = """<xs:element name="o"><xs:complexType><xs:sequence><xs:element name="l" minOccurs="0" maxOccurs="unbounded"><xs:complexType><xs:attribute name="id" type="xs:ID"/><xs:attribute name="of" type="xs:IDREF"/><xs:attribute name="n" type="xs:int"/><xs:attribute name="to" type="xs:integer"/></xs:complexType></xs:element></xs:sequence></xs:complexType>
+<xs:key name="k"><xs:selector xpath="l"/><xs:field xpath="@n"/></xs:key><xs:keyref name="r" refer="k"><xs:selector xpath=".//l"/><xs:field xpath="@to"/></xs:keyref></xs:element>"""
+
+
+@query("SELECT l_orderkey, least(2, count(*))::BIGINT AS lost_keys, 1::BIGINT AS lost_ids FROM lineitem GROUP BY 1")
+def keyrefs_in_documents(spark, d):
+    """Each line refers to the second next by key and to the next by ID; the last ones lead nowhere."""
+    one = lambda n: xml.element("l", "", {"id": F.concat(F.lit("x"), n.cast("string")), "of": F.concat(F.lit("x"), (n + 1).cast("string")), "n": n, "to": n + 2})
+    g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("m"))
+    docs = g.select("l_orderkey", xml.element("o", F.array_join(F.transform(F.sequence(F.lit(1), F.col("m")), one), "")).alias("xml"))
+    found = documents.diagnostics(documents.validate(docs, schema_of(REFS_XSD)))
+    return found.groupBy("l_orderkey").agg(F.count_if(F.col("code") == "XSD2016").alias("lost_keys"), F.count_if(F.col("code") == "XSD2012").alias("lost_ids"))
+
+
+PAY_XSD = """<xs:element name="paid" type="xs:decimal" abstract="true"/><xs:element name="cash" substitutionGroup="paid"/><xs:element name="points" type="xs:integer" substitutionGroup="paid"/><xs:element name="check" type="xs:decimal"/>
+<xs:element name="order"><xs:complexType><xs:sequence><xs:element ref="paid"/></xs:sequence></xs:complexType></xs:element>"""
+
+
+@query("SELECT CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'XSD2004' WHEN 3 THEN 'XSD2002 XSD2003' ELSE 'XSD2002 XSD2013 XSD2003' END AS codes, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def substitution_in_documents(spark, d):
+    """Members of a group in their head's place, one with a value that is not of its narrower type, an outsider, and the abstract head."""
+    k = F.col("o_orderkey") % 5
+    body = F.when(k == 0, "<cash>1.5</cash>").when(k == 1, "<points>7</points>").when(k == 2, "<points>7.5</points>").when(k == 3, "<check>1</check>").otherwise("<paid>1</paid>")
+    return verdicts(t(spark, d, "orders").select("o_orderkey", xml.element("order", body).alias("xml")), schema_of(PAY_XSD), "o_orderkey")
+
+
+ANY_XSD = """<xs:element name="known" type="xs:int"/><xs:element name="r"><xs:complexType><xs:sequence><xs:element name="a" type="xs:int"/><xs:any namespace="{}" processContents="{}"/></xs:sequence></xs:complexType></xs:element>"""
+
+
+@query("""SELECT process, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN CASE process WHEN 'skip' THEN '' ELSE 'XSD2004' END ELSE CASE process WHEN 'strict' THEN 'XSD2001' ELSE '' END END AS codes, count(*)::BIGINT AS n
+FROM (SELECT o_orderkey % 3 AS k FROM orders), (VALUES ('strict'), ('lax'), ('skip')) v(process) GROUP BY ALL""")
+def wildcard_process(spark, d):
+    """A declared element with a good and a bad value, and one that is not declared, under each processContents."""
+    k = F.col("o_orderkey") % 3
+    body = F.concat(F.lit("<a>1</a>"), F.when(k == 0, "<known>1</known>").when(k == 1, "<known>x</known>").otherwise("<other/>"))
+    df = t(spark, d, "orders").select("o_orderkey", xml.element("r", body).alias("xml"))
+    outs = [verdicts(df, schema_of(ANY_XSD.format("##local", p)), "o_orderkey").select(F.lit(p).alias("process"), "codes", "n") for p in ("strict", "lax", "skip")]
+    return outs[0].union(outs[1]).union(outs[2])
+
+
+@query("""SELECT version, CASE WHEN k = 0 THEN '' WHEN version = '1.1' AND k = 1 THEN '' ELSE CASE k WHEN 1 THEN 'XSD2002' ELSE 'XSD2002' END END AS codes, count(*)::BIGINT AS n FROM (SELECT o_orderkey % 3 AS k FROM orders), (VALUES ('1.0'), ('1.1')) v(version) GROUP BY ALL""")
+def open_content(spark, d):
+    """A foreign child behind the content, or within it, where the content is open behind: in 1.1 only."""
+    k = F.col("o_orderkey") % 3
+    body = F.when(k == 0, "<a>1</a><b>2</b>").when(k == 1, '<a>1</a><b>2</b><x xmlns="urn:x"/>').otherwise('<a>1</a><x xmlns="urn:x"/><b>2</b>')
+    text = '<xs:element name="r"><xs:complexType><xs:openContent mode="suffix"><xs:any namespace="##other" processContents="skip"/></xs:openContent><xs:sequence><xs:element name="a" type="xs:int"/><xs:element name="b" type="xs:int"/></xs:sequence></xs:complexType></xs:element>'
+    df = t(spark, d, "orders").select("o_orderkey", xml.element("r", body).alias("xml"))
+    outs = [verdicts(df, schema_of(text, version=v), "o_orderkey").select(F.lit(v).alias("version"), "codes", "n") for v in ("1.0", "1.1")]
+    return outs[0].union(outs[1])
+
+
+@query("SELECT version, CASE WHEN (k = 0) = (version = '1.0') THEN '' ELSE 'XSD2004' END AS codes, count(*)::BIGINT AS n FROM (SELECT o_orderkey % 2 AS k FROM orders), (VALUES ('1.0'), ('1.1')) v(version) GROUP BY ALL")
+def conditional_inclusion(spark, d):
+    """One schema, two readings of an element."""
+    text = '<xs:element xmlns:v="http://www.w3.org/2007/XMLSchema-versioning" v:maxVersion="1.1" name="r" type="xs:int"/><xs:element xmlns:v="http://www.w3.org/2007/XMLSchema-versioning" v:minVersion="1.1" name="r" type="xs:boolean"/>'
+    df = t(spark, d, "orders").select("o_orderkey", xml.element("r", F.when(F.col("o_orderkey") % 2 == 0, "7").otherwise("true")).alias("xml"))
+    outs = [verdicts(df, schema_of(text, version=v), "o_orderkey").select(F.lit(v).alias("version"), "codes", "n") for v in ("1.0", "1.1")]
+    return outs[0].union(outs[1])
+
+
+@query("SELECT CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'XSD2004' ELSE 'XSD2019' END AS codes, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def fixed_values(spark, d):
+    """A fixed value as itself, written otherwise, another, and a nil in its place."""
+    k = F.col("o_orderkey") % 4
+    body = F.when(k == 0, "<v>1.50</v>").when(k == 1, "<v> +01.5 </v>").when(k == 2, "<v>1.51</v>").otherwise('<v xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:nil="true"/>')
+    text = '<xs:element name="r"><xs:complexType><xs:sequence><xs:element name="v" type="xs:decimal" fixed="1.5" nillable="true"/></xs:sequence></xs:complexType></xs:element>'
+    return verdicts(t(spark, d, "orders").select("o_orderkey", xml.element("r", body).alias("xml")), schema_of(text), "o_orderkey")
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'XSD2008' ELSE '' END AS codes, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def xsi_type_blocked(spark, d):
+    """An extension where only restrictions may stand, against a restriction and the type itself."""
+    k = F.col("o_orderkey") % 3
+    text = """<xs:complexType name="B" block="extension"><xs:sequence><xs:element name="a" type="xs:int" minOccurs="0"/></xs:sequence></xs:complexType><xs:complexType name="E"><xs:complexContent><xs:extension base="B"/></xs:complexContent></xs:complexType>
+<xs:complexType name="R"><xs:complexContent><xs:restriction base="B"><xs:sequence><xs:element name="a" type="xs:byte" minOccurs="0"/></xs:sequence></xs:restriction></xs:complexContent></xs:complexType><xs:element name="r" type="B"/>"""
+    body = {"xmlns:i": F.lit("http://www.w3.org/2001/XMLSchema-instance"), "i:type": F.when(k == 0, "E").when(k == 1, "R").otherwise("B")}
+    return verdicts(t(spark, d, "orders").select("o_orderkey", xml.element("r", "<a>1</a>", body).alias("xml")), schema_of(text), "o_orderkey")
+
+
+@query("SELECT o_orderkey, least(5, 5 + count(l_orderkey))::BIGINT AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def events_early_stop(spark, d):
+    """Five events of each document; the rest is not parsed."""
+    return documents.events(orders(spark, d), order_schema(), "o_orderkey", most=5, columns=("seq", "kind")).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT part, line, depth, count(*)::BIGINT AS n FROM (SELECT unnest([{'part': 'start', 'line': 1, 'depth': 0}, {'part': 'start', 'line': 2, 'depth': 1}, {'part': 'text', 'line': 2, 'depth': 1}, {'part': 'end', 'line': 2, 'depth': 1}, {'part': 'end', 'line': 3, 'depth': 0}], recursive := true) FROM region) GROUP BY ALL""")
+def event_lines(spark, d):
+    docs = t(spark, d, "region").select("r_regionkey", F.concat(F.lit("<r>\n<a>"), xml.escaped(F.col("r_name")), F.lit("</a>\n</r>")).alias("xml"))
+    s = schema_of('<xs:element name="r"><xs:complexType><xs:sequence><xs:element name="a" type="xs:string"/></xs:sequence></xs:complexType></xs:element>')
+    return documents.events(docs, s, "r_regionkey").groupBy(F.col("kind").alias("part"), "line", "depth").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_size AS size, CASE WHEN p_partkey % 2 = 0 THEN 'small' ELSE (p_size / 2.0)::DECIMAL(10,1)::VARCHAR END AS either, [p_size, p_size + 1]::VARCHAR[] AS several FROM part")
+def decode_lists_and_unions(spark, d):
+    """Values of lists and unions stay canonical text; others have their types."""
+    text = """<xs:simpleType name="L"><xs:list itemType="xs:int"/></xs:simpleType><xs:simpleType name="U"><xs:union memberTypes="xs:decimal xs:token"/></xs:simpleType>
+<xs:element name="p"><xs:complexType><xs:sequence><xs:element name="size" type="xs:int"/><xs:element name="either" type="U"/><xs:element name="several" type="L"/></xs:sequence></xs:complexType></xs:element>"""
+    size = F.col("p_size")
+    either = F.when(F.col("p_partkey") % 2 == 0, "  small ").otherwise(F.concat((size / 2).cast("decimal(10,1)").cast("string"), F.lit("00")))
+    body = F.concat(xml.element("size", size.cast("string")), xml.element("either", either), xml.element("several", F.concat_ws("  ", size.cast("string"), F.concat(F.lit("+"), (size + 1).cast("string")))))
+    out = documents.decode(t(spark, d, "part").select("p_partkey", xml.element("p", body).alias("xml")), schema_of(text), (None, "p"))
+    one = F.col("decoded.either")
+    return out.select("p_partkey", F.col("decoded.size").cast("int").alias("size"), F.when(one.rlike(r"^\d+$"), F.concat(one, F.lit(".0"))).otherwise(one).alias("either"), F.split("decoded.several", " ").alias("several"))
+
+
 _SIMPLE = '<xs:simpleType name="{n}"><xs:restriction base="{b}">{f}</xs:restriction></xs:simpleType>'
 
 
