@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import parts, prepare, table, tidied, tidied_group, written
+from .runtime import parts, prepare, table, tasks, tidied, tidied_group, written
 
 LONGEST, FREQUENT_WORDS = 256, 500_000
 #: A long has a bit for each cut of a word of so many characters.
@@ -403,7 +403,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
     docs = docs if stable else written(docs)
     pairs = spark.sparkContext.broadcast(vocabulary.joined())
     # the lattice of a part is grouped in place, so a part has few words
-    words = written(segmented(distinct_words(docs, "text", pairs).repartition(parts(docs, 2 << 20), "word"), vocabulary))
+    words = written(segmented(distinct_words(docs, "text", pairs).repartition(tasks(parts(docs, 2 << 20)), "word"), vocabulary))
     counts = words.groupBy("n").count().orderBy(F.desc("n"))
     # the least count that at most ``frequent_words`` words have
     least, total = None, 0

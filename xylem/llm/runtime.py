@@ -108,13 +108,18 @@ def tidied_group(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return two if work.__code__.co_argcount == 2 else one
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of a DataFrame (for files, their size), of any store."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def input_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate of the bytes of a DataFrame (for files, their size), of any store; nothing where there is none."""
+    plan = getattr(df, "_jdf", None)  # a remote session has no plan to ask
+    size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes()) if plan is not None else 1 << 60
+    return size if size < 1 << 60 else None
 
 
 def parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """How many buckets keep each bucket's share of the input near ``bytes_each``."""
-    size = input_bytes(df)
-    known = size if size < 1 << 60 else 0  # rows that are not of files have no estimate
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, known // bytes_each + 1))
+    """How many buckets keep each bucket's share of the input near ``bytes_each``, however large it is."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (input_bytes(df) or 0) // bytes_each + 1)
+
+
+def tasks(buckets: int) -> int:
+    """How many tasks to deal buckets to: one each, until that is more than a driver can watch."""
+    return min(buckets, 100_000)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .runtime import parts, prepare, table
+from .runtime import parts, prepare, table, tasks, tidied, tidied_group
 
 WINDOW = 13
 SEED = 7
@@ -131,7 +131,7 @@ def parsed(docs: DataFrame, n: int = WINDOW, text_col: str = "text", texts: bool
     prepare(docs.sparkSession)
     blocks = parts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(tasks(blocks), "block")
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shard, block, minimizers of the block and whether two of its documents hold each)."""
@@ -251,9 +251,9 @@ def parsed(docs: DataFrame, n: int = WINDOW, text_col: str = "text", texts: bool
         return pa.table(out | ({"kept": pa.array(kept, pa.string())} if texts else {}))
 
     named, answer = "shard long, block long, data binary", "block long, data binary"
-    told = rows.mapInArrow(minimizers, named).groupBy("shard").applyInArrow(recurring, answer)
-    told = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(windows, named).groupBy("shard").applyInArrow(smallest, answer)
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(parse, "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string" + ", kept string" * texts)
+    told = rows.mapInArrow(tidied(minimizers), named).groupBy("shard").applyInArrow(tidied_group(recurring), answer)
+    told = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidied_group(windows), named).groupBy("shard").applyInArrow(tidied_group(smallest), answer)
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidied_group(parse), "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string" + ", kept string" * texts)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
