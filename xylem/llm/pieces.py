@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from . import textops as t
 from .runtime import parts, prepare, table, tasks, tidied, tidied_group, written
 
-LONGEST, FREQUENT_WORDS = 256, 500_000
+LONGEST, FREQUENT_WORDS = 256, 200_000
 #: A long has a bit for each cut of a word of so many characters.
 MASKED = 62
 BLANK = "▁"
@@ -215,9 +215,9 @@ def distinct_words(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFra
                 words.append(got.field("values"))
                 counts.append(got.field("counts").cast(pa.int64()))
                 held += len(got)
-                if held > 200_000:
+                if held > 120_000:
                     words, counts = ([x] for x in _counted(words, counts))
-                    if len(words[0]) > 150_000:
+                    if len(words[0]) > 80_000:
                         yield from flush()
                         words, counts = [], []
                     held = len(words[0]) if words else 0
@@ -507,7 +507,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, frequent_words: int = FREQU
             lo = 0
             while lo < len(size):  # some words at a time
                 start = int(ends[lo - 1]) if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, start + 400_000, side="right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, start + 100_000, side="right")))
                 w = code[start : int(ends[hi - 1])]
                 reach = np.concatenate([[0], np.cumsum(begin[w + 1] - begin[w])])
                 flat_ = _gather(begin, table_, w)

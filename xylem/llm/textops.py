@@ -44,7 +44,7 @@ class _Powers:
 
     def __call__(self, n: int) -> np.ndarray:
         if len(self.table) < n:
-            full = np.full(max(n, 2 * len(self.table)), self.base, dtype=U)
+            full = np.full(n + (1 << 14), self.base, dtype=U)
             full[0] = 1
             self.table = np.multiply.accumulate(full)
         return self.table
