@@ -1,4 +1,9 @@
-"""Connected components of a link table, without collecting links or labels."""
+"""Connected components of a link table, without collecting links or labels.
+
+Links may come twice, in either direction, or lead from an id to itself; ids in no other
+link are in no component.  Links with a null end join nothing.  An empty table gives
+an empty result.
+"""
 
 from __future__ import annotations
 

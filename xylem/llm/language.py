@@ -9,8 +9,10 @@ whose prototype has the largest cosine (ties: the smaller name).
 Prototypes are learned from at most ``per_language`` documents of each language,
 picked by a hash of the id; everything else covers all rows.  A null text, or one
 without letters, is ``und`` with score 0, as is every row where nothing could be
-learned.  A null lang or id takes no part in learning; an empty table gives an
-empty result.
+learned.  A null lang or id takes no part in learning; rows with one id are learned
+from and judged each by its own text.  Texts are judged whole, of any length.
+Columns that come along keep their names, but for those that results replace, whatever
+their case.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,8 +13,11 @@ the training folds, picked by a hash of the id (of several rows of one id, the t
 and only from those with at most ``MOST`` distinct buckets, so what comes to the
 driver is bounded; the prior is the share of toxic
 rows among the labelled ones there.  All documents are scored, on all their words.
-A null or empty text is scored as a text without words.  Without any toxic
-training row the model is constant at the prior (0 without labels).
+Texts are scored whole, of any length; a null or empty one is scored as a text
+without words.  Rows without an id are scored and not learned from.  Columns that
+come along keep their names, but for ``score``, whatever its case.  Without any toxic
+training row the model is constant at the prior (0 without labels); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
