@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexical
-from .functions.facets import Simple, member, with_check
+from .functions.builtins import XSD
+from .functions.facets import Simple, check, compare, member, with_check
 from .operators import catalog, documents, keys
+from .plans.model import Model, load_string
 from .plans.schema import SchemaSet, Wildcard
 from .sources import xml
 
@@ -689,3 +692,165 @@ def schema_rules_by_code(spark, d):
     df = spark.createDataFrame([(n, f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">{x}</xs:schema>') for n, _, x in RULES], "rule string, xsd string")
     found = catalog.diagnose(df).groupBy("rule").agg(F.array_join(F.array_sort(F.collect_set("code")), " ").alias("code"))
     return df.select("rule").join(found, "rule", "left")
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    """SQL for constant rows."""
+    def lit(x: object) -> str:
+        if x is None or isinstance(x, bool):
+            return {None: "NULL", True: "true", False: "false"}[x]
+        return f"{x}::INT" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({', '.join(names)})"
+
+
+#: Lexical forms by type: accepted ones, and refused ones.
+LEXICAL = {
+    "boolean": ("true false 1 0", "TRUE yes t 2"), "decimal": ("1. .5 +1.00 -0 007", ". 1e3 1,0 INF"), "integer": ("+7 -0 007 99999999999999999999", "1.0 1e3 - 0x1"), "nonNegativeInteger": ("0 -0 5", "-1"), "negativeInteger": ("-1", "0 -0"), "byte": ("127 -128 +5", "128 -129"),
+    "unsignedByte": ("255 0", "256 -1"), "short": ("32767", "32768"), "int": ("2147483647 -2147483648", "2147483648"), "long": ("9223372036854775807", "9223372036854775808"), "unsignedLong": ("18446744073709551615", "18446744073709551616 -1"),
+    "float": ("1e5 INF -INF NaN .5 -0", "inf Infinity 0x1p3 +INF 1e"), "double": ("1E-300 12.", "1d e5 nan"), "date": ("2024-02-29 2024-12-01Z -0001-01-01 12024-01-01 2024-01-01+14:00", "2023-02-29 24-01-01 2024-1-1 2024-01-01+14:01 0000-01-01 02024-01-01"),
+    "time": ("24:00:00 00:00:00.123 23:59:59Z", "24:00:01 23:59:60 7:00:00"), "dateTime": ("2024-12-31T24:00:00 2024-02-29T00:00:00.5-05:00", "2024-12-31 2024-12-31T25:00:00 2024-02-30T00:00:00"), "dateTimeStamp": ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00"),
+    "gYear": ("2024 -0044 12024Z", "24 0000"), "gYearMonth": ("2024-02 2024-12Z", "2024-13 2024-2"), "gMonth": ("--02 --12Z", "-02 --13"), "gDay": ("---05 ---31", "---32 --05"), "gMonthDay": ("--02-29 --12-25", "--02-30 --04-31 02-29"),
+    "duration": ("P1Y P1Y2M3DT4H5M6.5S PT0S -P1D", "P 1Y PT P1S P1.5D P-1D"), "yearMonthDuration": ("P14M -P1Y", "P1D PT1S"), "dayTimeDuration": ("PT36H P1DT0.5S", "P1M P1Y"), "hexBinary": ("0A ff", "0 0g"), "base64Binary": ("YWJj YWI= YQ==", "YW=j YWJ YR=="),
+    "language": ("en en-GB x-klingon", "en_GB toolonglanguage 1a"), "Name": ("a:b _x é", "1a -b"), "NCName": ("a.b-c _1", "a:b 1a"), "NMTOKEN": ("1a -b a:b", "a,b a/b"), "QName": ("p:a a", "a:b:c :a p:"), "anyURI": ("http://x/y?a=1 #", ""), "precisionDecimal": ("1.50 15E-1 INF -INF NaN", "x 1E Inf"),
+}
+_LEXICAL = [(k, v, ok) for k, both in LEXICAL.items() for ok, vs in zip((True, False), both) for v in vs.split()]
+
+
+@query(_values(_LEXICAL, "type", "lexical", "valid"))
+def lexical_spaces(spark, d):
+    """Accepted and refused forms of the built-in types, by the Column checks."""
+    df = spark.createDataFrame([x[:2] for x in _LEXICAL], "type string, lexical string")
+    parts = [df.where(F.col("type") == k).select("type", "lexical", lexical.is_valid(F.col("lexical"), k).alias("valid")) for k in LEXICAL]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+_CANONICAL = [("decimal", "-0.500", "-0.5"), ("decimal", "+.5", "0.5"), ("integer", "+007", "7"), ("int", "-0", "0"), ("double", "1.5E3", "1500"), ("double", "-INF", "-INF"), ("float", "0.1", "0.1"), ("boolean", "1", "true"), ("dateTime", "2024-01-01T24:00:00", "2024-01-02T00:00:00"),
+              ("dateTime", "2024-12-31T24:00:00Z", "2025-01-01T00:00:00Z"), ("dateTime", "2024-01-01T00:00:00.000-00:00", "2024-01-01T00:00:00Z"), ("time", "24:00:00", "00:00:00"), ("time", "13:45:06.50+02:00", "13:45:06.5+02:00"), ("date", "2024-03-01+00:00", "2024-03-01Z"), ("yearMonthDuration", "P14M", "P1Y2M"),
+              ("dayTimeDuration", "PT36H", "P1DT12H"), ("duration", "-P0Y400D", "-P400D"), ("duration", "P0D", "PT0S"), ("gMonthDay", "--12-25-00:00", "--12-25Z"), ("hexBinary", "0fb7", "0FB7"), ("base64Binary", "aG Vs bG8=", "aGVsbG8="), ("gYear", "-0044", "-0044")]
+
+
+@query(_values(_CANONICAL, "type", "lexical", "canonical"))
+def canonical_forms(spark, d):
+    df = spark.createDataFrame([x[:2] for x in _CANONICAL], "type string, lexical string")
+    by = F.coalesce(*(F.when(F.col("type") == k, lexical.canonical(F.col("lexical"), k)) for k in dict.fromkeys(x[0] for x in _CANONICAL)))
+    return df.select("type", "lexical", by.alias("canonical"))
+
+
+_ORDER = [("decimal", "1.0", "1.00", 0), ("decimal", "-0.5", "0.5", -1), ("decimal", "100000000000000000000000000000000000001", "99999999999999999999999999999999999999", 1), ("double", "NaN", "1", None), ("double", "-INF", "INF", -1), ("double", "1.5E3", "1500", 0),
+          ("dateTime", "2024-01-01T12:00:00Z", "2024-01-01T13:00:00+01:00", 0), ("dateTime", "2024-01-01T12:00:00", "2024-01-01T12:00:00Z", None), ("dateTime", "2024-01-01T12:00:00", "2025-01-01T12:00:00Z", -1), ("date", "12024-01-01", "2024-01-01", 1), ("gMonthDay", "--12-25", "--12-25Z", None),
+          ("gDay", "---05", "---31", -1), ("time", "12:00:00Z", "12:00:00+01:00", 1), ("duration", "P1M", "P30D", None), ("duration", "P1M", "P32D", -1), ("duration", "PT25H", "P1D", 1), ("duration", "P1Y", "P12M", 0), ("gYear", "-0044", "0044", -1)]
+
+
+@query(_values(_ORDER, "type", "a", "b", "sign"))
+def value_order(spark, d):
+    """Pairs in order, equal, or not comparable."""
+    rows = [spark.createDataFrame([x[:3]], "type string, a string, b string").select("type", "a", "b", compare(F.col("a"), Simple(x[0]), x[2]).cast("int").alias("sign")) for x in _ORDER]
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.union(x)
+    return out
+
+
+_PATTERNS = [("a.b$", "axb$", True), ("a.b$", "a\nb$", False), ("[a-z-[aeiou]]+", "xyz", True), ("[a-z-[aeiou]]+", "xay", False), ("[a-z-[^b]]", "b", True), ("[a-z-[^b]]", "c", False), (r"\d{2,3}", "12", True), (r"\d{2,3}", "1234", False), (r"\d", "٣", True), (r"\i\c*", "_a1.", True), (r"\i\c*", "1a", False),
+             (r"[\D]+", "ab", True), (r"[\D]+", "a1", False), (r"\p{Lu}\P{Lu}*", "Abc", True), (r"\p{Lu}\P{Lu}*", "ABc", False), (r"\p{IsGreek}+", "αβγ", True), (r"\p{IsGreek}+", "abc", False), (r"\p{IsNowhere}", "x", True), (r"a|b", "ab", False), ("(ab)?c", "abc", True), (r"\s\S", " x", True), (r"\w+", "aé9", True), (r"\w", "-", False), ("", "", True)]
+
+
+@query(_values(_PATTERNS, "pattern", "value", "matches"))
+def pattern_language(spark, d):
+    rows = [spark.createDataFrame([(p, v)], "pattern string, value string").withColumn("matches", check(F.col("value"), Simple().restrict((p,))).isNull()) for p, v, _ in _PATTERNS]
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.union(x)
+    return out
+
+
+_FILES = {"base.xsd": '<xs:element name="rope" type="Length"/><xs:simpleType name="Length"><xs:restriction base="xs:int"/></xs:simpleType><xs:group name="g"><xs:sequence><xs:element name="a"/></xs:sequence></xs:group>', "far.xsd": None, "loop.xsd": '<xs:include schemaLocation="loop.xsd"/><xs:element name="loop" type="xs:int"/>'}
+_COMPOSED = [
+    ("include takes on the namespace", '<xs:include schemaLocation="base.xsd"/>', '<rope xmlns="urn:n">5</rope>', "", ""), ("included twice", '<xs:include schemaLocation="base.xsd"/><xs:include schemaLocation="base.xsd"/>', '<rope xmlns="urn:n">x</rope>', "", "XSD2004"), ("includes itself", '<xs:include schemaLocation="loop.xsd"/>', '<loop xmlns="urn:n">1</loop>', "", ""),
+    ("override", '<xs:override schemaLocation="base.xsd"><xs:simpleType name="Length"><xs:restriction base="xs:boolean"/></xs:simpleType></xs:override>', '<rope xmlns="urn:n">5</rope>', "", "XSD2004"), ("redefine", '<xs:redefine schemaLocation="base.xsd"><xs:simpleType name="Length"><xs:restriction base="Length"><xs:maxInclusive value="4"/></xs:restriction></xs:simpleType></xs:redefine>', '<rope xmlns="urn:n">5</rope>', "", "XSD2004"),
+    ("redefined element", '<xs:redefine schemaLocation="base.xsd"><xs:element name="rope"/></xs:redefine>', '<rope xmlns="urn:n">5</rope>', "XSD1003", ""), ("included from elsewhere", '<xs:include schemaLocation="far.xsd"/>', "<x/>", "XSD1102", "XSD2001"), ("imported as another", '<xs:import namespace="urn:o" schemaLocation="far.xsd"/>', '<f xmlns="urn:far">1</f>', "XSD1103", ""),
+    ("imported", '<xs:import namespace="urn:far" schemaLocation="far.xsd"/>', '<f xmlns="urn:far">x</f>', "", "XSD2004"), ("nowhere", '<xs:include schemaLocation="none.xsd"/>', "<x/>", "XSD1101", "XSD2001"), ("import is a hint", '<xs:import namespace="urn:z" schemaLocation="none.xsd"/>', "<x/>", "XSD1101", "XSD2001"),
+]
+
+
+@query(_values([(n, a, b) for n, _, _, a, b in _COMPOSED], "name", "schema_codes", "document_codes"))
+def composition(spark, d):
+    """Schemas of several documents, by a resolver: what they give, and what a document gets."""
+    whole = lambda body, target: f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"{target}>{body}</xs:schema>'
+
+    def resolver(place: str, _: str | None) -> tuple[str, bytes]:
+        body = _FILES[place]
+        return place, (whole(body, "") if body is not None else whole('<xs:element name="f" type="xs:int"/>', ' targetNamespace="urn:far"')).encode()
+
+    rows = []
+    for n, body, doc, _, _ in _COMPOSED:
+        model, told = load_string(whole(body, ' xmlns="urn:n" targetNamespace="urn:n"'), resolver=resolver, version="1.1")
+        rows.append((n, " ".join(x.code for x in told), " ".join(x.code for x in model.validate(doc).diagnostics)))
+    return spark.createDataFrame(rows, "name string, schema_codes string, document_codes string")
+
+
+_MODELS = [("sequence", "a b? c*", "a c c", True), ("sequence", "a b? c*", "b", False), ("sequence", "a{2,3}", "a a", True), ("sequence", "a{2,3}", "a a a a", False), ("choice", "a b", "b", True), ("choice", "a b", "a b", False), ("all", "a b?", "b a", True), ("all", "a b?", "b", False), ("sequence", "a{0,100} b", "a a a b", True), ("sequence", "", "", True), ("sequence", "", "a", False)]
+
+
+@query(_values(_MODELS, "kind", "model", "names", "accepted"))
+def content_models(spark, d):
+    """Children against small content models, by their automata."""
+    def item(x: str) -> str:
+        name, low, high = x[0], 1, 1
+        if x[1:]:
+            low, high = {"?": (0, 1), "*": (0, "unbounded"), "+": (1, "unbounded")}.get(x[1:]) or x[2:-1].split(",")
+        return f'<xs:element name="{name}" type="xs:int" minOccurs="{low}" maxOccurs="{high}"/>'
+
+    out = None
+    for kind, model, names, _ in _MODELS:
+        s = schema_of(f'<xs:complexType name="T"><xs:{kind}>{"".join(map(item, model.split()))}</xs:{kind}></xs:complexType>')
+        df = spark.createDataFrame([(kind, model, names)], "kind string, model string, names string").withColumn("list", F.filter(F.split("names", " "), lambda x: x != ""))
+        one = documents.accepts(df, s, (None, "T"), "list").drop("list")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT n_nationkey, n_name AS name, n_regionkey::INT AS region, CASE WHEN n_nationkey % 2 = 0 THEN DATE '2024-01-01' + n_nationkey::INT END AS since, [n_nationkey::INT, n_regionkey::INT] AS numbers, 'n' || n_nationkey AS root FROM nation")
+def decode_single_documents(spark, d):
+    """One document after the other on the driver, as Python values."""
+    model = Model(schema_of('<xs:element name="nation"><xs:complexType><xs:sequence><xs:element name="name" type="xs:string"/><xs:element name="since" type="xs:date" nillable="true"/><xs:element name="n" type="xs:int" maxOccurs="unbounded"/></xs:sequence><xs:attribute name="region" type="xs:byte"/></xs:complexType></xs:element>'))
+    rows = []
+    for k, name, region in t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
+        day = (date(2024, 1, 1) + timedelta(days=k)).isoformat() if k % 2 == 0 else None
+        text = f'<nation region="{region}"><name>{name}</name>' + (f"<since>{day}</since>" if day else '<since xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:nil="true"/>') + f"<n>{k}</n><n> +{region} </n></nation>"
+        ((root, got),) = model.decode(text, root=True).items()
+        rows.append((k, got["name"], got["@region"], got["since"], got["n"], root[0] + str(got["n"][0])))
+    return spark.createDataFrame(rows, "n_nationkey int, name string, region int, since date, numbers array<int>, root string")
+
+
+@query("SELECT 'R' || r_regionkey AS type, count(n_nationkey)::INT AS children, min('N' || lpad(n_nationkey::VARCHAR, 2, '0')) AS first, 'B' AS base, true AS accepts_all, count(n_nationkey) <= 1 AS accepts_one, (count(n_nationkey) + 3)::INT AS lines FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def model_of_regions(spark, d):
+    """A type a region, a child a nation: what the model tells of them."""
+    rows = t(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.format_string("N%02d", F.col("n_nationkey").cast("int")))).alias("names")).collect()
+    own = lambda names: "".join(f'<xs:element name="{n}" type="xs:int"/>' for n in names)
+    m = Model(schema_of('<xs:complexType name="B"><xs:attribute name="a" use="required"/></xs:complexType>' + "".join(f'<xs:complexType name="R{r}"><xs:complexContent><xs:extension base="B"><xs:sequence>{own(names)}</xs:sequence></xs:extension></xs:complexContent></xs:complexType><xs:element name="e{r}" type="R{r}"/>' for r, names in rows)))
+    out = []
+    for x in m.types.values():
+        if x.local_name != "B":
+            names = [c.local_name for c in x]
+            out.append((x.local_name, len(x), names[0], x.base.local_name, x.accepts(names), x.accepts(names[:1]), len(m["e" + x.local_name[1:]].tree().splitlines()) + 1 if x.attributes[0].required else -1))
+    return spark.createDataFrame(out, "type string, children int, first string, base string, accepts_all boolean, accepts_one boolean, lines int")
+
+
+@query("SELECT 45::BIGINT AS codes, 9 + 4 + 3 + 10 AS schema_codes, 19::BIGINT AS document_codes")
+def diagnostic_codes(spark, d):
+    c = catalog.codes(spark)
+    return c.agg(F.count("*").alias("codes"), F.count_if(F.col("code") < "XSD2000").cast("int").alias("schema_codes"), F.count_if(F.col("code") > "XSD2000").alias("document_codes"))
+
+
+@query("""SELECT name, base FROM (VALUES ('token', 'normalizedString'), ('normalizedString', 'string'), ('NCName', 'Name'), ('Name', 'token'), ('ID', 'NCName'), ('byte', 'short'), ('unsignedByte', 'unsignedShort'), ('negativeInteger', 'nonPositiveInteger'), ('positiveInteger', 'nonNegativeInteger'),
+('yearMonthDuration', 'duration'), ('dateTimeStamp', 'dateTime'), ('IDREFS', 'anySimpleType'), ('precisionDecimal', 'anyAtomicType'), ('string', 'anyAtomicType'), ('anyAtomicType', 'anySimpleType'), ('anySimpleType', 'anyType')) v(name, base)""")
+def builtin_bases(spark, d):
+    """Bases as the model's types have them."""
+    m = Model(schema_of(""))
+    names = ["token", "normalizedString", "NCName", "Name", "ID", "byte", "unsignedByte", "negativeInteger", "positiveInteger", "yearMonthDuration", "dateTimeStamp", "IDREFS", "precisionDecimal", "string", "anyAtomicType", "anySimpleType"]
+    return spark.createDataFrame([(n, m.type(XSD, n).base.local_name) for n in names], "name string, base string")
