@@ -7,9 +7,10 @@ After a step, a candidate's score lies between two bounds: entries read count as
 they are, unread ones lie between the list's last read value and its end.  The
 query stops by itself as soon as no candidate outside its ``k`` best lower bounds
 has an upper bound that reaches them; the few still in doubt are then resolved to
-their final scores.  Once the depth is half the number of candidates left, reading on
-can't pay, and these are resolved at once (on vectors without structure that is the
-usual end: no exact bound prunes them).
+their final scores.  Reading that does not pay ends too: where a step beyond a sixteenth of
+the lists rules nobody out, or the depth is half the number of candidates left, these
+are resolved at once (on vectors without structure that is the usual end: no exact
+bound prunes them).
 
 Candidates and queries are dealt into blocks, and each pair of blocks is one group.
 Within a group each query reads and stops alone.
@@ -37,8 +38,9 @@ from .runtime import prepare, table
 
 K, SCALE, EVERY = 5, 256, 50
 CANDIDATES, QUERIES = 4_096, 2_048
-#: Entries of each list that the first step reads; each next step reads twice as many in all.
-FIRST = 8
+#: Entries of each list that the first step reads, how many times as many the next one has read, and the share of the lists
+#: from which on a step must rule somebody out.
+FIRST, GROWTH, PATIENCE = 8, 3, 16
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -88,6 +90,9 @@ class Lists:
             whole = [int(v) for v in q]
             score = np.array([sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in self.x[left]], object)
         self.resolved += len(left)
+        if len(score) > 4 * k and score.dtype != object:  # ties at the bound stay in
+            near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            left, score = left[near], score[near]
         top = np.argsort(-score, kind="stable")[:k]
         return [(int(self.ids[left[i]]), max(-(2**63), min(2**63 - 1, int(score[i])))) for i in top]
 
@@ -102,22 +107,24 @@ class Lists:
         weight = q[used]
         tail = weight * np.where(ahead, self.value[0, used], self.value[-1, used])
         low = np.full(n, tail.sum())  # what is read counts as it is, the rest as the list's end
-        unread = np.ones((n, len(used)), np.float32)
+        unread = np.ones((n, len(used)))
+        column = np.arange(len(used))
         at, step = 0, FIRST
-        while at < n and at * len(used) < len(left) * len(used) / 2:
+        while at < len(left) / 2:
             to = min(n, step)
-            rows = np.where(ahead, n - 1 - np.arange(at, to)[:, None], np.arange(at, to)[:, None])
+            depth = np.arange(at, to)[:, None]
+            rows = np.where(ahead, n - 1 - depth, depth)
             who = self.order[rows, used]
-            np.add.at(low, who, weight * self.value[rows, used] - tail)
-            unread[who, np.arange(len(used))] = 0
+            low += np.bincount(who.ravel(), (weight * self.value[rows, used] - tail).ravel(), n)
+            unread[who, column] = 0
             self.read += who.size
-            at, step = to, 2 * to
+            at, step = to, GROWTH * to
             # unread entries are at most the last value read
             last = weight * np.where(ahead, self.value[n - at, used], self.value[at - 1, used])
-            high = low[left] + unread[left].astype(np.float64) @ (last - tail)
-            floor = np.partition(low[left], len(left) - k)[len(left) - k]
-            left = left[high >= floor]
-            if len(left) <= k:
+            high, before = low + unread @ (last - tail), len(left)
+            floor = np.partition(low[left], before - k)[before - k]
+            left = left[high[left] >= floor]
+            if len(left) <= k or len(left) == before and at * PATIENCE >= n:
                 break
         return left
 
