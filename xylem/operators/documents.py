@@ -19,7 +19,7 @@ from .validator import Events, Rows, Shape, Validator, clark
 
 REPORT = "valid boolean, n_errors int, diagnostics array<struct<code:string,message:string,line:int,severity:string>>"
 EVENT = ("seq long, depth int, kind string, path array<string>, ns string, local string, type string, nil boolean, "
-         "attributes array<struct<name:string,lexical:string,canonical:string,from_schema:boolean>>, lexical string, canonical string, from_schema boolean, line int, parent_seq long")
+         "attributes array<struct<name:string,lexical:string,canonical:string,from_schema:boolean>>, lexical string, canonical string, from_schema boolean, line int, parent_seq long, declared boolean")
 
 
 def _kinds(df: DataFrame) -> str:

@@ -507,7 +507,7 @@ class Validator:
 class Events:
     """Collects typed events as columns.  ``most`` ends a document's parse after so many events."""
 
-    NAMES = ("seq", "depth", "kind", "path", "ns", "local", "type", "nil", "attributes", "lexical", "canonical", "from_schema", "line", "parent_seq")
+    NAMES = ("seq", "depth", "kind", "path", "ns", "local", "type", "nil", "attributes", "lexical", "canonical", "from_schema", "line", "parent_seq", "declared")
 
     def __init__(self, wanted: tuple[str, ...] = NAMES, most: int | None = None) -> None:
         self.wanted, self.most = wanted, most
@@ -530,21 +530,21 @@ class Events:
     def start(self, v: Validator, f: _Frame, parent: _Frame | None) -> None:
         f.path = v.paths.get((parent.path if parent else 0, f.raw)) or v.path(parent.path if parent else 0, f.raw)
         f.line = v.p.CurrentLineNumber if self.lined else 0
-        self.put(v, (f.seq, len(v.stack) - 1, "start", f.path, f.raw, f.plan.type_name, f.nil, f.attributes, None, None, False, f.line, parent.seq if parent else None))
+        self.put(v, (f.seq, len(v.stack) - 1, "start", f.path, f.raw, f.plan.type_name, f.nil, f.attributes, None, None, False, f.line, parent.seq if parent else None, f.plan.decl is not None))
 
     def end(self, v: Validator, f: _Frame, lexical: str | None, canon: str | None, supplied: bool) -> None:
         line = v.p.CurrentLineNumber if self.lined else 0
         depth = len(v.stack) - 1
         if lexical is not None:
-            self.put(v, (v.seq, depth, "text", f.path, f.raw, None, f.nil, (), lexical, canon, supplied, line, f.seq))
+            self.put(v, (v.seq, depth, "text", f.path, f.raw, None, f.nil, (), lexical, canon, supplied, line, f.seq, f.plan.decl is not None))
             v.seq += 1
-        self.put(v, (v.seq, depth, "end", f.path, f.raw, None, f.nil, (), None, None, False, line, f.seq))
+        self.put(v, (v.seq, depth, "end", f.path, f.raw, None, f.nil, (), None, None, False, line, f.seq, f.plan.decl is not None))
         v.seq += 1
 
     def arrays(self, v: Validator) -> dict[str, pa.Array]:
         n = len(self.rows)
-        cols = list(zip(*self.rows, strict=True)) if n else [()] * 13
-        raw = dict(zip(("seq", "depth", "kind", "path", "raw", "type", "nil", "attributes", "lexical", "canonical", "from_schema", "line", "parent_seq"), cols, strict=True))
+        cols = list(zip(*self.rows, strict=True)) if n else [()] * 14
+        raw = dict(zip(("seq", "depth", "kind", "path", "raw", "type", "nil", "attributes", "lexical", "canonical", "from_schema", "line", "parent_seq", "declared"), cols, strict=True))
         out = {}
         for name in self.wanted:
             if name == "path":
@@ -563,7 +563,7 @@ class Events:
                 inner = pa.StructArray.from_arrays([pa.array(parts[0], pa.string()), pa.array(parts[1], pa.string()), pa.array(parts[2], pa.string()), pa.array(parts[4], pa.bool_())], ["name", "lexical", "canonical", "from_schema"])
                 out[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
             else:
-                kind = {"seq": pa.int64(), "depth": pa.int32(), "nil": pa.bool_(), "from_schema": pa.bool_(), "line": pa.int32(), "parent_seq": pa.int64()}.get(name, pa.string())
+                kind = {"seq": pa.int64(), "depth": pa.int32(), "nil": pa.bool_(), "from_schema": pa.bool_(), "line": pa.int32(), "parent_seq": pa.int64(), "declared": pa.bool_()}.get(name, pa.string())
                 out[name] = pa.array(raw[name], kind)
         return out
 
