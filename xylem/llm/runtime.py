@@ -13,6 +13,8 @@ from typing import TypeVar
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textops
+
 T = TypeVar("T")
 
 
@@ -28,6 +30,7 @@ def prepare(spark: SparkSession) -> None:
 
 _OWN: dict[str, str] = {}
 _SCRATCH: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +51,13 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     within = _SCRATCH[:-1] if keep else _SCRATCH
     path = f"{within[-1] if within else shared_dir(spark) + '/tables'}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # nothing reads this write's shuffles again, so they need not wait for the driver's garbage collection
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +80,7 @@ def others(df: DataFrame, added: tuple[str, ...]) -> list[str]:
 
 
 def _give_back() -> None:
+    textops.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -53,6 +53,12 @@ class _Powers:
 _pow_p, _pow_inv_p, _pow_q, _pow_inv_q = (_Powers(x) for x in (_P, _INV_P, _Q, _INV_Q))
 
 
+def forget() -> None:
+    """Lets the tables of powers go; they are made again when they are needed."""
+    for x in (_pow_p, _pow_inv_p, _pow_q, _pow_inv_q):
+        x.table = np.ones(1, dtype=U)
+
+
 def byte_class(separators: bytes) -> np.ndarray:
     """A table that is True for the bytes that words are made of."""
     table = np.ones(256, dtype=bool)
