@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,23 +46,31 @@ def builtin_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(b.name, b.base, b.primitive, b.space) for b in BUILTINS.values()], "name string, base string, primitive string, white_space string")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed, with a plan of their own: below the checkpoint folder, or else on the executors."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df.localCheckpoint()
+    path = f"{folder}/closures/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(member, ancestor, depth): every id's ancestors over an edge table, at their least depth, itself at 0.
 
-    Paths double in each round until nothing is new, so a chain of n edges takes log2(n) rounds and cycles end."""
+    The reach doubles in each round until nothing is new, so a chain of n edges takes log2(n) rounds and cycles end.  Pairs
+    of the full reach are led on by all that are known, so a forest's pairs are made once; each round rests on tables,
+    as plans that hold the rounds before would grow threefold in each."""
     e = edges.select(F.col(child).alias("member"), F.col(parent).alias("ancestor")).where("member is not null and ancestor is not null and member <> ancestor").distinct()
-    paths, size = e.withColumn("depth", F.lit(1)).persist(), None
-    while True:
-        state = paths.agg(F.count("*").alias("n"), F.sum("depth").alias("d")).first()
-        if state == size:
-            break
-        size = state
+    paths = new = _settled(e.withColumn("depth", F.lit(1)))
+    reach = 1
+    while not (far := new.where(F.col("depth") == reach)).isEmpty():
         on = paths.select(F.col("member").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = paths.join(on, "ancestor").where("member <> next").select("member", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        new = paths.union(longer).groupBy("member", "ancestor").agg(F.min("depth").alias("depth")).persist()
-        new.count()
-        paths.unpersist()
-        paths = new
+        longer = far.join(on, "ancestor").where("member <> next").groupBy("member", F.col("next").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        new = _settled(longer.join(paths, ["member", "ancestor"], "left_anti"))
+        paths, reach = paths.union(new), 2 * reach
     own = edges.select(F.col(child).alias("member")).where("member is not null").distinct().select("member", F.col("member").alias("ancestor"), F.lit(0).alias("depth"))
     return own.union(paths.select("member", "ancestor", "depth"))
 
