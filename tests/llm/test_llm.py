@@ -317,6 +317,16 @@ def test_pii_columns(spark):
     assert pii.redacted(df).first() == (1, "at <EMAIL>", "t", "e", 5, "B")
 
 
+def test_pii_text_is_written_once(spark, monkeypatch):
+    made, written = [], pii.written
+    monkeypatch.setattr(pii, "written", lambda df, keep=False: made.append(df) or written(df, keep))
+    df = spark.createDataFrame([(1, "at a@b.co", "x"), (2, None, "y")], "doc_id long, text string, lang string")
+    out = pii.redacted(df)
+    assert sorted(map(tuple, out.collect())) == [(1, "at <EMAIL>", "x"), (2, None, "y")] and out.columns == df.columns and out.dtypes == df.dtypes
+    assert made[0].schema.simpleString().count("text:string") == 1
+    assert sorted(r.text or "" for r in pii.redacted(df.select("text")).collect()) == ["", "at <EMAIL>"]
+
+
 def secret(x):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", x or "", re.A) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x or "") if len(m[0]) >= 20]
